@@ -38,8 +38,8 @@ import regex
 
 #: Word pattern of the lower-casing BPE files (a fixed value of that format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: Entries of the per-worker memo of words, and of the memo of token pairs.
-MEMO, PAIRS = 200_000, 600_000
+#: Entries of the per-worker memo of words, of the memo of token pairs and of that of prefixes.
+MEMO, PAIRS, PREFIXES = 400_000, 600_000, 400_000
 #: Words up to this length go through the transducer's table in one go; nothing of theirs needs to leave early.
 SHORT = 256
 BLANK, CONTROLS = regex.compile(r"\p{White_Space}+"), regex.compile("[\x1c-\x1f]")
@@ -202,7 +202,9 @@ class Codec:
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
         self.alphabet = byte_alphabet()
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
+        self.prefixes: dict[str, str | None] = {}
         self.memo = Memo(self._chunk)
+        self.word_ids = Memo(self.encode_word)
         self.digest = Digester(self)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
@@ -216,20 +218,31 @@ class Codec:
         return tuple([vocab[x] for x in tokens])
 
     def _at_once(self, symbols: str) -> tuple[int, ...]:
-        """The transducer's table over all of a short word: last[i] is the last token of the encoding of symbols[:i]."""
-        vocab, pairs, longest, n = self.m.vocab, self.m._pairs, self.m.longest, len(symbols)
-        last: list[str | None] = [""] + [None] * n
+        """The transducer's table over all of a short word: last[i] is the last token of the encoding of symbols[:i].
+
+        All but the last entry depend on the prefix alone, and words share prefixes, so those are remembered.
+        """
+        vocab, pairs, longest, n, known = self.m.vocab, self.m._pairs, self.m.longest, len(symbols), self.prefixes
+        if len(known) > PREFIXES:
+            known.clear()
+        last: list[str | None] = [""]
         for i in range(1, n + 1):
             part = symbols[:i] if i < n else symbols + self.m.end
-            for start in range(i - longest if i > longest else 0, i):
-                token = part[start:]
-                if token in vocab:
-                    left = last[start]
-                    if left is not None:
-                        fits = pairs.get((left, token))
-                        if fits or fits is None and self.m.compatible(left, token):
-                            last[i] = token
-                            break
+            found = known.get(part, 0)
+            if found == 0:
+                found = None
+                for start in range(i - longest if i > longest else 0, i):
+                    token = part[start:]
+                    if token in vocab:
+                        left = last[start]
+                        if left is not None:
+                            fits = pairs.get((left, token))
+                            if fits or fits is None and self.m.compatible(left, token):
+                                found = token
+                                break
+                if i < n:
+                    known[part] = found
+            last.append(found)
         out, i, end = [], n, len(self.m.end)
         while i:
             token = last[i]
@@ -277,7 +290,9 @@ class Codec:
         return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple([i for w in self.words.findall(chunk) for i in self.encode_word(w)])
+        if chunk.isalpha() and chunk.isascii():
+            return self.word_ids[chunk]
+        return tuple([i for w in self.words.findall(chunk) for i in self.word_ids[w]])
 
     def encode(self, text: str | None) -> Iterator[int]:
         for special, piece in self.pieces(text or ""):
@@ -287,6 +302,7 @@ class Codec:
                 for c in self.chunks(piece):
                     yield from self.memo[c]
                 self.memo.trim()
+                self.word_ids.trim()
 
     def decoder(self) -> Decoder:
         return Decoder(self.m, self.bytes_of)
@@ -297,7 +313,7 @@ class Decoder:
 
     def __init__(self, merges: Merges, bytes_of: dict[str, int]):
         self.m, self.joined, self.first, self.bytes_of = merges, not merges.has_decoder, True, bytes_of
-        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.utf8 = None if self.joined else codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, token_id: int) -> str:
         token = self.m.text_of.get(token_id)
@@ -313,7 +329,7 @@ class Decoder:
         return self.utf8.decode(bytes(self.bytes_of[c] for c in body)) + " " * word_end
 
     def finish(self) -> str:
-        return self.utf8.decode(b"", True)
+        return "" if self.joined else self.utf8.decode(b"", True)
 
 
 class Memo(dict):
@@ -347,7 +363,7 @@ class Digester:
         self.join = " " if not codec.m.has_decoder else ""
 
     def _run(self, chunk: str) -> tuple[str, str]:
-        ids = [i for w in self.codec.words.findall(chunk) for i in self.codec.encode_word(w)]
+        ids = self.codec._chunk(chunk)
         d = self.codec.decoder()
         return " ".join(map(str, ids)), "".join(map(d.feed, ids)) + d.finish()
 
@@ -363,6 +379,7 @@ class Digester:
                 if not ids:
                     continue
             self.memo.trim()
+            codec.word_ids.trim()
             a.update(f" {ids}".encode() if n else ids.encode())
             b.update((self.join + out if n else out).encode())
             n += ids.count(" ") + 1

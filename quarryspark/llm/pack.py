@@ -101,6 +101,7 @@ def pack(df: DataFrame, tokenizer_path: str, row_len: int = 2048, pad_id: int =
             for special, piece in codec.pieces(text or ""):
                 parts += [np.array([codec.m.special[special]], dtype).tobytes()] if special else map(as_bytes.__getitem__, codec.chunks(piece))
                 as_bytes.trim()
+                codec.word_ids.trim()
             return np.frombuffer(b"".join(parts), dtype)
 
         def flush(pieces):

@@ -10,7 +10,7 @@ from quarryspark.functions.text import byte_span, squeeze
 
 def spans(text: Column, quote: Column) -> tuple[Column, Column]:
     """Byte start and end of the quote's first place in the text."""
-    start = F.octet_length(F.substring_index(text, quote, 1)).cast("long")
+    start = F.octet_length(F.call_function("substring_index", text, quote, F.lit(1))).cast("long")
     return start, start + F.octet_length(quote)
 
 

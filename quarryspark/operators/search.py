@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,8 +111,6 @@ def search(articles: DataFrame, query: str, limit: int = 20, index: tuple[DataFr
     top = titled.orderBy("relevance", lower, "article_id").limit(limit)
     if not snippets:
         return top.select("article_id", "title", "relevance")
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: snippet(b or "", phrases))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +76,6 @@ def parse_strict(text: str, kind: str) -> dict:
 
 def strict_structure(df: DataFrame, column: str, kind: str = "proposal") -> DataFrame:
     """Adds ``structure_path`` and ``structure_message`` (null when sound), a batch at a time."""
-    import pandas as pd
-
     shape = SHAPES[kind]
 
     @F.pandas_udf("path string, message string")

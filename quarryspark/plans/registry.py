@@ -405,9 +405,9 @@ def yaml_scalar(spark, sf_dir):
     return views(spark, sf_dir).read("part").select("p_partkey", T.yaml_scalar(v).alias("scalar"))
 
 
-@query("SELECT event_id, list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('page'))) AS unexpected FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('page'))), ',') AS unexpected FROM events WHERE event_id % 10 = 0")
 def json_strict_keys(spark, sf_dir):
-    return views(spark, sf_dir).read("events").where("event_id % 10 = 0").select("event_id", validate.unexpected_keys(F.col("props"), ["page"]).alias("unexpected"))
+    return views(spark, sf_dir).read("events").where("event_id % 10 = 0").select("event_id", F.array_join(validate.unexpected_keys(F.col("props"), ["page"]), ",").alias("unexpected"))
 
 
 @query("""SELECT conv_id, turn, sha256('{"model":' || to_json(role) || ',"system":' || to_json('s') || ',"user":' || to_json(text) || '}') AS request_sha256 FROM conversations WHERE text IS NOT NULL""")
@@ -495,11 +495,11 @@ def readiness_gate(spark, sf_dir):
     return views(spark, sf_dir).pages.select("page_id", ready(F.col("text_status"), F.col("text")).alias("ready"))
 
 
-@query("SELECT doc_id, lpad(CAST(doc_id % 20000 AS VARCHAR), CAST(greatest(4, length(CAST(doc_id % 20000 AS VARCHAR))) AS INTEGER), '0') AS label, CASE WHEN doc_id % 2 = 0 AND doc_id > 0 THEN doc_id END AS png FROM documents")
+@query("SELECT doc_id, lpad(CAST(doc_id % 20000 AS VARCHAR), CAST(greatest(4, length(CAST(doc_id % 20000 AS VARCHAR))) AS INTEGER), '0') AS label, CASE WHEN doc_id % 2 = 0 AND doc_id > 0 THEN CAST(doc_id AS VARCHAR) END AS png FROM documents")
 def page_labels(spark, sf_dir):
     k = F.col("doc_id")
     name = F.concat(F.when(k % 2 == 0, "page-").otherwise("pages-"), k.cast("string"), F.lit(".png"))
-    return views(spark, sf_dir).read("documents").select("doc_id", T.page_label(k % 20000).alias("label"), T.png_page(name).alias("png"))
+    return views(spark, sf_dir).read("documents").select("doc_id", T.page_label(k % 20000).alias("label"), T.png_page(name).cast("string").alias("png"))
 
 
 @query("SELECT proposal_id, path, 'must reference a page supplied to the model' AS message FROM (SELECT conv_id AS proposal_id, turn, '/sections/' || (dense_rank() OVER (PARTITION BY conv_id ORDER BY role) - 1) || '/blocks/' || (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1) || '/citations/1/page_id' AS path FROM conversations WHERE text IS NOT NULL) WHERE turn % 4 = 3")

@@ -39,7 +39,7 @@ import regex
 #: Word pattern of the lower-casing BPE files (a fixed value of that format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Entries of the per-worker memo of words, of the memo of token pairs and of that of prefixes.
-MEMO, PAIRS, PREFIXES = 400_000, 600_000, 400_000
+MEMO, PAIRS, PREFIXES = 300_000, 300_000, 300_000
 #: Words up to this length go through the transducer's table in one go; nothing of theirs needs to leave early.
 SHORT = 256
 BLANK, CONTROLS = regex.compile(r"\p{White_Space}+"), regex.compile("[\x1c-\x1f]")

@@ -206,6 +206,7 @@ class Codec:
         self.memo = Memo(self._chunk)
         self.word_ids = Memo(self.encode_word)
         self.digest = Digester(self)
+        self.packed: Memo | None = None
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         symbols = word if word.isascii() and word.isprintable() else "".join(map(self.alphabet.__getitem__, word.encode("utf-8")))

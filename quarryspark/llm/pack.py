@@ -19,6 +19,8 @@ stand; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,11 +90,14 @@ def pack(df: DataFrame, tokenizer_path: str, row_len: int = 2048, pad_id: int =
     def run(batches):
         from pyspark import TaskContext
 
-        from quarryspark.llm.bpe import Memo, worker_codec
+        from quarryspark.llm.bpe import MEMO, Memo, worker_codec
 
         codec = worker_codec(spec)
         dtype = np.dtype("<u2" if max(codec.m.text_of) < 1 << 16 else "<u4")
-        as_bytes = Memo(lambda chunk: np.array(codec._chunk(chunk), dtype).tobytes())
+        kind = "H" if dtype.itemsize == 2 else "I"
+        if codec.packed is None:  # kept in the worker for its later tasks
+            codec.packed = Memo(lambda chunk: array(kind, codec._chunk(chunk)).tobytes(), 2 * MEMO)
+        as_bytes = codec.packed
         first = TaskContext.get().partitionId() << 33
         made = 0
 

@@ -40,10 +40,9 @@ from quarryspark.llm.components import components
 
 #: Vantage points of the tree's levels (the digits of an arbitrary fixed word).
 VANTAGE = 0x9E3779B97F4A7C15
-#: Bits of a block of the tree's top levels; levels that make up a shard's key, at most.
+#: Bits of a block of the tree's top levels; levels that make up a shard's key. The same at every size, so that the
+#: shards that a fingerprint visits (65 of them with radius 3) don't grow with the table.
 BLOCK, LEVELS = 16, 4
-#: A shard's expected members above which one more level goes into the key.
-MEMBERS = 4_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -208,13 +207,8 @@ def shard_links(df: DataFrame, radius: int, words: int) -> DataFrame:
     return df.mapInArrow(run, "a long, b long")
 
 
-def tree_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """All links within the radius among (rep, fp0), as spanning links. Exact for any radius."""
-    n = nodes.count()
-    widest = math.comb(BLOCK, BLOCK // 2) / 2**BLOCK
-    levels = 1
-    while levels < LEVELS and n * widest**levels > MEMBERS:
-        levels += 1
+def tree_links(nodes: DataFrame, radius: int = 3, levels: int = LEVELS) -> DataFrame:
+    """All links within the radius among (rep, fp0), as spanning links. Exact for any radius and number of levels."""
     base = 2 * BLOCK + 2 * radius + 2
     code = lambda parts: sum(p * base ** (levels - 1 - i) for i, p in enumerate(parts))
     steps = [code(o) for o in offsets(levels, radius)]

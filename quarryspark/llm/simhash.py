@@ -16,7 +16,7 @@ they read, and no group of copies or near copies is expanded: equal fingerprints
 from the start.
 
 Wide radii (near copies by similarity). Where r is a large part of the distance between random
-fingerprints, no exact triangle bound prunes. ``similar_groups`` then shards 128-bit
+fingerprints, no exact triangle bound prunes. ``similar_groups`` then shards 512-bit
 fingerprints by a forest: each tree takes its own random block of bits and descends one bit at
 a time (a vantage point on one bit), without overlap; the number of trees is chosen so that a
 pair at the wanted similarity meets in some shard with probability ``recall``.
@@ -66,8 +66,11 @@ def majority(hashes: np.ndarray) -> int:
         return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
-        part = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        whole = len(bits) // 255 * 255  # 255 ones fit a byte
+        counts += np.add.reduce(bits[whole:], axis=0, dtype=np.uint8)
+        if whole:
+            counts += np.add.reduce(bits[:whole].reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -131,8 +134,21 @@ class Labels:
                 of[:] = up
 
 
-def compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, level: int, labels: Labels, cells: int = 1 << 22) -> None:
-    """Link rows a with rows b where their fingerprints (n x words) are within the radius. a is b: each pair once."""
+def linked(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int, labels: Labels, pairs: int = 1 << 18) -> None:
+    """Link those pairs of rows that are within the radius over all words; pairs that already share a label are passed over."""
+    for at in range(0, len(i), pairs):
+        x, y = i[at : at + pairs], j[at : at + pairs]
+        apart = labels.of[x] != labels.of[y]
+        x, y = x[apart], y[apart]
+        near = np.bitwise_count(fps[x] ^ fps[y]).sum(1, dtype=np.int32) <= radius
+        labels.link(x[near], y[near])
+
+
+def compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, level: int, labels: Labels, cells: int = 1 << 22, narrow: tuple[int, int] | None = None) -> None:
+    """Link rows a with rows b where their fingerprints (n x words) are within the radius. a is b: each pair once.
+
+    narrow: (words, radius) of a first comparison that pairs must pass before all of their words are looked at.
+    """
     same = a is b
     if len(a) * len(b) > 16 * cells and level < 8 and fps.shape[1] == 1:
         # further down the tree: halves of the top blocks, 8 bits a level
@@ -149,14 +165,18 @@ def compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, level: i
         own, other = a[at : at + step], b[at:] if same else b
         if not len(other):
             break
+        words, most = narrow or (fps.shape[1], radius)
         dist = np.bitwise_count(fps[own, 0][:, None] ^ fps[other, 0][None, :])
-        for w in range(1, fps.shape[1]):
+        for w in range(1, words):
             dist = dist + np.bitwise_count(fps[own, w][:, None] ^ fps[other, w][None, :])
-        i, j = np.nonzero(dist <= radius)
-        labels.link(own[i], other[j])
+        i, j = np.nonzero(dist <= most)
+        if narrow:
+            linked(fps, own[i], other[j], radius, labels)
+        else:
+            labels.link(own[i], other[j])
 
 
-def shard_links(df: DataFrame, radius: int, words: int) -> DataFrame:
+def shard_links(df: DataFrame, radius: int, words: int, narrow: tuple[int, int] | None = None) -> DataFrame:
     """a, b: spanning links. df: shard, member, rep, fp0.. , with the rows of a shard in one partition, next to each other."""
     import pyarrow as pa
 
@@ -172,9 +192,9 @@ def shard_links(df: DataFrame, radius: int, words: int) -> DataFrame:
         rep, member, fps = rep[order], member[order], fps[order]
         labels = Labels(len(rep))
         own, visits = np.flatnonzero(member), np.flatnonzero(~member)
-        compare(fps, own, own, radius, 0, labels)
+        compare(fps, own, own, radius, 0, labels, narrow=narrow)
         if len(visits) and len(own):
-            compare(fps, own, visits, radius, 0, labels)
+            compare(fps, own, visits, radius, 0, labels, narrow=narrow)
         moved = np.flatnonzero(labels.of != np.arange(len(rep)))
         return (rep[moved], rep[labels.of[moved]]) if len(moved) else None
 
@@ -234,15 +254,17 @@ def bits_apart(similarity: float) -> float:
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 2.0) -> DataFrame:
-    """doc_id, component_id: rows whose shingle sets' similarity, as 128-bit fingerprints tell it, reaches ``similarity``.
+    """doc_id, component_id: rows whose shingle sets' similarity, as 512-bit fingerprints tell it, reaches ``similarity``.
 
     A pair is taken up to ``slack`` standard deviations beyond the expected number of differing bits, so that few
-    pairs at the threshold itself are missed.
+    pairs at the threshold itself are missed. The first 128 bits key the shards and rule most pairs out before all
+    bits are compared, with one standard deviation more.
     """
-    p, width = bits_apart(similarity), 128
-    radius = math.floor(width * p + slack * math.sqrt(width * p * (1 - p)))
-    fps = spill(fingerprints(df, words, (42, 43)), "fingerprints")
-    nodes = spill(fps.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "nodes")
+    p, width, wide = bits_apart(similarity), 128, 512
+    most = lambda bits, s: math.floor(bits * p + s * math.sqrt(bits * p * (1 - p)))
+    names = [f"fp{i}" for i in range(wide // 64)]
+    fps = spill(fingerprints(df, words, tuple(range(42, 42 + len(names)))), "fingerprints")
+    nodes = spill(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "nodes")
     depth = max(12, math.ceil(math.log2(max(2, nodes.count()) / 64)))
     trees = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** depth))
     rng = np.random.default_rng(7)
@@ -253,10 +275,11 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
         for b in bits:
             key = F.shiftleft(key, 1).bitwiseOR(F.call_function("getbit", F.col(f"fp{b // 64}"), F.lit(b % 64)).cast("long"))
         keys.append(key)
-    visits = nodes.select(F.explode(F.array(*keys)).alias("shard"), F.lit(True).alias("member"), "rep", "fp0", "fp1")
-    roots = components(shard_links(visits.repartition("shard").sortWithinPartitions("shard"), radius, 2))
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp0", "fp1", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(spill(named, "named"), ["fp0", "fp1"], "left").select("doc_id", "component_id")
+    visits = nodes.select(F.explode(F.array(*keys)).alias("shard"), F.lit(True).alias("member"), "rep", *names)
+    links = shard_links(visits.repartition("shard").sortWithinPartitions("shard"), most(wide, slack), len(names), (width // 64, most(width, slack + 1)))
+    roots = components(links)
+    named = nodes.join(roots, nodes.rep == roots.node, "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
+    return fps.join(spill(named, "named"), names, "left").select("doc_id", "component_id")
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

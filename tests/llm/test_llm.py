@@ -260,6 +260,21 @@ def test_near_copies_at_similarity(spark, docs, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+def test_wide_fingerprints_keep_lesser_likeness_apart(spark):
+    words = [f"w{i}" for i in range(2000)]
+    change = lambda every: " ".join(f"x{i}" if i % every == 0 else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, change(20)), (3, change(100))]  # similarity 0.6 and 0.9 with the first
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_majority_counts_each_bit():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 254, 255, 256, 40_000):
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert simhash.majority(h) == sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > n)
+
+
 def test_components_of_long_paths(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components(edges).collect()} == {0}

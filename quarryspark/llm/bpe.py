@@ -196,15 +196,15 @@ class WordTransducer:
 class Codec:
     """Encodes whole texts and decodes ids, both incrementally, with a bounded memo of words."""
 
-    def __init__(self, merges: Merges):
+    def __init__(self, merges: Merges, memo: int = MEMO):
         self.m = merges
         self.words = regex.compile(WORDS)
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
         self.alphabet = byte_alphabet()
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
         self.prefixes: dict[str, str | None] = {}
-        self.memo = Memo(self._chunk)
-        self.word_ids = Memo(self.encode_word)
+        self.memo = Memo(self._chunk, memo)
+        self.word_ids = Memo(self.encode_word, memo)
         self.digest = Digester(self)
         self.packed: Memo | None = None
 
@@ -360,7 +360,7 @@ class Digester:
 
     def __init__(self, codec: Codec):
         self.codec = codec
-        self.memo = Memo(self._run)
+        self.memo = Memo(self._run, codec.word_ids.most)
         self.join = " " if not codec.m.has_decoder else ""
 
     def _run(self, chunk: str) -> tuple[str, str]:
@@ -387,7 +387,7 @@ class Digester:
         return n, a.hexdigest(), b.hexdigest()
 
 
-def digest_texts(df, tokenizer_path: str):
+def digest_texts(df, tokenizer_path: str, memo: int = MEMO):
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text. The tokenizer file travels with the task."""
     import pyarrow as pa
 
@@ -398,7 +398,7 @@ def digest_texts(df, tokenizer_path: str):
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        digest = worker_codec(spec).digest
+        digest = worker_codec(spec, memo).digest
         for batch in batches:
             found = [digest(t) for t in batch.column("text").to_pylist()]
             n, ids, texts = zip(*found) if found else ((), (), ())
@@ -407,13 +407,13 @@ def digest_texts(df, tokenizer_path: str):
     return df.select(df.doc_id.cast("long").alias("doc_id"), df.text.cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def worker_codec(spec) -> Codec:
+def worker_codec(spec, memo: int = MEMO) -> Codec:
     """The codec of this Python worker, made once and kept in the worker for its later tasks."""
     import builtins
 
     kept = builtins.__dict__.setdefault("_quarryspark_codecs", {})
-    key = hash(spec.value)
+    key = hash((spec.value, memo))
     if key not in kept:
         kept.clear()
-        kept[key] = Codec(Merges(json.loads(spec.value)))
+        kept[key] = Codec(Merges(json.loads(spec.value)), memo)
     return kept[key]

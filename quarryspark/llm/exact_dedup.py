@@ -112,9 +112,10 @@ def exact_groups(df: DataFrame, capacity: int = CAPACITY, key: Column | None = N
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that stay: one of each group of equal texts."""
-    gone = spill(exact_groups(df).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return df.join(gone, df["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """The rows of ``df`` that stay: one of each group of equal texts. By id and text, as ids can be null or repeat."""
+    gone = spill(exact_groups(df).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
+    same = df["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.sha2(normalised(df["text"]), 256) == gone["gone_sha"])
+    return df.join(gone, same, "left_anti")
 
 
 ORACLE = r"""

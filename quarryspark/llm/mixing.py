@@ -94,9 +94,13 @@ def sample(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, te
 
 
 def keep_sampled(df: DataFrame, **how) -> DataFrame:
-    """The rows of ``df`` that are drawn, with all of their columns."""
-    gone = spill(sample(df, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return df.join(gone, df["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """The rows of ``df`` that are drawn, with all of their columns. By id and cell, as ids can be null or repeat."""
+    gone = spill(sample(df, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id"), *(F.col(m).alias(f"gone_{m}") for m in MARGINS)).distinct(), "gone")
+    cell = {m: F.coalesce(df[m].cast("string"), F.lit("none")) for m in ("source", "lang")} | {"topic": topic_of(F.coalesce(df["text"].cast("string"), F.lit("")))}
+    same = df["doc_id"].eqNullSafe(gone["gone_id"])
+    for m in MARGINS:
+        same = same & (cell[m] == gone[f"gone_{m}"])
+    return df.join(gone, same, "left_anti")
 
 
 def oracle(temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> str:

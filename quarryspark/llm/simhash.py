@@ -74,12 +74,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """doc_id and fp0, fp1, ... (longs, one per seed) of each row's whole text."""
+def text_sha(text: Column) -> Column:
+    """32 bytes that stand for a text, so that rows with null or repeated ids can be told apart."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def fingerprints(df: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), sha: bool = False) -> DataFrame:
+    """doc_id, sha (of the text, if asked for) and fp0, fp1, ... (longs, one per seed) of each row's whole text."""
     import pyarrow as pa
 
     short_batches(df.sparkSession)
     names = [f"fp{i}" for i in range(len(seeds))]
+    kept = ["doc_id", "sha"] if sha else ["doc_id"]
     rng = np.random.default_rng(seeds[0])
     mixes = [(int(a) | 1, int(b)) for a, b in rng.integers(1, 1 << 62, (len(seeds), 2))]
 
@@ -92,9 +98,9 @@ def fingerprints(df: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,))
                     # further words of a wide fingerprint come from the same hashes, mixed anew
                     x = h if not i else (h ^ (h >> np.uint64(29))) * np.uint64(mixes[i][0]) + np.uint64(mixes[i][1])
                     col.append(majority(x if not i else x ^ (x >> np.uint64(32))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(c, np.uint64).astype(np.int64)) for c in cols)], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(np.array(c, np.uint64).astype(np.int64)) for c in cols)], [*kept, *names])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([text_sha(F.col("text")).alias("sha")] if sha else [])).mapInArrow(run, "doc_id long, " + "sha binary, " * sha + ", ".join(f"{n} long" for n in names))
 
 
 def ring(fp: Column, level: int) -> Column:
@@ -254,7 +260,7 @@ def bits_apart(similarity: float) -> float:
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 2.0) -> DataFrame:
-    """doc_id, component_id: rows whose shingle sets' similarity, as 512-bit fingerprints tell it, reaches ``similarity``.
+    """doc_id, sha, component_id: rows whose shingle sets' similarity, as 512-bit fingerprints tell it, reaches ``similarity``.
 
     A pair is taken up to ``slack`` standard deviations beyond the expected number of differing bits, so that few
     pairs at the threshold itself are missed. The first 128 bits key the shards and rule most pairs out before all
@@ -263,7 +269,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
     p, width, wide = bits_apart(similarity), 128, 512
     most = lambda bits, s: math.floor(bits * p + s * math.sqrt(bits * p * (1 - p)))
     names = [f"fp{i}" for i in range(wide // 64)]
-    fps = spill(fingerprints(df, words, tuple(range(42, 42 + len(names)))), "fingerprints")
+    fps = spill(fingerprints(df, words, tuple(range(42, 42 + len(names))), sha=True), "fingerprints")
     nodes = spill(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "nodes")
     depth = max(12, math.ceil(math.log2(max(2, nodes.count()) / 64)))
     trees = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** depth))
@@ -279,10 +285,12 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
     links = shard_links(visits.repartition("shard").sortWithinPartitions("shard"), most(wide, slack), len(names), (width // 64, most(width, slack + 1)))
     roots = components(links)
     named = nodes.join(roots, nodes.rep == roots.node, "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(spill(named, "named"), names, "left").select("doc_id", "component_id")
+    return fps.join(spill(named, "named"), names, "left").select("doc_id", "sha", "component_id")
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` that stay: the smallest doc_id of each group of similar texts."""
-    gone = spill(similar_groups(df, words, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return df.join(gone, df["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """The rows of ``df`` that stay: the smallest doc_id of each group of similar texts; a null one goes if another is there."""
+    away = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = spill(similar_groups(df, words, similarity).where(away).select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha")).distinct(), "gone")
+    same = df["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_sha(df["text"]) == gone["gone_sha"])
+    return df.join(gone, same, "left_anti")

@@ -219,6 +219,20 @@ def test_exact_groups_survive_collisions(docs, odd, empty):
     assert exact_dedup.drop_copies(odd).columns == odd.columns and exact_dedup.drop_copies(odd).count() == 6
 
 
+def test_dropping_goes_by_row_not_by_id_alone(spark):
+    """Null ids and ids that stand for two texts: only the rows that are copies, or are not drawn, go."""
+    many, more = (" ".join(f"{p}{i}" for i in range(60)) for p in "vw")
+    rows = spark.createDataFrame([(1, many, "s"), (None, many, "s"), (None, more, "s"), (5, many, "s"), (5, "another text", "s"), (None, "only here", "t")], "doc_id long, text string, source string")
+    left = [(1, many), (5, "another text"), (None, more), (None, "only here")]
+    order = lambda x: sorted(x, key=str)
+    assert order((r.doc_id, r.text) for r in exact_dedup.drop_copies(rows).collect()) == order(left)
+    # a null id never names a component: two null rows of different texts are no group of their own
+    assert order((r.doc_id, r.text) for r in simhash.drop_near_copies(rows).collect()) == order(left)
+    mixed = rows.withColumn("lang", F.lit("en"))
+    kept = mixing.keep_sampled(mixed, targets={"source": {"t": 1.0}}, rate=100.0)
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [(None, "only here")]
+
+
 def test_directory_doubles():
     depths = exact_dedup.double_directory({0: 90, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}, 3, 10)
     assert depths == [3, 3, 2, 2, 1, 1, 1, 1]

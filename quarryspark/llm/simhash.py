@@ -79,8 +79,11 @@ def text_sha(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
-def fingerprints(df: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), sha: bool = False) -> DataFrame:
-    """doc_id, sha (of the text, if asked for) and fp0, fp1, ... (longs, one per seed) of each row's whole text."""
+def fingerprints(df: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), sha: bool = False, distinct: bool = False) -> DataFrame:
+    """doc_id, sha (of the text, if asked for) and fp0, fp1, ... (longs, one per seed) of each row's whole text.
+
+    distinct: a shingle votes once however often it stands in the text, as similarity of sets asks.
+    """
     import pyarrow as pa
 
     short_batches(df.sparkSession)
@@ -94,6 +97,7 @@ def fingerprints(df: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,),
             cols: list[list[int]] = [[] for _ in names]
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(text, words, seeds[0])
+                h = np.unique(h) if distinct else h
                 for i, col in enumerate(cols):
                     # further words of a wide fingerprint come from the same hashes, mixed anew
                     x = h if not i else (h ^ (h >> np.uint64(29))) * np.uint64(mixes[i][0]) + np.uint64(mixes[i][1])
@@ -269,7 +273,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
     p, width, wide = bits_apart(similarity), 128, 512
     most = lambda bits, s: math.floor(bits * p + s * math.sqrt(bits * p * (1 - p)))
     names = [f"fp{i}" for i in range(wide // 64)]
-    fps = spill(fingerprints(df, words, tuple(range(42, 42 + len(names))), sha=True), "fingerprints")
+    fps = spill(fingerprints(df, words, tuple(range(42, 42 + len(names))), sha=True, distinct=True), "fingerprints")
     nodes = spill(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "nodes")
     depth = max(12, math.ceil(math.log2(max(2, nodes.count()) / 64)))
     trees = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** depth))

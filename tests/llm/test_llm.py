@@ -282,6 +282,17 @@ def test_wide_fingerprints_keep_lesser_likeness_apart(spark):
     assert got == {1: 1, 2: 2, 3: 1}
 
 
+def test_repeats_of_a_line_do_not_part_near_copies(spark):
+    rng = random.Random(5)
+    rows = []
+    for i, times in enumerate((0, 5, 30, 0, 5, 30)):
+        if not times:
+            text, line = ([f"{c}{rng.randrange(10**9)}" for _ in range(n)] for c, n in (("w", 300), ("l", 12)))
+        rows.append((i, " ".join(text + line * times)))  # set similarity 0.95 with the text alone
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
 def test_majority_counts_each_bit():
     rng = np.random.default_rng(3)
     for n in (1, 2, 254, 255, 256, 40_000):

@@ -293,6 +293,30 @@ def test_repeats_of_a_line_do_not_part_near_copies(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
 
 
+def test_forest_meets_pairs_at_the_threshold(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(1000):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(184)]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(f"x{rng.randrange(10**9)}" if j in (20, 60, 100, 140) else w for j, w in enumerate(words))))  # 160 of 200 shingles in common
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, slack=6.0).collect()}  # so wide that only the forest can part them
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(1000)) >= 980
+    assert all(got[k] // 2 == k // 2 for k in got)
+
+
+def test_forest_counts_pairs_that_differ_in_more_bits():
+    p, rng = simhash.bits_apart(0.8), np.random.default_rng(2)
+    for depth in (12, 18):
+        trees = simhash.forest_trees(p, 512, depth, 0.99)
+        differ = rng.random((4000, 512)) < p
+        met = np.zeros(4000, bool)
+        for _ in range(trees):
+            met |= ~differ[:, rng.choice(512, depth, replace=False)].any(1)
+        assert met.mean() > 0.984
+
+
 def test_majority_counts_each_bit():
     rng = np.random.default_rng(3)
     for n in (1, 2, 254, 255, 256, 40_000):

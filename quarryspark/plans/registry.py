@@ -364,6 +364,14 @@ def title_nocase_lookup(spark, sf_dir):
     return p.join(wanted, T.ascii_lower(F.col("p_name")) == F.col("wanted")).select("p_partkey", "p_name")
 
 
+@query("SELECT p.p_partkey, p.p_name FROM part p JOIN (SELECT DISTINCT translate(upper(p_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS wanted FROM part) w ON translate(p.p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = w.wanted")
+def title_nocase_lookup_all(spark, sf_dir):
+    """Looks up every part's title; ``title_nocase_lookup`` looks up one in a hundred."""
+    p = views(spark, sf_dir).read("part")
+    wanted = p.select(T.ascii_lower(F.upper("p_name")).alias("wanted")).distinct()
+    return p.join(wanted, T.ascii_lower(F.col("p_name")) == F.col("wanted")).select("p_partkey", "p_name")
+
+
 @query("SELECT doc_id, regexp_matches(source || CASE WHEN doc_id % 3 = 0 THEN '-' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN 'Up' ELSE 'low' END, '^[a-z0-9]+(-[a-z0-9]+)*$') AS slug_ok, doc_id % 4 = 0 AS id_ok FROM documents")
 def slug_ulid_checks(spark, sf_dir):
     k = F.col("doc_id")
@@ -410,6 +418,12 @@ def json_strict_keys(spark, sf_dir):
     return views(spark, sf_dir).read("events").where("event_id % 10 = 0").select("event_id", F.array_join(validate.unexpected_keys(F.col("props"), ["page"]), ",").alias("unexpected"))
 
 
+@query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('page'))), ',') AS unexpected FROM events")
+def json_strict_keys_all(spark, sf_dir):
+    """Checks every event; ``json_strict_keys`` checks one in ten."""
+    return views(spark, sf_dir).read("events").select("event_id", F.array_join(validate.unexpected_keys(F.col("props"), ["page"]), ",").alias("unexpected"))
+
+
 @query("""SELECT conv_id, turn, sha256('{"model":' || to_json(role) || ',"system":' || to_json('s') || ',"user":' || to_json(text) || '}') AS request_sha256 FROM conversations WHERE text IS NOT NULL""")
 def request_hash(spark, sf_dir):
     return views(spark, sf_dir).read("conversations").where("text IS NOT NULL").select("conv_id", "turn", T.request_hash(user=F.col("text"), model=F.col("role"), system=F.lit("s")).alias("request_sha256"))

@@ -29,6 +29,12 @@ def test_query_equals_sql(spark, sf_dir, db, name):
     assert rows(got) == rows(want)
 
 
+def test_every_event_and_title_is_looked_at(spark, sf_dir, db):
+    for name, table, key in (("json_strict_keys_all", "events", "event_id"), ("title_nocase_lookup_all", "part", "p_partkey")):
+        got = sorted(r[key] for r in registry.QUERIES[name](spark, sf_dir).collect())
+        assert got == [r[0] for r in db.execute(f"SELECT {key} FROM {table} ORDER BY 1").fetchall()]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

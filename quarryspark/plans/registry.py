@@ -190,6 +190,20 @@ def extraction_cascade(spark, sf_dir):
     return extract.cascade(_texts(views(spark, sf_dir))).select("doc_id", "text_status", "text_sha256")
 
 
+_WHOLE = r"(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[^ \t\n\x0B\f\r]', '.', 'g') WHEN 2 THEN regexp_replace(text, '[^ \t\n\x0B\f\r]', ' ', 'g') ELSE '' END AS native_text, doc_id % 8 < 6 AS ocr_ok, CASE WHEN doc_id % 8 = 1 THEN regexp_replace(text, '[^ \t\n\x0B\f\r]', ' ', 'g') ELSE text END AS ocr_text FROM documents)"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_USABLE} THEN 'native' WHEN {_OCR} THEN 'ocr_unreviewed' ELSE 'failed' END AS text_status, sha256(CASE WHEN {_USABLE} THEN native_text WHEN {_OCR} THEN ocr_text ELSE '' END) AS text_sha256 FROM {_WHOLE}")
+def extraction_cascade_whole(spark, sf_dir):
+    """Over whole texts, blanked ones where a text must be of no use; ``extraction_cascade`` cuts them to 3 and 40 characters."""
+    k = F.col("doc_id")
+    blanked = lambda by: F.regexp_replace("text", r"[^ \t\n\x0B\f\r]", by)
+    native = F.when(k % 4 == 0, F.col("text")).when(k % 4 == 1, blanked(".")).when(k % 4 == 2, blanked(" ")).otherwise("")
+    ocr = F.when(k % 8 == 1, blanked(" ")).otherwise(F.col("text"))
+    pages = views(spark, sf_dir).read("documents").select("doc_id", native.alias("native_text"), (k % 8 < 6).alias("ocr_ok"), ocr.alias("ocr_text"))
+    return extract.cascade(pages).select("doc_id", "text_status", "text_sha256")
+
+
 @query(f"SELECT doc_id, {_USABLE.replace('native_text', 'text')} AS usable, regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') AS visible FROM documents")
 def usable_native_text(spark, sf_dir):
     return views(spark, sf_dir).read("documents").select("doc_id", T.usable_native(F.col("text")).alias("usable"), T.visible(F.col("text")).alias("visible"))

@@ -1,5 +1,7 @@
 """Every registered query with SQL equals DuckDB's result on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -35,6 +37,14 @@ def test_every_event_and_title_is_looked_at(spark, sf_dir, db):
         assert got == [r[0] for r in db.execute(f"SELECT {key} FROM {table} ORDER BY 1").fetchall()]
 
 
+def test_cascade_hashes_whole_texts(spark, sf_dir, db):
+    got = {r["doc_id"]: (r["text_status"], r["text_sha256"]) for r in registry.QUERIES["extraction_cascade_whole"](spark, sf_dir).collect()}
+    texts = db.execute("SELECT doc_id, sha256(text) FROM documents").fetchall()
+    assert len(got) == len(texts)
+    for k, sha in texts:
+        assert got[k] == (("native", sha) if k % 4 == 0 else ("ocr_unreviewed", sha) if k % 8 in (2, 3, 5) else ("failed", hashlib.sha256(b"").hexdigest()))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

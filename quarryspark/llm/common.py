@@ -19,7 +19,10 @@ SPACE = " \t\n\x0b\f\r"
 #: Rows in one Arrow batch; texts can be long, so batches are kept short.
 ARROW_ROWS = 500
 
-_made: list[tuple[SparkSession, str]] = []
+#: Rows of a side that is broadcast, at most; joins with more rows shuffle.
+BROADCAST_ROWS = 200_000
+
+_made: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,21 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def larger(batches, size: int = 8 << 20):
+    """Arrow batches put together until they hold ``size`` bytes."""
+    import pyarrow as pa
+
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -43,25 +61,65 @@ def shared_dir(spark: SparkSession) -> str:
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarryspark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    folder = f"{shared_dir(spark)}/quarryspark-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
     if not _made:
         atexit.register(_remove_all)
-    _made.append((spark, path.rsplit("/", 1)[0]))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[folder] = spark
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.spilled = folder
+    return out
+
+
+def discard(*spilled: DataFrame) -> None:
+    """Delete spilled tables whose successors are written."""
+    for df in spilled:
+        _remove(df.spilled)
+
+
+def _remove(folder: str) -> None:
+    spark = _made.pop(folder)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove_all() -> None:
     """Best effort at exit: scratch tables are of no use after the session."""
-    for spark, path in _made:
+    for folder in list(_made):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(folder)
         except Exception:  # the JVM may be gone already
             return
 
 
+def sized(side: DataFrame, rows: int | None = None) -> DataFrame:
+    """A side of a join with a hint: broadcast if it is counted to have few rows, else a sort-merge join."""
+    return side.hint("broadcast" if (side.count() if rows is None else rows) <= BROADCAST_ROWS else "merge")
+
+
+def text_sha(text: Column) -> Column:
+    """32 bytes that stand for a text, so that rows with null or repeated ids can be told apart."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def keep_one(df: DataFrame, named: DataFrame, sha: Column) -> DataFrame:
+    """The rows of ``df`` whose (doc_id, sha) is ``keep`` in named (doc_id, sha, keep), one of each that repeats.
+
+    Only rows that go, or repeat, are named to ``df``; its texts stay where they are as long as those are few.
+    """
+    rows = spill(named.groupBy("doc_id", "sha").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT keep").select(F.col("doc_id").alias("_gone_id"), F.col("sha").alias("_gone_sha"), "keep"), "gone")
+    own_id = df["doc_id"].cast("long")
+    same = lambda side: own_id.eqNullSafe(side["_gone_id"]) & (sha == side["_gone_sha"])
+    gone = sized(rows)
+    left = df.join(gone, same(gone), "left_anti")
+    repeats = rows.where("keep")
+    if repeats.isEmpty():
+        return left
+    repeats = sized(repeats)
+    again = df.join(repeats, same(repeats), "left_semi").groupBy(own_id.alias("_id"), sha.alias("_sha")).agg(F.any_value(F.struct(*df.columns)).alias("_row"))
+    return left.unionByName(again.select("_row.*"))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of rows whose labels no classifier may see."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

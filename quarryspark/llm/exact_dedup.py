@@ -1,34 +1,38 @@
 """Exact dedup with an extendible-hash index on shared files; built-in functions only.
 
-1. Keys: one pass reduces each row to (doc_id, hash, digest) of its normalised text.
-2. Index: keys are pre-aggregated to entries. A directory over the top bits of the hash
-   starts with one bucket; while a bucket is overfull it splits by one more bit, and the
-   directory doubles when that bucket already uses all of its bits. Owner tasks each take a
-   range of buckets and write their entries, in hash order, to the shared folder.
-3. Chains: entries of one hash form a chain. Rows of chains with more than one row come
-   back with their texts and are grouped by the bytes themselves, with partial
-   aggregation, so a group of copies is one row before it is shuffled.
+1. Entries: one pass reduces each row to (row, doc_id, h, digest) of its normalised text; rows of
+   equal (h, digest) are one entry with their number and smallest doc_id, aggregated by task first.
+2. Directory: a slot for each value of the hash's first ``depth`` bits. It starts with one bucket; while
+   a bucket holds over ``CAPACITY`` entries it splits by one more bit, and the directory doubles when that
+   bucket already uses all of its bits. Splits are worked out from the counts of a finer grid of
+   cells, level by level, as tables; the directory is a table too, of slots and their buckets.
+3. Owners: an entry finds its bucket through the directory. Owner tasks take ranges of buckets; in each
+   bucket the entries of one hash form a chain, in digest order, and get their link's number. The
+   owner decides an entry that is alone with its hash and has one row; the other chains' texts
+   are compared byte by byte: rows of these chains only come back with their texts, which are
+   grouped by bytes, by task first, so that a group of copies is one row before it is shuffled.
 4. Each row takes the keeper of its entry. Should two texts share hash and digest, their
    rows find their keeper by the bytes instead.
 
-The directory is bounded: the bucket capacity grows with the table so that it has at most
-2^16 slots. Hot groups are collapsed before every shuffle; the last join is of short rows,
-which adaptive execution splits.
+The index (bucket, h, link, chain, digest, keep_id, n) is written to the shared folder, in bucket order.
+A bucket's capacity is the same at every size. Hot groups are one row of a side in every join; the
+other side, rows of a few numbers, is what adaptive execution splits.
 
 Edge cases: a null text counts as empty; the texts need no limit on length; of equal texts
-the smallest doc_id stays (rows that repeat that doc_id all stay); a null doc_id never
-stays over another; an empty table gives an empty result; other columns are ignored.
+the smallest doc_id stays (rows that repeat that doc_id all stay in ``exact_groups``; ``drop_copies``
+keeps one of them); a null doc_id never stays over another; an empty table gives an empty
+result; other columns are ignored, and passed on by ``drop_copies``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import spill
+from quarryspark.llm.common import discard, keep_one, sized, spill
 
-#: Entries of a bucket, at least; and slots of the directory, at most.
-CAPACITY, SLOTS = 100_000, 1 << 16
+#: Entries of a bucket, at most, unless they share all bits that are looked at; bits of cells beyond an even spread.
+CAPACITY, FINER = 16_384, 4
 
 
 def normalised(text: Column) -> Column:
@@ -37,45 +41,43 @@ def normalised(text: Column) -> Column:
 
 
 def top_bits(h: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
+    return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def double_directory(counts: dict[int, int], bits: int, capacity: int) -> list[int]:
-    """Local depth of each of the 2^bits cells: grow a directory from depth 0, splitting overfull buckets.
+def _right(x: Column, n: Column) -> Column:
+    return F.call_function("shiftright", x, n)
 
-    counts: entries by cell. A bucket that is overfull at full depth keeps them all (its chains grow instead).
-    """
-    depth, directory = 0, [0]
-    size = {(0, 0): sum(counts.values())}
-    by_depth = {bits: counts}
-    for d in range(bits - 1, -1, -1):
-        up: dict[int, int] = {}
-        for cell, n in by_depth[d + 1].items():
-            up[cell >> 1] = up.get(cell >> 1, 0) + n
-        by_depth[d] = up
-    while depth < bits and any(n > capacity and d == depth for (d, _), n in size.items()):
-        directory = [d for d in directory for _ in (0, 1)]  # the directory doubles
-        depth += 1
-        for slot, d in enumerate(directory):
-            if d == depth - 1 and size.get((d, slot >> 1), 0) > capacity:
-                directory[slot] = depth
-        size = {(d, s >> (depth - d)): by_depth[d].get(s >> (depth - d), 0) for s, d in enumerate(directory)}
-    return [d for d in directory for _ in range(1 << (bits - depth))]
+
+def directory(entries: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """(slot, bucket, bits) for each slot, and the directory's depth. entries: h."""
+    total = entries.count()
+    finest = (max(0, total // capacity).bit_length() + FINER) if total > capacity else 0
+    cells = entries.groupBy(top_bits(F.col("h"), finest).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    grown = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("bits"))
+    levels = spill(grown.groupBy("bits", _right(F.col("cell"), F.lit(finest) - F.col("bits")).alias("bucket")).agg(F.sum("n").alias("n")), "levels")
+    over = levels.where(F.col("n") > capacity).select((F.col("bits") + 1).alias("bits"), F.col("bucket").alias("up"))
+    fits = levels.where((F.col("n") <= capacity) | (F.col("bits") == finest))
+    # a bucket is as wide as it can be: the one that it was split from was overfull
+    split = fits.where("bits > 0").withColumn("up", _right(F.col("bucket"), F.lit(1))).join(over, ["bits", "up"], "left_semi").select("bits", "bucket")
+    buckets = spill(fits.where("bits = 0").select("bits", "bucket").unionByName(split), "buckets")
+    depth = buckets.agg(F.max("bits")).first()[0] or 0
+    spare = F.lit(depth) - F.col("bits")
+    first = F.call_function("shiftleft", F.col("bucket"), spare)
+    slots = buckets.select(first.alias("bucket"), "bits", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("long"), spare) - 1)).alias("slot"))
+    return spill(slots, "directory"), depth
 
 
 def build_index(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """bucket, h, digest, keep_id, n: entries by owner task, in hash order."""
+    """bucket, bits, h, link, chain, digest, keep_id, n: entries by owner task. keys: h, digest, doc_id."""
     entries = spill(keys.groupBy("h", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "entries")
-    total = entries.count()
-    capacity = max(capacity, -(-total * 8 // SLOTS))
-    bits = min(max(0, (total // capacity).bit_length() + 2), SLOTS.bit_length() - 1) if total > capacity else 0
-    cells = {r["cell"]: r["n"] for r in entries.groupBy(top_bits(F.col("h"), bits).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()} if bits else {0: total}
-    depths = double_directory(cells, bits, capacity)
-    cell = top_bits(F.col("h"), bits)
-    depth = F.element_at(F.split(F.lit(",".join(map(str, depths))), ","), cell + 1).cast("int") if bits else F.lit(0)
-    unused = F.lit(bits) - depth
-    bucket = F.call_function("shiftleft", F.call_function("shiftright", cell, unused), unused)
-    return entries.withColumn("bucket", bucket.cast("int")).repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h")
+    slots, depth = directory(entries, capacity)
+    placed = entries.withColumn("slot", top_bits(F.col("h"), depth)).join(sized(slots), "slot")
+    owned = placed.repartitionByRange("bucket", "h")
+    chain = Window.partitionBy("bucket", "h")
+    owned = owned.withColumns({"link": F.row_number().over(chain.orderBy("digest")), "chain": F.count(F.lit(1)).over(chain)})
+    index = spill(owned.sortWithinPartitions("bucket", "h", "link").select("bucket", "bits", "h", "link", "chain", "digest", "keep_id", "n"), "index")
+    discard(entries, slots)
+    return index
 
 
 def exact_groups(df: DataFrame, capacity: int = CAPACITY, key: Column | None = None, digest: Column | None = None) -> DataFrame:
@@ -88,23 +90,23 @@ def exact_groups(df: DataFrame, capacity: int = CAPACITY, key: Column | None = N
     sha = F.sha2("t", 256)
     weak = digest is not None
     keys = spill(rows.select("doc_id", h.alias("h"), (digest if weak else sha).alias("digest"), *([sha.alias("sha")] if weak else [])), "keys")
-    index = spill(build_index(keys, capacity), "index")
+    index = build_index(keys, capacity)
 
-    # a chain needs its bytes compared if it has more than one row, under whatever digest
-    contested = spill(index.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "contested")
-    texts = rows.withColumn("h", h).join(contested, "h", "left_semi")
+    # chains of more than one row have their bytes compared, under whatever digest
+    contested = index.where("n > 1 OR chain > 1")
+    texts = rows.withColumn("h", h).join(sized(contested.select("h").distinct()), "h", "left_semi")
     by_bytes = texts.groupBy("h", "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    chains = spill(by_bytes.select("h", (digest if weak else sha).alias("digest"), sha.alias("sha"), "keep_id", "n"), "chains")
-
-    clash = chains.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h", "digest")
-    alone = chains.where("n > 1").join(clash, ["h", "digest"], "left_anti").select("h", "digest", "keep_id", "n")
-    out = keys.join(spill(alone, "keepers"), ["h", "digest"], "left")
+    groups = spill(by_bytes.select("h", (digest if weak else sha).alias("digest"), "keep_id", "n"), "groups")
+    told = groups.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    clash = told.where("texts > 1").select("h", "digest")
+    alone = told.where("texts = 1 AND n > 1").select("h", "digest", "keep_id", "n")
+    out = keys.join(sized(spill(alone, "keepers")), ["h", "digest"], "left")
     out = out.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("sha" if weak else "digest").alias("text_sha256"), "h", "digest")
     if clash.isEmpty():
         out = out.drop("h", "digest")
     else:
         shared = spill(clash, "clash")
-        again = rows.withColumns({"h": h, "digest": digest if weak else sha}).join(shared, ["h", "digest"], "left_semi")
+        again = rows.withColumns({"h": h, "digest": digest if weak else sha}).join(sized(shared), ["h", "digest"], "left_semi")
         owners = again.groupBy("h", "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         resolved = again.join(owners, ["h", "t"]).select("doc_id", "keep_id", "group_size", sha.alias("text_sha256"))
         out = out.join(shared, ["h", "digest"], "left_anti").drop("h", "digest").unionByName(resolved)
@@ -113,9 +115,8 @@ def exact_groups(df: DataFrame, capacity: int = CAPACITY, key: Column | None = N
 
 def drop_copies(df: DataFrame) -> DataFrame:
     """The rows of ``df`` that stay: one of each group of equal texts. By id and text, as ids can be null or repeat."""
-    gone = spill(exact_groups(df).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
-    same = df["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.sha2(normalised(df["text"]), 256) == gone["gone_sha"])
-    return df.join(gone, same, "left_anti")
+    named = exact_groups(df).select("doc_id", F.col("text_sha256").alias("sha"), F.col("kept").alias("keep"))
+    return keep_one(df, named, F.sha2(normalised(df["text"]), 256))
 
 
 ORACLE = r"""

@@ -2,38 +2,48 @@
 
 Token weights are summed by cell (source, language, topic). Each round rakes the cells to the
 source, then the language, then the topic marginals: every margin's cells are multiplied by its
-target over its present sum. A document is kept with probability min(1, rate * f), f being the
-ratio of its cell's raked to its observed weight; the draw is a hash of doc_id, so a run repeats
-itself and any task may be lost.
+target over its present sum, and none rises above its own tokens, so that what the bound takes from
+one cell goes to the others of its margin in the next round. A document is kept with its cell's
+probability, raked over own tokens; the draw is a hash of doc_id and text, so a run repeats itself and any
+task may be lost.
 
 Targets. By default a margin's target shares are its observed shares to the power
 ``temper`` (1 leaves them, 0 makes them equal); ``targets`` gives shares outright, in which case
-values that it does not name get none. Cells wanted more than ``1 / rate`` times are kept whole.
+values that it does not name get none. ``rate`` is the share of tokens to keep, or less where a
+sample without repeats could not meet the targets: a value with share s of the tokens and target t
+allows s / t at most, and ``HEADROOM`` of the least of these is taken. ``missed`` says how far from
+its targets a mixture is.
 
 Topic: by content, the family of signs that is densest over the whole text.
 
-Hot values: a source that holds a third of all rows is one partial sum per task; cells are few
-and margins fewer, and documents meet their cell in a join of short rows.
+Cells are aggregated by task first, so a source that holds a third of all rows is a few rows. Raking
+is a chain of windows over the cells, which are dealt to one task for each ``CELLS`` of them; one task
+needs no shuffle. Documents meet their cell in a join of the cells' side, broadcast if it is counted
+to be small, and are filtered where they are: no text moves unless the cells are many.
 
-Edge cases: null source, language or topic is the value ``none``; null and empty texts have no
-tokens and the factor of their cell; a cell without tokens has factor 1; repeated rows are drawn
-alike; an empty table gives an empty result; other columns are ignored.
+Edge cases: a null source or language is a value like any other; null and empty texts have no
+tokens; a cell without tokens has probability ``rate``, or 0 if a target of its is 0; repeated rows
+are drawn alike, rows of one or no doc_id with other texts are not; texts are read whole; equal draws
+and probabilities are no ties (a draw is kept if below); an empty table gives an empty result; other
+columns are ignored, and passed on by ``keep_sampled``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import spill
+from quarryspark.llm.common import discard, sized, spill
 
 MARGINS = ("source", "lang", "topic")
-#: Powers of observed shares that make the default targets; rounds; mean share of tokens to keep.
+#: Powers of observed shares that make the default targets; rounds; share of tokens to keep, at most; share of what targets allow.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
-ROUNDS, RATE, SEED = 8, 0.8, "mix"
+ROUNDS, RATE, HEADROOM, SEED = 24, 0.8, 0.95, "mix"
 #: Topic -> its signs; a topic needs a sign for every ``DENSE`` characters.
 TOPICS = {"data": "0123456789|", "markup": "#$%&*<>{}", "talk": "?!\""}
 DENSE = 40
+#: Cells of a task; rounds of a job.
+CELLS, JOB = 1_000_000, 6
 
 
 def n_tokens(text: Column) -> Column:
@@ -42,8 +52,9 @@ def n_tokens(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
+    signs = F.regexp_replace(text, "[^" + "".join(TOPICS.values()) + "]+", "")
     size = F.length(text)
-    density = {t: size - F.length(F.translate(text, signs, "")) for t, signs in TOPICS.items()}
+    density = {t: F.length(signs) - F.length(F.translate(signs, own, "")) for t, own in TOPICS.items()}
     best = F.greatest(*density.values())
     out = F.when(best * DENSE < F.greatest(size, F.lit(1)), F.lit("prose"))
     for t, n in density.items():
@@ -51,75 +62,112 @@ def topic_of(text: Column) -> Column:
     return out
 
 
-def _targets(cells: DataFrame, margin: str, temper: float, given: dict[str, float] | None, total: float) -> DataFrame:
-    if given is not None:
-        share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(margin)), F.lit(0.0)) if given else F.lit(0.0)
-        raw = cells.select(margin).distinct().withColumn("share", share.cast("double"))
-    else:
-        raw = cells.groupBy(margin).agg(F.pow(F.sum("n") / total, F.lit(temper)).alias("share"))
-    whole = raw.agg(F.sum("share")).first()[0] or 1.0
-    return spill(raw.select(margin, (F.col("share") / whole * total).alias("target")), f"target_{margin}")
-
-
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """source, lang, topic, n -> the same and ``factor``."""
-    cells = spill(cells.withColumn("n", F.col("n").cast("double")), "cells")
-    total = cells.agg(F.sum("n")).first()[0] or 0.0
-    if not total:
-        return cells.withColumn("factor", F.lit(1.0))
-    goal = {m: _targets(cells, m, temper[m], (targets or {}).get(m), total) for m in MARGINS}
-    now = cells.withColumn("w", F.col("n"))
-    for _ in range(rounds):
-        for m in MARGINS:
-            sums = now.groupBy(m).agg(F.sum("w").alias("now")).join(goal[m], m).select(m, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0).alias("by"))
-            now = now.join(sums, m).select(*MARGINS, "n", (F.col("w") * F.col("by")).alias("w"))
+def _aimed(cells: DataFrame, total: float, targets: dict[str, dict[str, float]], temper: dict[str, float]) -> tuple[DataFrame, float]:
+    """cells with the target shares t_source, t_lang, t_topic; the largest rate that each margin allows by itself."""
+    room = 1.0
+    for m in MARGINS:
+        own = cells.groupBy(m).agg(F.sum("n").alias("own"))
+        if m in targets:
+            given = targets[m]
+            share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(m)), F.lit(0.0)) if given else F.lit(0.0)
+        else:
+            share = F.pow(F.col("own") / total, F.lit(temper[m]))
+        own = own.withColumn("share", share.cast("double"))
+        whole, least = own.agg(F.sum("share"), F.min(F.when(F.col("share") > 0, F.col("own") / total / F.col("share")))).first()
+        whole = whole or 1.0
+        room = min(room, (1.0 if least is None else least) * whole)
+        own = own.select(F.col(m).alias(f"_{m}"), (F.col("share") / whole).alias(f"t_{m}"))
+        cells = cells.join(own, cells[m].eqNullSafe(own[f"_{m}"])).drop(f"_{m}")
+    return cells, room
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int = ROUNDS, headroom: float = HEADROOM) -> DataFrame:
+    """source, lang, topic, n -> the same, the target shares, raked weight ``w`` and probability ``p``."""
+    cells = spill(cells.select(*MARGINS, F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("n")), "cells")
+    count, total = cells.agg(F.count(F.lit(1)), F.sum("n")).first()
+    aimed, room = _aimed(cells, total or 1.0, targets or {}, temper)
+    rate = min(rate, headroom * room) if total else rate
+    now = spill(aimed.withColumn("w", F.col("n") * rate), "aimed")
+    for first in range(0, rounds if total else 0, JOB):
+        before, now = now, now.coalesce(1) if count <= CELLS else now.repartition(-(-count // CELLS), *MARGINS)
+        for _ in range(first, min(first + JOB, rounds)):
+            for m in MARGINS:
+                sums = F.sum("w").over(Window.partitionBy(m))
+                now = now.withColumn("w", F.least("n", F.when(sums > 0, F.col("w") * (F.col(f"t_{m}") * (rate * total) / sums)).otherwise(F.col("w"))))
         now = spill(now, "raked")
-    return now.select(*MARGINS, "n", F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(1.0).alias("factor"))
+        discard(before)
+    aim = F.least(*(F.col(f"t_{m}") for m in MARGINS))
+    return now.withColumn("p", F.when(F.col("n") > 0, F.col("w") / F.col("n")).when(aim > 0, rate).otherwise(0.0))
+
+
+def missed(raked: DataFrame) -> float:
+    """The largest difference between a margin's expected share of the sample and its target share."""
+    whole = raked.agg(F.sum("w")).first()[0]
+    if not whole:
+        return 0.0
+    return max(raked.groupBy(m).agg(F.abs(F.sum("w") / whole - F.first(f"t_{m}")).alias("off")).agg(F.max("off")).first()[0] for m in MARGINS)
+
+
+def draw(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) from a hash of doc_id and text (52 bits of SHA-256)."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("none")), F.lit(":"), F.sha2(text, 256))
+    return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) from a hash of doc_id (52 bits of SHA-256)."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("none")))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n"))
 
 
-def sample(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+def _of_cell(raked: DataFrame) -> DataFrame:
+    """The join's side of cells; names that can't clash."""
+    return sized(raked.select(*(F.col(m).alias(f"_cell_{m}") for m in MARGINS), F.col("p").alias("_cell_p")))
+
+
+def sample(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED, headroom: float = HEADROOM) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, kept of every row of (doc_id, text, source, lang)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c)
-    rows = spill(df.select("doc_id", named("source"), named("lang"), topic_of(text).alias("topic"), n_tokens(text).cast("long").alias("n_tokens")), "rows")
-    raked = rake(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), targets, temper, rounds)
-    p = F.least(F.lit(1.0), rate * F.col("factor"))
-    return rows.join(raked.drop("n"), list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", F.round(p, 9).alias("probability"), (draw(F.col("doc_id"), seed) < p).alias("kept"))
-
-
-def keep_sampled(df: DataFrame, **how) -> DataFrame:
-    """The rows of ``df`` that are drawn, with all of their columns. By id and cell, as ids can be null or repeat."""
-    gone = spill(sample(df, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id"), *(F.col(m).alias(f"gone_{m}") for m in MARGINS)).distinct(), "gone")
-    cell = {m: F.coalesce(df[m].cast("string"), F.lit("none")) for m in ("source", "lang")} | {"topic": topic_of(F.coalesce(df["text"].cast("string"), F.lit("")))}
-    same = df["doc_id"].eqNullSafe(gone["gone_id"])
-    for m in MARGINS:
-        same = same & (cell[m] == gone[f"gone_{m}"])
-    return df.join(gone, same, "left_anti")
+    rows = spill(df.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic_of(text).alias("topic"), n_tokens(text).cast("long").alias("n_tokens"), draw(F.col("doc_id"), text, seed).alias("draw")), "rows")
+    cell = _of_cell(rake(_cells(rows), targets, temper, rate, rounds, headroom))
+    same = rows["source"].eqNullSafe(cell["_cell_source"]) & rows["lang"].eqNullSafe(cell["_cell_lang"]) & (rows["topic"] == cell["_cell_topic"])
+    return rows.join(cell, same).select("doc_id", *MARGINS, "n_tokens", F.round("_cell_p", 9).alias("probability"), (F.col("draw") < F.col("_cell_p")).alias("kept"))
+
+
+def keep_sampled(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED, headroom: float = HEADROOM) -> DataFrame:
+    """The rows of ``df`` that are drawn, with all of their columns."""
+    text = F.coalesce(df["text"].cast("string"), F.lit(""))
+    own = {"source": df["source"].cast("string"), "lang": df["lang"].cast("string"), "topic": topic_of(text)}
+    rows = df.select(*(c.alias(m) for m, c in own.items()), n_tokens(text).cast("long").alias("n_tokens"))
+    cell = _of_cell(rake(_cells(rows), targets, temper, rate, rounds, headroom))
+    same = (draw(df["doc_id"], text, seed) < cell["_cell_p"]) & (own["topic"] == cell["_cell_topic"])
+    for m in ("source", "lang"):
+        same = same & own[m].eqNullSafe(cell[f"_cell_{m}"])
+    return df.join(cell, same, "left_semi")
 
 
 def oracle(temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> str:
     density = {t: f"(length(t) - length(translate(t, '{s}', '')))" for t, s in TOPICS.items()}
     best = f"greatest({', '.join(density.values())})"
     topic = f"CASE WHEN {best} * {DENSE} < greatest(length(t), 1) THEN 'prose' " + " ".join(f"WHEN {n} = {best} THEN '{t}'" for t, n in density.items()) + " END"
-    steps, last = [], "cells"
+    steps, last = [], "start"
     for r in range(rounds):
         for m in MARGINS:
             name = f"r{r}_{m}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, n, CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN w * (target / sum(w) OVER (PARTITION BY {m})) ELSE w END AS w FROM {last} JOIN target_{m} USING ({m}))")
+            steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (least(n, CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN w * (t_{m} * (rate * (SELECT n FROM total)) / sum(w) OVER (PARTITION BY {m})) ELSE w END) AS w) FROM {last})")
             last = name
-    goals = ", ".join(f"share_{m} AS (SELECT {m}, pow(sum(n) / (SELECT sum(n) FROM cells), {temper[m]}) AS share FROM cells GROUP BY {m}), target_{m} AS (SELECT {m}, share / (SELECT sum(share) FROM share_{m}) * (SELECT sum(n) FROM cells) AS target FROM share_{m})" for m in MARGINS)
+    goals = ", ".join(f"share_{m} AS (SELECT {m}, sum(n) AS own, pow(sum(n) / (SELECT n FROM total), {temper[m]}) AS share FROM cells GROUP BY {m}), whole_{m} AS (SELECT sum(share) AS whole, min(own / (SELECT n FROM total) / share) FILTER (share > 0) AS least FROM share_{m})" for m in MARGINS)
+    room = ", ".join(f"(SELECT coalesce(least, 1.0::DOUBLE) * whole FROM whole_{m})" for m in MARGINS)
+    aims = " ".join(f"JOIN share_{m} ON cells.{m} IS NOT DISTINCT FROM share_{m}.{m} CROSS JOIN whole_{m}" for m in MARGINS)
+    same = " AND ".join(f"d.{m} IS NOT DISTINCT FROM c.{m}" for m in MARGINS)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, coalesce(text, '') AS t FROM documents),
-doc_rows AS (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM d),
-cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n, sum(n_tokens)::DOUBLE AS w FROM doc_rows GROUP BY ALL),
-{goals}, {", ".join(steps)},
-p AS (SELECT source, lang, topic, least(1.0::DOUBLE, {rate} * CASE WHEN n > 0 THEN w / n ELSE 1.0 END) AS p FROM {last})
-SELECT doc_id, source, lang, topic, n_tokens, round(p, 9) AS probability,
-  CAST(('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'none')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < p AS kept
-FROM doc_rows JOIN p USING (source, lang, topic)"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+doc_rows AS (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens, sha256(t) AS sha FROM d),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM doc_rows GROUP BY ALL),
+total AS (SELECT sum(n) AS n FROM cells),
+{goals},
+aimed AS (SELECT least({rate}::DOUBLE, {HEADROOM} * least(1.0::DOUBLE, {room})) AS rate),
+start AS (SELECT cells.*, {", ".join(f"share_{m}.share / whole_{m}.whole AS t_{m}" for m in MARGINS)}, rate, cells.n * rate AS w FROM cells {aims} CROSS JOIN aimed),
+{", ".join(steps)},
+c AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN w / n WHEN least({", ".join(f"t_{m}" for m in MARGINS)}) > 0 THEN rate ELSE 0 END AS p FROM {last})
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 9) AS probability,
+  CAST(('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'none') || ':' || sha), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < p AS kept
+FROM doc_rows d JOIN c ON {same}"""

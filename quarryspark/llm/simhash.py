@@ -25,8 +25,9 @@ passes 0.973 of the pairs at exactly the wanted similarity, so 0.96 of them are
 
 Edge cases: null and empty texts have fingerprint 0, linked like any other; texts of fewer
 words than a shingle hash as a whole; repeated rows share fingerprints; long texts are hashed
-whole; an empty table gives an empty result; other columns are ignored. Null doc_ids get a
-fingerprint, never name a component of other rows, and share that of their fingerprint.
+whole; an empty table gives an empty result; other columns are ignored, and passed on by
+``drop_near_copies``. Rows without a doc_id link others like any row; a component of such rows only
+has a null name.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import hex64, short_batches, spill
+from quarryspark.llm.common import discard, hex64, keep_one, short_batches, spill, text_sha
 from quarryspark.llm.components import components
 
 #: Vantage points of the tree's levels (the digits of an arbitrary fixed word).
@@ -76,11 +77,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def text_sha(text: Column) -> Column:
-    """32 bytes that stand for a text, so that rows with null or repeated ids can be told apart."""
-    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
-
-
 def fingerprints(df: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), sha: bool = False, distinct: bool = False) -> DataFrame:
     """doc_id, sha (of the text, if asked for) and fp0, fp1, ... (longs, one per seed) of each row's whole text.
 
@@ -251,13 +247,26 @@ def tree_links(nodes: DataFrame, radius: int = 3, levels: int = LEVELS) -> DataF
     return shard_links(visits.repartition("shard").sortWithinPartitions("shard"), radius, 1)
 
 
+def named_components(fps: DataFrame, names: list[str], links) -> DataFrame:
+    """The columns of fps and ``first``: the row that stands first in what is reachable over ``links(nodes)``.
+
+    first: (none, doc_id and sha, if fps has it); none: that there is no doc_id. A node is a distinct fingerprint with an
+    ordinal, so rows without a doc_id link others like any row, but come after all that have one.
+    """
+    own = fps.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *(["sha"] if "sha" in fps.columns else []))).alias("first"))
+    nodes = spill(own.select(F.monotonically_increasing_id().alias("rep"), *names, "first"), "nodes")
+    roots = spill(components(links(nodes.drop("first"))), "roots")
+    rooted = nodes.join(roots, nodes.rep == roots.node, "left").select(*names, "first", F.coalesce("root", "rep").alias("root"))
+    named = spill(rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first"), "named")
+    discard(nodes, roots)
+    return fps.join(named, names, "left")
+
+
 def near_components(df: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of (doc_id, text)."""
     fps = spill(fingerprints(df, words), "fingerprints")
-    nodes = spill(fps.groupBy("fp0").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "nodes")
-    roots = components(tree_links(nodes, radius))
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp0", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(spill(named, "named"), "fp0", "left").select("doc_id", hex64(F.col("fp0")).alias("fingerprint"), "component_id")
+    named = named_components(fps, ["fp0"], lambda nodes: tree_links(nodes, radius))
+    return named.select("doc_id", hex64(F.col("fp0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def bits_apart(similarity: float) -> float:
@@ -281,7 +290,7 @@ def forest_trees(p: float, width: int, depth: int, recall: float) -> int:
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 2.0) -> DataFrame:
-    """doc_id, sha, component_id: rows whose shingle sets' similarity, as 512-bit fingerprints tell it, reaches ``similarity``.
+    """doc_id, sha, component_id, first: rows whose shingle sets' similarity, as 512-bit fingerprints tell it, reaches ``similarity``.
 
     A pair is taken up to ``slack`` standard deviations beyond the expected number of differing bits, so that few
     pairs at the threshold itself are missed. The first 128 bits rule most pairs out before all bits are compared,
@@ -291,27 +300,27 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
     most = lambda bits, s: math.floor(bits * p + s * math.sqrt(bits * p * (1 - p)))
     names = [f"fp{i}" for i in range(wide // 64)]
     fps = spill(fingerprints(df, words, tuple(range(42, 42 + len(names))), sha=True, distinct=True), "fingerprints")
-    nodes = spill(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "nodes")
-    depth = max(12, math.ceil(math.log2(max(2, nodes.count()) / 64)))
-    trees = forest_trees(p, wide, depth, recall)
-    rng = np.random.default_rng(7)
-    keys = []
-    for t in range(trees):
-        bits = sorted(rng.choice(wide, depth, replace=False).tolist())
-        key = F.lit(t).cast("long")
-        for b in bits:
-            key = F.shiftleft(key, 1).bitwiseOR(F.call_function("getbit", F.col(f"fp{b // 64}"), F.lit(b % 64)).cast("long"))
-        keys.append(key)
-    visits = nodes.select(F.explode(F.array(*keys)).alias("shard"), F.lit(True).alias("member"), "rep", *names)
-    links = shard_links(visits.repartition("shard").sortWithinPartitions("shard"), most(wide, slack), len(names), (width // 64, most(width, slack + 1)))
-    roots = components(links)
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(spill(named, "named"), names, "left").select("doc_id", "sha", "component_id")
+
+    def links(nodes: DataFrame) -> DataFrame:
+        depth = max(12, math.ceil(math.log2(max(2, nodes.count()) / 64)))
+        rng = np.random.default_rng(7)
+        keys = []
+        for t in range(forest_trees(p, wide, depth, recall)):
+            key = F.lit(t).cast("long")
+            for b in sorted(rng.choice(wide, depth, replace=False).tolist()):
+                key = F.shiftleft(key, 1).bitwiseOR(F.call_function("getbit", F.col(f"fp{b // 64}"), F.lit(b % 64)).cast("long"))
+            keys.append(key)
+        visits = nodes.select(F.explode(F.array(*keys)).alias("shard"), F.lit(True).alias("member"), "rep", *names)
+        return shard_links(visits.repartition("shard").sortWithinPartitions("shard"), most(wide, slack), len(names), (width // 64, most(width, slack + 1)))
+
+    return named_components(fps, names, links).select("doc_id", "sha", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` that stay: the smallest doc_id of each group of similar texts; a null one goes if another is there."""
-    away = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = spill(similar_groups(df, words, similarity).where(away).select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha")).distinct(), "gone")
-    same = df["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_sha(df["text"]) == gone["gone_sha"])
-    return df.join(gone, same, "left_anti")
+    """The rows of ``df`` that stay, one of each group of similar texts: that with the smallest doc_id, a null one coming last.
+
+    Of rows of the group that share that doc_id, or have none, that with the smallest hash of its text.
+    """
+    groups = similar_groups(df, words, similarity)
+    keep = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    return keep_one(df, groups.select("doc_id", "sha", keep.alias("keep")), text_sha(df["text"]))

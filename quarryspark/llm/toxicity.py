@@ -37,14 +37,15 @@ N_FEATURES = 18
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, most: int = SAMPLE) -> DataFrame:
-    """doc_id, y and the columns of docs, for about ``most`` labelled rows, chosen by a hash of doc_id."""
+    """The columns of docs and y for about ``most`` labelled doc_ids, chosen by a hash; one row of each, the smallest."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("label_id").isNotNull())
     known = known.where(learn).groupBy("label_id").agg(F.max("y").alias("y"))
     known = spill(known, "labels")
     share = min(1.0, most / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
     # at most about ``most`` pairs of numbers: a proven bound
-    return docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["label_id"]).drop("label_id")
+    found = docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["label_id"])
+    return found.groupBy("label_id", "y").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*", "y")
 
 
 def lexicon(sample: DataFrame, most: int = LEXICON) -> dict[str, float]:

@@ -1,7 +1,10 @@
 """URL filter: rules, then empirical-Bayes host reputation.
 
-Labelled outcomes (1 good, 0 bad) are counted by host, registered domain (the last two
-labels) and suffix (the last label). Each level's success rates are shrunk to the level
+Labelled outcomes (1 good, 0 bad) are counted by host, registered domain and suffix. For these levels user info
+and port are taken off; the suffix is the last label, with the one before if that is one of ``SECOND`` and
+the last has two letters (``co.uk``); the registered domain is one label more; an address (numbers and
+dots, or brackets) is its own domain, with the suffix ``address``. Suffixes that registries name
+otherwise are not known: hosts below them share a domain. Each level's success rates are shrunk to the level
 above by a beta-binomial prior whose mean is the parent's posterior mean and whose strength
 is the level's own, estimated from all of its groups by the method of moments:
 
@@ -15,11 +18,11 @@ Rules name a host with all of its subdomains and a path prefix; the longest that
 (over both parts, then the first given) and overrides the reputation.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and fits no rule; it
-has no levels and takes the reputation of all pages; user info and ports stay parts of the host;
-repeated rows each get their verdict; without any labels the prior is 1/2 with strength 1; an
+has no levels and takes the reputation of all pages; user info and ports stay parts of the given host; urls of any
+length are read whole; repeated rows each get their verdict; without any labels the prior is 1/2 with strength 1; an
 empty table gives an empty result; other columns are ignored. Hot hosts are one row per task
-before any shuffle, and the join of pages with hosts is by short keys, which adaptive execution
-splits.
+before any shuffle, and the join of pages with hosts is by short keys: the hosts are broadcast if they are counted to be
+few, else adaptive execution splits hot ones.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import spill
+from quarryspark.llm.common import sized, spill
 
 #: (verdict, host, path prefix) of the registered query.
 RULES = (
@@ -37,6 +40,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Second labels that belong to the suffix under a two-letter label.
+SECOND = ("co", "com", "org", "net", "gov", "edu", "ac", "ne", "or", "go")
+#: A registered domain (group 0) and its suffix (group 2).
+DOMAIN = r"([^.]+\.)?((?:" + "|".join(SECOND) + r")\.[a-z][a-z]|[^.]+)$"
+ADDRESS = r"^(\[.*\]|[0-9.]+)$"
 #: Posterior bound below which a host is blocked, and standard deviations from mean to bound.
 FLOOR, Z = 0.6, 1.645
 
@@ -80,7 +88,9 @@ def reputation(hosts: DataFrame) -> DataFrame:
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    site = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    address = F.regexp_like(site, F.lit(ADDRESS))
+    return F.when(address, site).otherwise(F.regexp_extract(site, DOMAIN, 0)), F.when(address, "address").otherwise(F.regexp_extract(site, DOMAIN, 2))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float = FLOOR, z: float = Z) -> DataFrame:
@@ -100,7 +110,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float = FLO
     bound = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     hosts = spill(hosts.select("host", bound.alias("reputation")), "bounds")
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    return seen.join(hosts, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, F.when(F.col("reputation") >= floor, "allow").otherwise("block")).alias("verdict"), F.round("reputation", 6).alias("reputation"))
+    return seen.join(sized(hosts), "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, F.when(F.col("reputation") >= floor, "allow").otherwise("block")).alias("verdict"), F.round("reputation", 6).alias("reputation"))
 
 
 _SHRINK = """
@@ -120,7 +130,9 @@ def oracle(rules=RULES, floor: float = FLOOR, z: float = Z) -> str:
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 seen AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM r),
-keyed AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM seen),
+sites AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM seen),
+keyed AS (SELECT page_id, host, path, CASE WHEN regexp_matches(site, '{ADDRESS}') THEN site ELSE regexp_extract(site, '{DOMAIN}', 0) END AS domain,
+  CASE WHEN regexp_matches(site, '{ADDRESS}') THEN 'address' ELSE regexp_extract(site, '{DOMAIN}', 2) END AS suffix FROM sites),
 hosts AS (SELECT host, domain, suffix, '' AS top, count(*)::DOUBLE AS n, sum(l.quality)::DOUBLE AS k FROM keyed JOIN labels l ON l.doc_id = page_id WHERE host <> '' AND l.quality IS NOT NULL GROUP BY ALL),
 everything AS (SELECT '' AS key, 0.5 + coalesce(sum(k), 0) AS a, 0.5 + coalesce(sum(n) - sum(k), 0) AS b FROM hosts),{chain}
 ab AS (SELECT d.host, coalesce(h.a, o.a, s.a, e.a) AS a, coalesce(h.b, o.b, s.b, e.b) AS b FROM (SELECT DISTINCT host, domain, suffix FROM keyed) d

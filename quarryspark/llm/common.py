@@ -19,6 +19,8 @@ SPACE = " \t\n\x0b\f\r"
 #: Rows in one Arrow batch; texts can be long, so batches are kept short.
 ARROW_ROWS = 500
 
+#: Files of a scratch table, at most, for each core of the cluster.
+FILES = 4
 #: Rows of a side that is broadcast, at most; joins with more rows shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -34,7 +36,7 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def larger(batches, size: int = 8 << 20):
+def larger(batches, size: int = 2 << 20):
     """Arrow batches put together until they hold ``size`` bytes."""
     import pyarrow as pa
 
@@ -62,7 +64,7 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/quarryspark-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
+    df.coalesce(FILES * spark.sparkContext.defaultParallelism).write.parquet(f"{folder}/{name}")
     if not _made:
         atexit.register(_remove_all)
     _made[folder] = spark

@@ -29,12 +29,17 @@ def ready(status: Column, text: Column) -> Column:
     return status.isin("native", "reviewed") & (text != "")
 
 
+def missing_of(sources: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted source_ids that are no active source."""
+    return wanted.select("source_id").join(sources.where("archived_at IS NULL"), "source_id", "left_anti")
+
+
 def missing_sources(sources: DataFrame, wanted: list[str]) -> str | None:
     """The smallest wanted id that is no active source."""
     if not wanted:
         return None
     ids = sources.sparkSession.createDataFrame([(w,) for w in wanted], "source_id string")
-    return ids.join(sources.where("archived_at IS NULL"), "source_id", "left_anti").agg(F.min("source_id")).first()[0]
+    return missing_of(sources, ids).agg(F.min("source_id")).first()[0]
 
 
 def select_evidence(sources: DataFrame, versions: DataFrame, pages: DataFrame, spec: ConceptSpec, only: list[str] | None = None, ordered: bool = True) -> DataFrame:
@@ -47,7 +52,8 @@ def select_evidence(sources: DataFrame, versions: DataFrame, pages: DataFrame, s
     latest = latest_versions(versions).select("source_id", "source_version_id")
     dim = active.select("source_id", "display_name", "source_kind").join(latest, "source_id")
     found = pages.where(ready(F.col("text_status"), F.col("text"))).join(dim, "source_version_id")
-    name = match_text(F.col("display_name"))
-    scored = found.withColumns({"sort_name": name, "score": relevance(name, match_text(F.col("text")), spec)}).where("score > 0")
-    out = scored.select("score", "sort_name", "source_id", "display_name", "source_kind", "source_version_id", "page_number", "page_id", "text")
+    # both texts are normalised once a row; the generator keeps the planner from copying the expression into every phrase
+    once = found.select("*", match_text(F.col("display_name")).alias("sort_name"), F.explode(F.array(match_text(F.col("text")))).alias("matched"))
+    scored = once.withColumn("score", relevance(F.col("sort_name"), F.col("matched"), spec)).where("score > 0")
+    out = scored.select("score", "sort_name", "source_id", "display_name", "source_kind", "source_version_id", "page_number", "page_id", "text", "text_status")
     return out.orderBy(F.desc("score"), "sort_name", "source_id", "page_number", "page_id") if ordered else out

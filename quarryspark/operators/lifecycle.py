@@ -24,7 +24,3 @@ def listed(proposals: DataFrame, status: str | None = None) -> DataFrame:
     return rows.orderBy(F.desc("created_at"), F.desc("proposal_id"))
 
 
-def transition(status: Column, verb: str) -> Column:
-    """The status after approve, reject or apply; unchanged when the verb doesn't fit."""
-    before, after = {"approve": ("pending", "approved"), "reject": ("pending", "rejected"), "apply": ("approved", "applied")}[verb]
-    return F.when(status == before, after).otherwise(status)

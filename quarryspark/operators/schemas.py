@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql.types import StructType
 
+#: Tables, columns, keys and references of the state.
 TABLES: dict[str, str] = {
     "schema_migrations": "version int, applied_at string",
     "sources": "source_id string, display_name string, source_kind string, created_at string, archived_at string",
@@ -19,6 +20,8 @@ TABLES: dict[str, str] = {
     "article_citations": "article_id string, section_key string, block_index int, page_id string",
     "apply_runs": "apply_run_id string, proposal_id string, article_id string, previous_content_sha256 string, new_content_sha256 string, backup_path string, applied_at string",
     "article_index": "article_id string, title string, aliases string, body string",
+    "article_postings": "term string, article_id string, tf_title long, tf_aliases long, tf_body long",
+    "article_lengths": "article_id string, dl long",
 }
 
 #: The enumerations of the state tables and of proposals.

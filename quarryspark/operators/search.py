@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryspark.functions.text import ascii_lower, safe_relative
 from quarryspark.operators.schemas import EngineError
 
 #: Column weights and BM25 constants.
@@ -106,11 +107,14 @@ def search(articles: DataFrame, query: str, limit: int = 20, index: tuple[DataFr
     # stats is one row, df one row per term of the query
     scored = hits.join(F.broadcast(df), "term").join(docs, "article_id").join(F.broadcast(stats))
     matched = scored.groupBy("article_id").agg(F.count_distinct("term").alias("terms"), (-F.sum(part)).alias("relevance")).where(F.col("terms") == len(times))
-    titled = matched.join(articles.select("article_id", "title", *(["body"] if snippets else [])), "article_id")
-    lower = F.translate("title", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    titled = matched.join(articles.select("article_id", "title"), "article_id")
+    lower = ascii_lower(F.col("title"))
     top = titled.orderBy("relevance", lower, "article_id").limit(limit)
     if not snippets:
         return top.select("article_id", "title", "relevance")
+    # bodies of the results only: at most ``limit`` rows look theirs up
+    top = articles.select("article_id", "body").join(F.broadcast(top), "article_id")
+
     @F.pandas_udf("string")
     def cut(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: snippet(b or "", phrases))
@@ -118,6 +122,13 @@ def search(articles: DataFrame, query: str, limit: int = 20, index: tuple[DataFr
     return top.select("article_id", "title", "relevance", cut("body").alias("snippet")).orderBy("relevance", lower, "article_id")
 
 
+def with_paths(found: DataFrame, articles: DataFrame) -> DataFrame:
+    """Results with their article's path, and whether it is a safe relative one; in the order of the results."""
+    joined = found.join(articles.select("article_id", "vault_path"), "article_id")
+    columns = [c for c in ("article_id", "title", "vault_path", "snippet", "relevance") if c in joined.columns]
+    return joined.select(*columns, safe_relative(F.col("vault_path")).alias("safe")).orderBy("relevance", ascii_lower(F.col("title")), "article_id")
+
+
 def snippet(body: str, phrases: list[list[str]], size: int = SNIPPET_TOKENS, mark: tuple[str, str] = ("[", "]"), more: str = " ... ") -> str:
     """The window with the most distinct phrases, from a sentence start if one is near, hits in brackets."""
     spans = [(m.start(), m.end()) for m in regex.finditer(TOKEN, body)]

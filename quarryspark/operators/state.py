@@ -1,7 +1,7 @@
 """Snapshot store: tables are Parquet, a commit is a new version directory and one pointer rename.
 
 Every mutation is a pure function from tables to tables. ``transaction`` holds an exclusive
-lock, checks keys, references and value sets of the tables that changed, writes only those, and
+lock (a lease: one that its writer did not give back is taken over when it has run out), checks keys, references and value sets of the tables that changed, writes only those, and
 flips the pointer last; a failure leaves the old version current and removes the new one.
 """
 
@@ -12,13 +12,15 @@ import json
 import os
 import shutil
 import time
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarryspark.functions.text import ascii_lower
-from quarryspark.operators.schemas import CHECKS, REFERENCES, TABLES, UNIQUE, EngineError, schema
+from quarryspark.operators.schemas import CHECKS, REFERENCES, TABLES, UNIQUE, EngineError
 
 Tables = dict[str, DataFrame]
 
@@ -43,6 +45,9 @@ def constraint_violations(tables: Tables, only: set[str] | None = None) -> DataF
             target = UNIQUE[parent][0][0]
             keys = tables[parent].select(F.col(target).alias("referenced"))
             add(tables[t].where(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("referenced"), "left_anti"), t, f"{key} references {parent}")
+    if not parts:
+        any_table = next(iter(tables.values()))
+        return any_table.sparkSession.createDataFrame([], "table string, rule string, violations long")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -50,8 +55,8 @@ def constraint_violations(tables: Tables, only: set[str] | None = None) -> DataF
 
 
 class StateStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, lease_s: float = 3600.0):
+        self.spark, self.root, self.lease_s = spark, root, lease_s
 
     @property
     def _pointer(self) -> str:
@@ -62,7 +67,7 @@ class StateStore:
         os.makedirs(self.root, exist_ok=True)
         if os.path.exists(self._pointer):
             return False
-        self._point({"version": 0, "tables": {}, "schema_versions": [1]})
+        self._point({"version": 0, "tables": {}})
         return True
 
     def _point(self, manifest: dict) -> None:
@@ -85,27 +90,63 @@ class StateStore:
             raise EngineError("invalid_state", "the project is not initialized") from None
 
     def table(self, name: str) -> DataFrame:
-        path = self.manifest()["tables"].get(name)
+        manifest = self.manifest()
+        kind = self._schema(manifest, name)
+        path = manifest["tables"].get(name)
         if path is None:
-            return self.spark.createDataFrame([], schema(name))
-        return self.spark.read.schema(schema(name)).parquet(os.path.join(self.root, path))
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(os.path.join(self.root, path))  # a column added since then is null
+
+    @staticmethod
+    def _schema(manifest: dict, name: str) -> StructType:
+        """The table's schema with the columns that migrations have given it."""
+        return StructType.fromDDL(manifest.get("columns", {}).get(name) or TABLES[name])
 
     def tables(self) -> Tables:
-        return {n: self.table(n) for n in TABLES}
+        return {n: self.table(n) for n in {**TABLES, **self.manifest().get("columns", {})}}
 
-    @contextlib.contextmanager
-    def transaction(self, wait_s: float = 5.0) -> Iterator[Tables]:
-        """Yields the tables; those replaced in the mapping are checked, written and made current on exit."""
+    @staticmethod
+    def _owner(lock: str) -> str | None:
+        try:
+            with open(lock, encoding="utf-8") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    def _locked(self, wait_s: float) -> tuple[str, str]:
+        """The lock's path and this owner's mark, once the lock is held."""
         lock, until = os.path.join(self.root, "LOCK"), time.monotonic() + wait_s
         while True:
+            owner = json.dumps({"owner": uuid.uuid4().hex, "until": time.time() + self.lease_s})
+            mine = f"{lock}.{uuid.uuid4().hex}"
             try:
-                os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
-                break
+                with open(mine, "w", encoding="utf-8") as f:
+                    f.write(owner)
+                os.link(mine, lock)  # fails if it is there; its content is there at once
+                return lock, owner
             except FileExistsError:
-                if time.monotonic() > until:
+                held = self._owner(lock)
+                if held is not None and json.loads(held or '{"until": 0}')["until"] < time.time():
+                    with contextlib.suppress(FileNotFoundError):
+                        os.replace(lock, f"{lock}.stale")  # one of the waiting writers gets it
+                elif time.monotonic() > until:
                     raise EngineError("state_error", "another writer holds the state") from None
-                time.sleep(0.05)
+                else:
+                    time.sleep(0.05)
+            finally:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(mine)
+
+    @contextlib.contextmanager
+    def transaction(self, wait_s: float = 5.0, columns: dict[str, str] | None = None) -> Iterator[Tables]:
+        """Yields the tables; those replaced in the mapping are checked, written and made current on exit.
+
+        columns: tables that this transaction makes, or gives further columns, with their schemas.
+        """
+        lock, owner = self._locked(wait_s)
         manifest = self.manifest()
+        if columns:
+            manifest["columns"] = manifest.get("columns", {}) | columns
         version = manifest["version"] + 1
         new_dir = os.path.join(self.root, f"v={version}")
         try:
@@ -116,18 +157,21 @@ class StateStore:
             paths = dict(manifest["tables"])
             for n in changed:
                 paths[n] = f"v={version}/{n}"
-                now[n].select(*schema(n).names).write.parquet(os.path.join(self.root, paths[n]))
-            written = {n: self.spark.read.schema(schema(n)).parquet(os.path.join(self.root, paths[n])) if n in changed else before[n] for n in now}
+                now[n].select(*self._schema(manifest, n).names).write.parquet(os.path.join(self.root, paths[n]))
+            written = {n: self.spark.read.schema(self._schema(manifest, n)).parquet(os.path.join(self.root, paths[n])) if n in changed else before[n] for n in now}
             broken = constraint_violations(written, changed).limit(20).collect() if changed else []
             if broken:
                 raise EngineError("state_error", "; ".join(f"{r['table']}: {r['rule']}" for r in broken))
-            if changed:
+            if self._owner(lock) != owner:
+                raise EngineError("state_error", "the lease on the state ran out")
+            if changed or columns:
                 self._point(manifest | {"version": version, "tables": paths})
         except BaseException:
             shutil.rmtree(new_dir, ignore_errors=True)
             raise
         finally:
-            os.remove(lock)
+            if self._owner(lock) == owner:
+                os.remove(lock)
 
 
 def append(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -142,7 +186,7 @@ def overlay(table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
     return joined.select(*(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns))
 
 
-def compare_and_set(proposals: DataFrame, ids: list[str], expected: str, **values) -> DataFrame:
-    """Rows of ``ids`` whose status is ``expected`` take the values; others stay."""
-    hit = F.col("proposal_id").isin(ids) & (F.col("status") == expected)
+def compare_and_set(proposals: DataFrame, which: Column, expected: str, **values) -> DataFrame:
+    """Of the rows of ``which``, those whose status is ``expected`` take the values; others stay."""
+    hit = F.coalesce(which, F.lit(False)) & F.coalesce(F.col("status") == expected, F.lit(False))
     return proposals.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})

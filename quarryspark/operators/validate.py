@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.functions.text import has_line_break, is_id, is_slug
+from quarryspark.functions.text import has_line_break, is_id, is_slug, safe_relative
 from quarryspark.operators.citations import MESSAGES, checked
 from quarryspark.operators.schemas import BLOCK_KINDS, OPERATIONS, PROPOSAL, SECTION_KEYS, EngineError
 
@@ -131,8 +131,8 @@ def semantic_issues(proposals: DataFrame) -> DataFrame:
     c = located_citations(proposals)
     cites = _issues(
         c,
-        (~is_id(F.col("page_id"), "page_"), _at(F.col("at"), "/page_id"), "must be a page_ ULID"),
-        (F.col("start_char") >= F.col("end_char"), F.col("at"), "start_char must be less than end_char"),
+        (~is_id(F.col("page_id"), "pg_"), _at(F.col("at"), "/page_id"), "must be a pg_ ULID"),
+        (F.col("start_char") >= F.col("end_char"), _at(F.col("at"), "/end_char"), "must be greater than start_char"),
         (F.col("quote") == "", _at(F.col("at"), "/quote"), "must not be empty"),
     )
     return top.unionByName(blocks).unionByName(related).unionByName(cites)
@@ -174,17 +174,40 @@ def response_issues(proposals: DataFrame, pages: DataFrame, target: Column | Non
 
 
 def page_issues(pages: DataFrame) -> DataFrame:
-    """page_id, path, message of pages sent with a request, readiness and repeated ids included."""
-    again = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("times"))
-    rules = (
-        (~is_id(F.col("page_id"), "page_"), "/page_id", "must be a page_ ULID"),
+    """page_id, path, message of (page_id, source_version_id, page_number, image_path, language), where columns are there."""
+    rules = [
+        (~is_id(F.col("page_id"), "pg_"), "/page_id", "must be a pg_ ULID"),
         (~is_id(F.col("source_version_id"), "ver_"), "/source_version_id", "must be a ver_ ULID"),
         (F.col("page_number") < 1, "/page_number", "must be at least 1"),
-        (~F.col("text_status").isin("native", "reviewed") | (F.col("text") == ""), "/text_status", "must be model-ready"),
-        (F.col("times") > 1, "/page_id", "must be unique"),
+    ]
+    if "image_path" in pages.columns:
+        rules.append((F.col("image_path").isNotNull() & ~safe_relative(F.col("image_path")), "/image_path", "must be project-relative"))
+    if "language" in pages.columns:
+        rules.append((F.coalesce("language", F.lit("")) == "", "/language", "must not be empty"))
+    found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))) for bad, path, message in rules)))
+    return pages.select(*([c for c in ("index", "request_id") if c in pages.columns]), "page_id", F.explode(found).alias("i")).select("*", "i.path", "i.message").drop("i")
+
+
+def request_issues(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """request_id, path, message of requests (request_id, operation, article_id) and the pages (request_id, index, ...) sent with them."""
+    known = pages.groupBy("request_id").agg(F.count(F.lit(1)).alias("pages"))
+    r = requests.join(known, "request_id", "left")
+    has = F.col("article_id").isNotNull()
+    rules = (
+        (F.coalesce("pages", F.lit(0)) == 0, "/pages", "must hold at least one page"),
+        ((F.col("operation") == "create_article") & has, "/article_id", "must be left out for a new article"),
+        ((F.col("operation") == "update_article") & ~has, "/article_id", "is needed for an update"),
+        (has & ~is_id(F.col("article_id"), "art_"), "/article_id", "must be an art_ ULID"),
     )
     found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))) for bad, path, message in rules)))
-    return pages.join(again, "page_id").select("page_id", F.explode(found).alias("i")).select("page_id", "i.*").distinct()
+    top = r.select("request_id", F.explode(found).alias("i")).select("request_id", "i.*")
+    at = lambda below: F.concat(F.lit("/pages/"), F.col("index").cast("string"), below)
+    own = page_issues(pages).select("request_id", at(F.col("path")).alias("path"), "message")
+    status = F.when(F.col("text_status") == "ocr_unreviewed", "OCR text must be reviewed first").when(F.col("text_status") == "failed", "a failed page is no evidence")
+    unready = pages.select("request_id", at(F.lit("/text_status")).alias("path"), status.alias("message")).where("message IS NOT NULL")
+    first = pages.groupBy("request_id", "page_id").agg(F.min("index").alias("first"))
+    again = pages.join(first, ["request_id", "page_id"]).where("index > first").select("request_id", at(F.lit("/page_id")).alias("path"), F.lit("must be unique among the pages").alias("message"))
+    return top.unionByName(own).unionByName(unready).unionByName(again)
 
 
 def unrenderable(proposals: DataFrame, start: str, end: str, reserved: str) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from quarryspark.functions import text as T
 from quarryspark.operators import citations as C
-from quarryspark.operators import extract, ids, ingest, lifecycle, render, search, state, validate
-from quarryspark.operators.evidence import ready, select_evidence
-from quarryspark.operators.schemas import ConceptSpec
+from quarryspark.operators import extract, ids, ingest, lifecycle, passages, render, search, state, validate
+from quarryspark.operators.evidence import missing_of, ready, select_evidence
+from quarryspark.operators.schemas import ConceptSpec, schema
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,12 +57,15 @@ class views:
         status = F.when(F.col("quality").isNull() | (F.col("quality") == 1) & (F.col("toxic") == 1), "native").when(F.col("quality") == 1, "reviewed").when(F.col("toxic") == 0, "ocr_unreviewed").otherwise("failed")
         return d.join(l, "page_id", "left").select("page_id", "source_version_id", "page_number", "text", status.alias("text_status"))
 
+    @property
+    def turns(self) -> DataFrame:
+        return self.read("conversations").fillna("", "text")
+
     @property
     def citations(self) -> DataFrame:
-        # fixture discovery: the passages are a table of at most hundreds of rows, so the planner broadcasts it by its size
-        d, b = self.read("documents").select("doc_id", "text"), self.read("benchmark").select("item_id", F.col("text").alias("quote"))
-        start, end = C.spans(F.col("text"), F.col("quote"))
-        return d.join(b, F.col("text").contains(F.col("quote"))).select(F.col("doc_id").alias("page_id"), "item_id", start.alias("start_char"), end.alias("end_char"), "quote")
+        # fixture discovery: every passage's first place in every document
+        d, b = self.read("documents").select(F.col("doc_id").alias("page_id"), "text"), self.read("benchmark").select("item_id", "text")
+        return passages.found(d, b)
 
     @property
     def proposals(self) -> DataFrame:
@@ -137,7 +140,7 @@ def evidence_latest_only(spark, sf_dir):
 @query(with_views("SELECT w AS source_id FROM (VALUES ('src1'), ('src6'), ('nowhere')) t(w) WHERE w NOT IN (SELECT source_id FROM v_sources WHERE archived_at IS NULL)", "v_sources"))
 def missing_sources_anti(spark, sf_dir):
     wanted = spark.sql("SELECT * FROM VALUES ('src1'), ('src6'), ('nowhere') AS t(source_id)")
-    return wanted.join(views(spark, sf_dir).sources.where("archived_at IS NULL"), "source_id", "left_anti")
+    return missing_of(views(spark, sf_dir).sources, wanted)
 
 
 _LATEST = with_views("SELECT source_id, source_version_id, sha256, byte_size FROM v_versions v WHERE version_seq = (SELECT max(version_seq) FROM v_versions w WHERE w.source_id = v.source_id)", "v_versions")
@@ -153,16 +156,44 @@ def latest_version_correlated(spark, sf_dir):
     return spark.sql("SELECT source_id, source_version_id, sha256, byte_size FROM {v} v WHERE version_seq = (SELECT max(version_seq) FROM {v} w WHERE w.source_id = v.source_id)", v=views(spark, sf_dir).versions)
 
 
-@query(with_views("SELECT sha256, min(version_seq) AS first_seq, count(*) AS copies FROM v_versions GROUP BY sha256", "v_versions"))
-def dedup_by_hash(spark, sf_dir):
-    return views(spark, sf_dir).versions.groupBy("sha256").agg(F.min("version_seq").alias("first_seq"), F.count(F.lit(1)).alias("copies"))
+def _files(v: views) -> DataFrame:
+    """Documents as files of two kinds; several share a name."""
+    name = F.concat(F.lit("in/"), F.col("source"), F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".md"))
+    return v.read("documents").select(name.alias("path"), F.col("text").cast("binary").alias("content"), F.col("doc_id").alias("seq"))
+
+
+def _imported(v: views) -> tuple[state.Tables, DataFrame]:
+    """Even documents are imported first, then the odd ones; the tables after both, and the results of both."""
+    made = lambda prefix, key: F.concat(F.lit(prefix), F.sha2(key, 256))
+    tables = {n: v.spark.createDataFrame([], schema(n)) for n in ("sources", "source_versions")}
+    out = None
+    for batch in (0, 1):
+        tables, found = ingest.ingest(tables, _files(v).where(F.col("seq") % 2 == batch), f"2024-0{batch + 1}-01T00:00:00Z", made)
+        out = found if out is None else out.unionByName(found)
+    return tables, out
 
 
-@query(with_views("SELECT v.version_seq, f.source_version_id, f.source_id FROM v_versions v JOIN (SELECT sha256, min(version_seq) AS first_seq FROM v_versions GROUP BY 1) g ON g.sha256 = v.sha256 JOIN v_versions f ON f.version_seq = g.first_seq", "v_versions"))
+_FILES = "f AS (SELECT doc_id AS seq, source || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.md' END AS name, CASE WHEN doc_id % 3 = 0 THEN 'text' ELSE 'markdown' END AS kind, sha256(text) AS sha256, doc_id % 2 AS batch FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY batch, seq) = 1 AS created, first(name || chr(0) || kind) OVER (PARTITION BY sha256 ORDER BY batch, seq) AS owner FROM f)"
+
+
+@query(f"WITH {_FILES} SELECT seq, sha256, created, 'src_' || sha256(owner) AS source_id, 'ver_' || sha256(sha256) AS source_version_id FROM o")
 def dedup_assignment(spark, sf_dir):
-    v = views(spark, sf_dir).versions
-    first = v.groupBy("sha256").agg(F.min(F.struct("version_seq", "source_version_id", "source_id")).alias("f"))
-    return v.select("sha256", "version_seq").join(first, "sha256").select("version_seq", "f.source_version_id", "f.source_id")
+    return _imported(views(spark, sf_dir))[1].select("seq", "sha256", "created", "source_id", "source_version_id")
+
+
+@query(f"WITH {_FILES} SELECT sha256, min(seq) FILTER (WHERE created) AS first_seq, count(*) AS copies FROM o GROUP BY sha256")
+def dedup_by_hash(spark, sf_dir):
+    return _imported(views(spark, sf_dir))[1].groupBy("sha256").agg(F.min(F.when(F.col("created"), F.col("seq"))).alias("first_seq"), F.count(F.lit(1)).alias("copies"))
+
+
+@query(f"WITH {_FILES}, base AS (SELECT max(seq) + 1 AS base FROM o WHERE batch = 0 AND created) SELECT 'ver_' || sha256(sha256) AS source_version_id, 'src_' || sha256(owner) AS source_id, name AS original_filename, CASE WHEN batch = 0 THEN seq + 1 ELSE base + 1 + seq END AS version_seq, CASE WHEN batch = 0 THEN '2024-01-01T00:00:00Z' ELSE '2024-02-01T00:00:00Z' END AS imported_at FROM o, base WHERE created")
+def imported_versions(spark, sf_dir):
+    return _imported(views(spark, sf_dir))[0]["source_versions"].select("source_version_id", "source_id", "original_filename", "version_seq", "imported_at")
+
+
+@query(f"WITH {_FILES} SELECT 'src_' || sha256(owner) AS source_id, split_part(owner, chr(0), 1) AS display_name, split_part(owner, chr(0), 2) AS source_kind, min(CASE WHEN batch = 0 THEN '2024-01-01T00:00:00Z' ELSE '2024-02-01T00:00:00Z' END) AS created_at FROM o WHERE created GROUP BY ALL")
+def imported_sources(spark, sf_dir):
+    return _imported(views(spark, sf_dir))[0]["sources"].select("source_id", "display_name", "source_kind", "created_at")
 
 
 @query("SELECT source_kind, media_type, count(*) AS files FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'markdown' WHEN 3 THEN 'text' END AS source_kind, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'text/markdown' WHEN 3 THEN 'text/plain' END AS media_type FROM documents) GROUP BY ALL")
@@ -173,29 +204,16 @@ def format_detect(spark, sf_dir):
     return d.groupBy(kind.alias("source_kind"), T.media_type(kind).alias("media_type")).agg(F.count(F.lit(1)).alias("files"))
 
 
-_TEXTS = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 3) WHEN 2 THEN ' . , ' ELSE '' END AS native_text, doc_id % 8 < 6 AS ocr_ok, CASE WHEN doc_id % 8 = 1 THEN ' ' ELSE substr(text, 1, 40) END AS ocr_text FROM documents)"
 _USABLE = r"(octet_length(encode(regexp_replace(native_text, '[ \t\n\x0B\f\r]+', '', 'g'))) >= 4 AND octet_length(encode(regexp_replace(native_text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', '', 'g'))) >= 2)"
 _OCR = r"(ocr_ok AND regexp_matches(ocr_text, '[^ \t\n\x0B\f\r]'))"
 
 
-def _texts(v: views) -> DataFrame:
-    k = F.col("doc_id")
-    native = F.when(k % 4 == 0, F.col("text")).when(k % 4 == 1, F.substring("text", 1, 3)).when(k % 4 == 2, " . , ").otherwise("")
-    ocr = F.when(k % 8 == 1, " ").otherwise(F.substring("text", 1, 40))
-    return v.read("documents").select("doc_id", native.alias("native_text"), (k % 8 < 6).alias("ocr_ok"), ocr.alias("ocr_text"))
-
-
-@query(f"SELECT doc_id, CASE WHEN {_USABLE} THEN 'native' WHEN {_OCR} THEN 'ocr_unreviewed' ELSE 'failed' END AS text_status, sha256(CASE WHEN {_USABLE} THEN native_text WHEN {_OCR} THEN ocr_text ELSE '' END) AS text_sha256 FROM {_TEXTS}")
-def extraction_cascade(spark, sf_dir):
-    return extract.cascade(_texts(views(spark, sf_dir))).select("doc_id", "text_status", "text_sha256")
-
-
 _WHOLE = r"(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[^ \t\n\x0B\f\r]', '.', 'g') WHEN 2 THEN regexp_replace(text, '[^ \t\n\x0B\f\r]', ' ', 'g') ELSE '' END AS native_text, doc_id % 8 < 6 AS ocr_ok, CASE WHEN doc_id % 8 = 1 THEN regexp_replace(text, '[^ \t\n\x0B\f\r]', ' ', 'g') ELSE text END AS ocr_text FROM documents)"
 
 
 @query(f"SELECT doc_id, CASE WHEN {_USABLE} THEN 'native' WHEN {_OCR} THEN 'ocr_unreviewed' ELSE 'failed' END AS text_status, sha256(CASE WHEN {_USABLE} THEN native_text WHEN {_OCR} THEN ocr_text ELSE '' END) AS text_sha256 FROM {_WHOLE}")
-def extraction_cascade_whole(spark, sf_dir):
-    """Over whole texts, blanked ones where a text must be of no use; ``extraction_cascade`` cuts them to 3 and 40 characters."""
+def extraction_cascade(spark, sf_dir):
+    """Over whole texts, blanked ones where a text must be of no use."""
     k = F.col("doc_id")
     blanked = lambda by: F.regexp_replace("text", r"[^ \t\n\x0B\f\r]", by)
     native = F.when(k % 4 == 0, F.col("text")).when(k % 4 == 1, blanked(".")).when(k % 4 == 2, blanked(" ")).otherwise("")
@@ -291,7 +309,7 @@ def citation_insert_or_ignore(spark, sf_dir):
 
 def _nested(v: views) -> DataFrame:
     """proposal_id, p: a conversation's turns as blocks, in sections by role; every 3rd text is a bullet."""
-    t = v.read("conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("proposal_id"), "turn", "role", "text")
+    t = v.turns.select(F.col("conv_id").alias("proposal_id"), "turn", "role", "text")
     cites = F.array(F.struct(F.concat(F.lit("page_"), (F.col("proposal_id") % 3).cast("string")).alias("page_id"), F.lit(0).cast("long").alias("start_char"), F.octet_length("text").cast("long").alias("end_char"), F.col("text").alias("quote")), F.struct(F.concat(F.lit("page_"), (F.col("turn") % 4).cast("string")).alias("page_id"), F.lit(0).cast("long").alias("start_char"), F.lit(1).cast("long").alias("end_char"), F.substring("text", 1, 1).alias("quote")))
     block = F.struct(F.when(F.col("turn") % 3 == 0, "bullet").otherwise("paragraph").alias("kind"), "text", cites.alias("citations"))
     sections = t.groupBy("proposal_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("bs"))
@@ -302,9 +320,9 @@ def _nested(v: views) -> DataFrame:
     return whole.select("proposal_id", F.struct(F.lit(1).alias("schema_version"), F.lit("create_article").alias("operation"), article.alias("article"), "sections", related.alias("related_concepts")).alias("p"))
 
 
-@query("SELECT conv_id AS proposal_id, role AS section_key, turn, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS block_index FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id AS proposal_id, role AS section_key, turn, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS block_index FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations)")
 def citation_block_index(spark, sf_dir):
-    t = views(spark, sf_dir).read("conversations").where("text IS NOT NULL")
+    t = views(spark, sf_dir).turns
     block = F.struct(F.lit("paragraph").alias("kind"), F.lit("x").alias("text"), F.array(F.struct(F.col("turn").cast("string").alias("page_id"), F.lit(0).cast("long").alias("start_char"), F.lit(1).cast("long").alias("end_char"), F.lit("x").alias("quote"))).alias("citations"))
     sections = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.struct(F.col("role").alias("key"), F.lit("h").alias("heading"), F.array(block).alias("blocks")).alias("s")))).alias("ss"))
     empty = F.array().cast("array<struct<title:string,reason:string,citations:array<struct<page_id:string,start_char:long,end_char:long,quote:string>>>>")
@@ -312,7 +330,7 @@ def citation_block_index(spark, sf_dir):
     return C.flatten(p).select("proposal_id", "section_key", F.col("page_id").cast("long").alias("turn"), "block_index")
 
 
-@query("SELECT conv_id AS proposal_id, CAST(count(*) AS BIGINT) AS related_index FROM conversations WHERE text IS NOT NULL AND role = 'assistant' GROUP BY 1 UNION ALL SELECT conv_id, 0 FROM conversations WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'assistant') = 0")
+@query("SELECT conv_id AS proposal_id, CAST(count(*) AS BIGINT) AS related_index FROM conversations WHERE role = 'assistant' GROUP BY 1 UNION ALL SELECT conv_id, 0 FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'assistant') = 0")
 def related_block_index(spark, sf_dir):
     """Where related concepts go on counting: assistant turns stand in for the related_concepts section."""
     n = _nested(views(spark, sf_dir))
@@ -360,7 +378,7 @@ def proposal_supersede(spark, sf_dir):
 def _cas(verb: str, before: str, after: str):
     def run(spark, sf_dir):
         p = views(spark, sf_dir).proposals
-        return p.select("proposal_id", F.when(F.col("proposal_id") % 2 == 0, lifecycle.transition(F.col("status"), verb)).otherwise(F.col("status")).alias("status"))
+        return state.compare_and_set(p, F.col("proposal_id") % 2 == 0, before, status=after).select("proposal_id", "status")
 
     run.__name__ = f"{verb}_cas"
     query(with_views(f"SELECT proposal_id, CASE WHEN proposal_id % 2 = 0 AND status = '{before}' THEN '{after}' ELSE status END AS status FROM v_proposals", "v_proposals"))(run)
@@ -371,16 +389,8 @@ _cas("reject", "pending", "rejected")
 _cas("apply", "approved", "applied")
 
 
-@query("SELECT p.p_partkey, p.p_name FROM part p JOIN (SELECT p_name FROM part WHERE p_partkey % 100 = 7) w ON translate(p.p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(upper(w.p_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
-def title_nocase_lookup(spark, sf_dir):
-    p = views(spark, sf_dir).read("part")
-    wanted = p.where("p_partkey % 100 = 7").select(T.ascii_lower(F.upper("p_name")).alias("wanted"))
-    return p.join(wanted, T.ascii_lower(F.col("p_name")) == F.col("wanted")).select("p_partkey", "p_name")
-
-
 @query("SELECT p.p_partkey, p.p_name FROM part p JOIN (SELECT DISTINCT translate(upper(p_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS wanted FROM part) w ON translate(p.p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = w.wanted")
-def title_nocase_lookup_all(spark, sf_dir):
-    """Looks up every part's title; ``title_nocase_lookup`` looks up one in a hundred."""
+def title_nocase_lookup(spark, sf_dir):
     p = views(spark, sf_dir).read("part")
     wanted = p.select(T.ascii_lower(F.upper("p_name")).alias("wanted")).distinct()
     return p.join(wanted, T.ascii_lower(F.col("p_name")) == F.col("wanted")).select("p_partkey", "p_name")
@@ -427,34 +437,30 @@ def yaml_scalar(spark, sf_dir):
     return views(spark, sf_dir).read("part").select("p_partkey", T.yaml_scalar(v).alias("scalar"))
 
 
-@query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('page'))), ',') AS unexpected FROM events WHERE event_id % 10 = 0")
-def json_strict_keys(spark, sf_dir):
-    return views(spark, sf_dir).read("events").where("event_id % 10 = 0").select("event_id", F.array_join(validate.unexpected_keys(F.col("props"), ["page"]), ",").alias("unexpected"))
-
-
 @query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('page'))), ',') AS unexpected FROM events")
-def json_strict_keys_all(spark, sf_dir):
-    """Checks every event; ``json_strict_keys`` checks one in ten."""
+def json_strict_keys(spark, sf_dir):
     return views(spark, sf_dir).read("events").select("event_id", F.array_join(validate.unexpected_keys(F.col("props"), ["page"]), ",").alias("unexpected"))
 
 
-@query("""SELECT conv_id, turn, sha256('{"model":' || to_json(role) || ',"system":' || to_json('s') || ',"user":' || to_json(text) || '}') AS request_sha256 FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, sha256('{"model":' || to_json(role) || ',"prompt_version":"v1","provider":"p","response_schema":{"a":[1,2],"type":"object"},"system_prompt":"s","user_prompt":' || to_json(text) || '}') AS request_sha256 FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations)""")
 def request_hash(spark, sf_dir):
-    return views(spark, sf_dir).read("conversations").where("text IS NOT NULL").select("conv_id", "turn", T.request_hash(user=F.col("text"), model=F.col("role"), system=F.lit("s")).alias("request_sha256"))
+    shape = F.parse_json(F.lit('{"type": "object", "a": [1, 2]}'))
+    hashed = T.request_hash(provider=F.lit("p"), model=F.col("role"), prompt_version=F.lit("v1"), system_prompt=F.lit("s"), user_prompt=F.col("text"), response_schema=shape)
+    return views(spark, sf_dir).turns.select("conv_id", "turn", hashed.alias("request_sha256"))
 
 
-@query("""SELECT conv_id, turn, '{"redacted":true,"response_bytes":' || octet_length(encode(text)) || ',"response_sha256":"' || sha256(text) || '","validation_issue_count":' || turn || '}' AS diagnostic FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, '{"redacted":true,"response_bytes":' || octet_length(encode(text)) || ',"response_sha256":"' || sha256(text) || '","validation_issue_count":' || turn || '}' AS diagnostic FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations)""")
 def redacted_diagnostic(spark, sf_dir):
-    return views(spark, sf_dir).read("conversations").where("text IS NOT NULL").select("conv_id", "turn", T.redacted(F.col("text"), F.col("turn")).alias("diagnostic"))
+    return views(spark, sf_dir).turns.select("conv_id", "turn", T.redacted(F.col("text"), F.col("turn")).alias("diagnostic"))
 
 
-@query("""SELECT conv_id, turn, '{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '}' AS doc FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, '{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '}' AS doc FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations)""")
 def canonical_json(spark, sf_dir):
-    return views(spark, sf_dir).read("conversations").where("text IS NOT NULL").select("conv_id", "turn", F.to_json(F.struct("role", "text", "turn")).alias("doc"))
+    return views(spark, sf_dir).turns.select("conv_id", "turn", F.to_json(F.struct("role", "text", "turn")).alias("doc"))
 
 
 _RENDER = """
-WITH t AS (SELECT conv_id, turn, role, text, '[^page_' || (conv_id % 3) || ']' AS a, '[^page_' || (turn % 4) || ']' AS b, conv_id % 3 AS x, turn % 4 AS y FROM conversations WHERE text IS NOT NULL),
+WITH t AS (SELECT conv_id, turn, role, text, '[^page_' || (conv_id % 3) || ']' AS a, '[^page_' || (turn % 4) || ']' AS b, conv_id % 3 AS x, turn % 4 AS y FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations)),
 s AS (SELECT conv_id, role, '## Part ' || role || chr(10) || chr(10) || string_agg(CASE WHEN turn % 3 = 0 THEN '- ' ELSE '' END || text || ' ' || a || CASE WHEN x <> y THEN ' ' || b ELSE '' END || chr(10) || chr(10), '' ORDER BY turn) AS body FROM t GROUP BY conv_id, role),
 w AS (SELECT conv_id, string_agg(body, '' ORDER BY role) AS body FROM s GROUP BY 1),
 f AS (SELECT conv_id, arg_min(' ' || a || CASE WHEN x <> y THEN ' ' || b ELSE '' END, (role, turn)) AS refs FROM t GROUP BY 1),
@@ -473,12 +479,17 @@ def render_article(spark, sf_dir):
     return n.select("proposal_id", F.sha2(whole, 256).alias("article_sha256"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE sha256(text || '<a>' || chr(10) || chr(10) || lang || chr(10) || chr(10) || '<b>' || source) END AS replaced_sha256 FROM documents WHERE NOT contains(text, '<a>') AND NOT contains(text, '<b>')")
+_OLD = "(SELECT doc_id, lang, text || CASE doc_id % 4 WHEN 0 THEN '<a>old<b>' WHEN 1 THEN '<a><b>' WHEN 2 THEN '<b>x<a>' ELSE '<a>1<b>2<a>' END || source AS old FROM documents)"
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(old) - length(replace(old, '<a>', '')) = 3 AND length(old) - length(replace(old, '<b>', '')) = 3 AND instr(old, '<a>') < instr(old, '<b>')
+  THEN sha256(substr(old, 1, instr(old, '<a>') + 2) || chr(10) || chr(10) || lang || chr(10) || chr(10) || substr(old, instr(old, '<b>'))) END AS replaced_sha256 FROM {_OLD}""")
 def managed_replace(spark, sf_dir):
-    d = views(spark, sf_dir).read("documents").where("NOT contains(text, '<a>') AND NOT contains(text, '<b>')")
-    k = F.col("doc_id")
-    old = F.when(k % 3 == 0, F.concat("text", F.lit("<a>old<b>"), "source")).when(k % 3 == 1, F.concat("text", F.lit("<a><b>"), "source")).otherwise(F.concat("text", F.lit("<b>x<a>"), "source"))
-    return d.select("doc_id", F.sha2(T.replace_region(old, "<a>", "<b>", F.col("lang")), 256).alias("replaced_sha256"))
+    """Markers once and in order, without content, in the wrong order, and twice."""
+    k = F.col("doc_id") % 4
+    tail = F.when(k == 0, "<a>old<b>").when(k == 1, "<a><b>").when(k == 2, "<b>x<a>").otherwise("<a>1<b>2<a>")
+    old = F.concat("text", tail, "source")
+    return views(spark, sf_dir).read("documents").select("doc_id", F.sha2(T.replace_region(old, "<a>", "<b>", F.col("lang")), 256).alias("replaced_sha256"))
 
 
 def _search_sql(terms: list[str], limit: int) -> str:
@@ -530,12 +541,16 @@ def page_labels(spark, sf_dir):
     return views(spark, sf_dir).read("documents").select("doc_id", T.page_label(k % 20000).alias("label"), T.png_page(name).cast("string").alias("png"))
 
 
-@query("SELECT proposal_id, path, 'must reference a page supplied to the model' AS message FROM (SELECT conv_id AS proposal_id, turn, '/sections/' || (dense_rank() OVER (PARTITION BY conv_id ORDER BY role) - 1) || '/blocks/' || (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1) || '/citations/1/page_id' AS path FROM conversations WHERE text IS NOT NULL) WHERE turn % 4 = 3")
+_NUMBERED = """(SELECT conv_id AS proposal_id, turn, text, dense_rank() OVER (PARTITION BY conv_id ORDER BY role) - 1 AS i, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS j
+  FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations))"""
+
+
+@query(f"""SELECT proposal_id, loc || CASE WHEN page = 3 THEN '/page_id' WHEN page = 0 OR text = '' THEN '' ELSE '/quote' END AS path,
+  CASE WHEN page = 3 THEN '{C.MESSAGES['page_id'][1]}' WHEN page = 0 OR text = '' THEN '{C.MESSAGES['offsets'][1]}' ELSE '{C.MESSAGES['quote'][1]}' END AS message
+FROM (SELECT proposal_id, '/sections/' || i || '/blocks/' || j || '/citations/' || k AS loc, CASE k WHEN 0 THEN proposal_id % 3 ELSE turn % 4 END AS page, text FROM {_NUMBERED}, (VALUES (0), (1)) t(k)
+  UNION ALL SELECT proposal_id, '/related_concepts/0/citations/' || k, CASE k WHEN 0 THEN proposal_id % 3 ELSE turn % 4 END, text FROM {_NUMBERED}, (VALUES (0), (1)) t(k) WHERE i = 0 AND j = 0)""")
 def proposal_issues(spark, sf_dir):
-    """Citation issues of nested proposals against pages 0 to 2; turns that cite page 3 have one."""
-    v = views(spark, sf_dir)
-    n = _nested(v)
-    c = validate.located_citations(n.withColumn("p", F.col("p").withField("related_concepts", F.slice("p.related_concepts", 1, 0))))
-    pages = spark.sql("SELECT concat('page_', id) AS page_id FROM range(3)")
-    gone = c.join(pages, "page_id", "left_anti")
-    return gone.select("proposal_id", F.concat("at", F.lit("/page_id")).alias("path"), F.lit(C.MESSAGES["page_id"][1]).alias("message"))
+    """Citations against pages 0 (empty), 1 and 2 (blank, and long enough for any offsets); page 3 is not there."""
+    n = _nested(views(spark, sf_dir))
+    pages = spark.range(3).select(F.concat(F.lit("page_"), F.col("id").cast("string")).alias("page_id"), F.when(F.col("id") == 0, "").otherwise(F.repeat(F.lit(" "), F.lit(1 << 20))).alias("text"))
+    return validate.citation_issues(n, pages)

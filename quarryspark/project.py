@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryspark.functions import text as T
-from quarryspark.operators import citations, extract, ids, ingest, lifecycle, prompt, render, validate
+from quarryspark.operators import citations, extract, ids, ingest, lifecycle, migrations, prompt, render, validate
 from quarryspark.operators import search as full_text
 from quarryspark.operators.evidence import select_evidence
 from quarryspark.operators.schemas import PROPOSAL_STATUS, ConceptSpec, EngineError, schema
@@ -161,6 +161,8 @@ class Project:
         run = {"run_id": run_id, "source_version_id": vid, "extractor_name": "poppler" if version["source_kind"] == "pdf" else "text", "started_at": began}
         if version["source_kind"] == "pdf":
             run["ocr_provider"] = self.config["providers"]["ocr"]["default"]
+        with self.store.transaction() as tables:
+            tables["extraction_runs"] = append(tables["extraction_runs"], self._rows("extraction_runs", run | {"status": "running"}))
         try:
             stored = os.path.join(self.root, version["stored_path"])
             if files.file_sha256(stored) != version["sha256"]:
@@ -170,17 +172,22 @@ class Project:
             with self.store.transaction() as tables:
                 self._refuse_cited(tables, tables["source_pages"].where(F.col("source_version_id") == vid))
                 seed = F.concat_ws(":", "source_version_id", "page_number")
-                tables["source_pages"] = extract.upsert_pages(tables["source_pages"], fresh, ids.derived("page_", seed, run_id))
-                tables["extraction_runs"] = append(tables["extraction_runs"], self._rows("extraction_runs", run | {"status": status, "completed_at": self.now()}))
+                tables["source_pages"] = extract.upsert_pages(tables["source_pages"], fresh, ids.derived("pg_", seed, run_id))
+                tables["extraction_runs"] = self._finished(tables["extraction_runs"], run_id, status)
         except Exception as e:
             with self.store.transaction() as tables:
-                failed = run | {"status": "failed", "completed_at": self.now(), "error_message": "extraction did not finish"}
-                tables["extraction_runs"] = append(tables["extraction_runs"], self._rows("extraction_runs", failed))
+                tables["extraction_runs"] = self._finished(tables["extraction_runs"], run_id, "failed", "extraction did not finish")
             if isinstance(e, EngineError):
                 raise
             raise EngineError("external_failure", "extraction did not finish") from e
         return {"reused": False, "source_version_id": vid, "status": status, "pages": [r.asDict() for r in self._pages(vid).collect()]}
 
+    def _finished(self, runs: DataFrame, run_id: str, status: str, error: str | None = None, **values) -> DataFrame:
+        """The run with its end."""
+        own = {"status": status, "completed_at": self.now(), "error_message": error} | values
+        kinds = ", ".join(f"{c} string" for c in ("run_id", *own))
+        return overlay(runs, "run_id", self.spark.createDataFrame([(run_id, *own.values())], kinds))
+
     def _text_pages(self, vid: str, stored: str) -> DataFrame:
         version = self.spark.createDataFrame([(vid,)], "source_version_id string")
         with open(stored, "rb") as f:
@@ -244,9 +251,13 @@ class Project:
             raise EngineError("no_evidence", "no reviewed page speaks of the concept")
         target = self._target(spec)
         system, user, shape = prompt.build({k: v for k, v in target.items() if v is not None}, evidence)
+        self._check_request(target, evidence)
         llm = self.config["providers"]["llm"]
-        request = hashlib.sha256(json.dumps({"schema": shape, "system": system, "user": user}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-        run = {"run_id": ids.new("run_"), "provider": llm["default"], "model": llm["ollama"]["model"], "prompt_version": prompt.VERSION, "request_sha256": request, "started_at": self.now()}
+        provider, name = getattr(self.model, "provider", llm["default"]), getattr(self.model, "model", llm["ollama"]["model"])
+        parts = {"provider": provider, "model": name, "prompt_version": prompt.VERSION, "system_prompt": system, "user_prompt": user}
+        columns = {k: F.lit(v) for k, v in parts.items()} | {"response_schema": F.parse_json(F.lit(json.dumps(shape)))}
+        request = self.spark.range(1).select(T.request_hash(**columns)).first()[0]
+        run = {"run_id": ids.new("run_"), "provider": provider, "model": name, "prompt_version": prompt.VERSION, "request_sha256": request, "started_at": self.now()}
         try:
             response = self.model.generate(system, user, shape)
         except Exception as e:
@@ -258,6 +269,7 @@ class Project:
         except EngineError as e:
             self._model_run(run, status="invalid_response", response_json=self._redacted(response, 1), error_message="the response did not validate")
             raise EngineError("invalid_response", str(e)) from None
+        self._model_run(run, status="completed", response_json=response)
         pages = self.spark.createDataFrame([(e["page_id"], e["text"]) for e in evidence], "page_id string, text string")
         payload = self._canonical(payload, pages)
         proposal_id = ids.new("prp_")
@@ -270,15 +282,22 @@ class Project:
         if not issues and not citations.set_difference(flat, kept).isEmpty():
             issues = [("/sections", "citations of one block may not share page and start")]
         if issues:
-            self._model_run(run, status="invalid_response", response_json=self._redacted(response, len(issues)), error_message="the response did not validate")
+            with self.store.transaction() as tables:
+                tables["model_runs"] = self._finished(tables["model_runs"], run["run_id"], "invalid_response", "the response did not validate", response_json=self._redacted(response, len(issues)))
             raise EngineError("invalid_response", "; ".join(f"{p}: {m}" for p, m in issues))
         with self.store.transaction() as tables:
-            tables["model_runs"] = append(tables["model_runs"], self._rows("model_runs", run | {"status": "completed", "response_json": response, "completed_at": self.now()}))
             row = {"proposal_id": proposal_id, "article_id": target["article_id"], "model_run_id": run["run_id"], "operation": target["operation"], "payload_json": text, "status": "pending", "created_at": self.now()}
             tables["proposals"] = append(lifecycle.superseded(tables["proposals"], target["article_id"]), self._rows("proposals", row))
             tables["proposal_citations"] = append(tables["proposal_citations"], kept)
         return {"proposal_id": proposal_id, "operation": target["operation"], "model_run_id": run["run_id"], "evidence_pages": len(evidence)}
 
+    def _check_request(self, target: dict, evidence: list[dict]) -> None:
+        request = self.spark.createDataFrame([("", target["operation"], target["article_id"])], "request_id string, operation string, article_id string")
+        kinds = {"page_id": "string", "source_version_id": "string", "page_number": "int", "text_status": "string"}
+        pages = self.spark.createDataFrame([("", i, *(e[c] for c in kinds)) for i, e in enumerate(evidence)], "request_id string, index int, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
+        if found := sorted((r["path"], r["message"]) for r in validate.request_issues(request, pages).collect()):
+            raise EngineError("invalid_state", "; ".join(f"{p}: {m}" for p, m in found))
+
     def _model_run(self, run: dict, **rest) -> None:
         with self.store.transaction() as tables:
             tables["model_runs"] = append(tables["model_runs"], self._rows("model_runs", run | rest | {"completed_at": self.now()}))
@@ -350,7 +369,7 @@ class Project:
                 raise EngineError("not_found", f"no proposal {proposal_id}")
             if row["status"] != expected:
                 raise EngineError("invalid_state", f"the proposal is {row['status']}, not {expected}")
-            tables["proposals"] = compare_and_set(tables["proposals"], [proposal_id], expected, **values)
+            tables["proposals"] = compare_and_set(tables["proposals"], F.col("proposal_id") == proposal_id, expected, **values)
 
     # -- articles
 
@@ -406,7 +425,11 @@ class Project:
                 tables["proposals"] = overlay(tables["proposals"], "proposal_id", self.spark.createDataFrame([(proposal_id, article_id, "applied", now)], "proposal_id string, article_id string, status string, applied_at string"))
                 tables["apply_runs"] = append(tables["apply_runs"], self._rows("apply_runs", {"apply_run_id": run_id, "proposal_id": proposal_id, "article_id": article_id, "previous_content_sha256": hashlib.sha256(before).hexdigest() if before is not None else None, "new_content_sha256": sha, "backup_path": backup, "applied_at": now}))
                 indexed = {"article_id": article_id, "title": title, "aliases": "\n".join(payload["article"].get("aliases") or []), "body": rendered}
-                tables["article_index"] = append(tables["article_index"].where(~own), self._rows("article_index", indexed))
+                entry = self._rows("article_index", indexed)
+                tables["article_index"] = append(tables["article_index"].where(~own), entry)
+                postings, lengths = full_text.build_index(entry)  # of this article only; those of the others stay
+                tables["article_postings"] = append(tables["article_postings"].where(~own), postings)
+                tables["article_lengths"] = append(tables["article_lengths"].where(~own), lengths)
                 if self.store.table("proposals").where((F.col("proposal_id") == proposal_id) & (F.col("status") == "approved")).isEmpty():
                     raise EngineError("invalid_state", "the proposal is no longer approved")
                 files.write_atomic(path, data)
@@ -454,5 +477,15 @@ class Project:
         return text
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        return full_text.search(self.store.table("article_index"), query, limit, snippets=True)
+        """article_id, title, vault_path, snippet and relevance of the articles that hold all terms, by the stored postings."""
+        t = self.store.tables()
+        found = full_text.search(t["article_index"], query, limit, index=(t["article_postings"], t["article_lengths"]), snippets=True)
+        placed = full_text.with_paths(found, t["articles"])
+        if not placed.where("NOT safe").isEmpty():  # limit rows at most
+            raise EngineError("state_error", "an article's path leaves the vault")
+        return placed.drop("safe")
+
+    def migrate(self, folder: str) -> list[int]:
+        """Apply the folder's migrations that the state has not had; their numbers."""
+        return migrations.apply_all(self.store, folder, self.now())
 

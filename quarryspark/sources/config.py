@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
+from quarryspark.functions.text import ULID
 from quarryspark.operators.schemas import EngineError
 from quarryspark.operators.validate import parse_strict
 from quarryspark.sources.files import write_atomic
 
+#: Keys and defaults of a project's configuration.
 DEFAULT = {
     "schema_version": 1,
     "project_id": "project",
@@ -18,7 +21,7 @@ DEFAULT = {
 
 
 def problems(config: dict) -> list[str]:
-    out = ["/schema_version: must equal 1"] * (config["schema_version"] != 1) + ["/project_id: must not be empty"] * (not config["project_id"])
+    out = ["/schema_version: must equal 1"] * (config["schema_version"] != 1) + ["/project_id: must be a prj_ ULID"] * (not re.fullmatch(f"prj_{ULID}", config["project_id"]))
     for k, p in {**config["paths"], "source_directory": config["vault"]["source_directory"]}.items():
         if not p or p.startswith("/") or ".." in p.split("/"):
             out.append(f"/paths/{k}: must be a safe relative path")

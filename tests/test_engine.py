@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryspark.functions import text as T
-from quarryspark.operators import citations, extract, ids, ingest, lifecycle, render, search, validate
+from quarryspark.operators import citations, extract, ids, ingest, lifecycle, migrations, passages, render, search, state, validate
 from quarryspark.operators.evidence import select_evidence
 from quarryspark.operators.schemas import ConceptSpec, EngineError
 from quarryspark.operators.state import StateStore, append
@@ -85,7 +85,7 @@ def test_evidence_order_and_gates(spark):
 
 
 def proposal(**change):
-    cite = {"page_id": ids.derived_py("page_", "1"), "start_char": 2, "end_char": 14, "quote": "Markov chain"}
+    cite = {"page_id": ids.derived_py("pg_", "1"), "start_char": 2, "end_char": 14, "quote": "Markov chain"}
     base = {"schema_version": 1, "operation": "create_article", "article": {"title": "Markov Chains", "slug": "markov-chains", "aliases": ["Markov chain"]}, "sections": [{"key": "key_ideas", "heading": "Key ideas", "blocks": [{"kind": "bullet", "text": "B.", "citations": [cite]}, {"kind": "paragraph", "text": "P.", "citations": [cite, cite | {"start_char": 0}]}]}], "related_concepts": [{"title": "Bayes", "reason": "", "citations": [cite]}]}
     return base | change
 
@@ -109,10 +109,10 @@ def test_semantic_and_citation_issues(spark):
     bad["sections"][0]["blocks"][0] |= {"text": "", "citations": []}
     found = {r["path"] for r in validate.semantic_issues(parsed(spark, bad)).collect()}
     assert found == {"/schema_version", "/article/title", "/article/slug", "/article/aliases", "/sections/0/blocks/0/text", "/sections/0/blocks/0/citations"}
-    pages = spark.createDataFrame([(ids.derived_py("page_", "1"), "A Markov \n chain has")], "page_id string, text string")
+    pages = spark.createDataFrame([(ids.derived_py("pg_", "1"), "A Markov \n chain has")], "page_id string, text string")
     rows = validate.citation_issues(parsed(spark, proposal()), pages).collect()
     assert {(r["path"]) for r in rows} == {"/sections/0/blocks/0/citations/0/quote", "/sections/0/blocks/1/citations/0/quote", "/sections/0/blocks/1/citations/1/quote", "/related_concepts/0/citations/0/quote"}
-    sound = spark.createDataFrame([(ids.derived_py("page_", "1"), "A Markov chain has")], "page_id string, text string")
+    sound = spark.createDataFrame([(ids.derived_py("pg_", "1"), "A Markov chain has")], "page_id string, text string")
     assert {r["path"] for r in validate.citation_issues(parsed(spark, proposal()), sound).collect()} == {"/sections/0/blocks/1/citations/1/quote"}
 
 
@@ -125,7 +125,7 @@ def test_block_index_runs_on_and_first_wins(spark):
 
 def test_render(spark):
     p = parsed(spark, proposal())
-    page = ids.derived_py("page_", "1")
+    page = ids.derived_py("pg_", "1")
     notes = F.transform(render.cited(F.col("p")), lambda i: render.footnote(i, F.lit("A [b]"), F.lit("pdf"), F.lit(3), F.lit("_s/a b.pdf")))
     text = p.select(render.new_article(F.col("p"), F.lit("art_1"), "<!-- s -->", "<!-- e -->", render.managed(F.col("p"), notes))).first()[0]
     assert text == (
@@ -184,8 +184,9 @@ def test_files_config_and_adapters(spark, tmp_path):
         files.retain(str(src), "0" * 64, str(tmp_path / "kept" / "b.txt"))
     rows = files.scan(spark, [str(src)]).collect()
     assert rows[0]["seq"] == 0 and bytes(rows[0]["content"]) == b"abc"
-    config.write(str(tmp_path / "c.json"), config.DEFAULT)
-    assert config.read(str(tmp_path / "c.json")) == config.DEFAULT
+    own = config.DEFAULT | {"project_id": ids.new("prj_")}
+    config.write(str(tmp_path / "c.json"), own)
+    assert config.read(str(tmp_path / "c.json")) == own and config.problems(config.DEFAULT) == ["/project_id: must be a prj_ ULID"]
     config.write(str(tmp_path / "c.json"), config.DEFAULT | {"paths": config.DEFAULT["paths"] | {"vault": "../x"}})
     with pytest.raises(EngineError):
         config.read(str(tmp_path / "c.json"))
@@ -222,3 +223,119 @@ def test_streaming_ingest(spark, tmp_path):
     q = start(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda df, _: seen.extend(r["sha256"] for r in df.select("sha256").collect()))
     q.awaitTermination(120)
     assert len(seen) == 2
+
+
+def test_migrations_are_applied_once_and_in_order(spark, tmp_path):
+    store, folder = state.StateStore(spark, str(tmp_path / "s")), tmp_path / "m"
+    store.initialize()
+    folder.mkdir()
+    (folder / "002_reason.sql").write_text("-- a column\nALTER TABLE notes ADD COLUMN reason TEXT;")
+    (folder / "001_first.sql").write_text("CREATE TABLE notes (note_id TEXT, size INTEGER);")
+    (folder / "readme.txt").write_text("no migration")
+    assert migrations.apply_all(store, str(folder), "t") == [1, 2] and migrations.apply_all(store, str(folder), "t") == []
+    assert [r["version"] for r in store.table("schema_migrations").orderBy("version").collect()] == [1, 2]
+    with store.transaction() as tables:
+        tables["notes"] = state.append(tables["notes"], spark.createDataFrame([("n", 1, "why")], "note_id string, size long, reason string"))
+    (folder / "003_more.sql").write_text("ALTER TABLE notes ADD COLUMN more TEXT")
+    assert migrations.apply_all(store, str(folder), "t") == [3]
+    assert [tuple(r) for r in store.table("notes").collect()] == [("n", 1, "why", None)]
+    (folder / "004_bad.sql").write_text("DROP TABLE notes;")
+    with pytest.raises(EngineError):
+        migrations.apply_all(store, str(folder), "t")
+    assert store.table("schema_migrations").count() == 3
+    (folder / "0004_twice.sql").write_text("")
+    with pytest.raises(EngineError, match="twice"):
+        migrations.apply_all(store, str(folder), "t")
+
+
+def test_a_lost_writer_gives_way(spark, tmp_path):
+    store = state.StateStore(spark, str(tmp_path / "s"), lease_s=0.2)
+    store.initialize()
+    store._locked(1)  # a writer that never comes back
+    row = spark.createDataFrame([(1, "t")], "version int, applied_at string")
+    with pytest.raises(EngineError), store.transaction(wait_s=0.05):
+        pass
+    with state.StateStore(spark, store.root).transaction() as tables:
+        tables["schema_migrations"] = state.append(tables["schema_migrations"], row)
+    assert store.table("schema_migrations").count() == 1
+    with pytest.raises(EngineError, match="lease"), store.transaction() as tables:
+        tables["schema_migrations"] = state.append(tables["schema_migrations"], row.withColumn("version", F.lit(2)))
+        import time
+
+        time.sleep(0.3)
+        os.replace(os.path.join(store.root, "LOCK"), os.path.join(store.root, "LOCK.gone"))  # another took it over
+    assert store.table("schema_migrations").count() == 1
+
+
+def test_ocr_reads_pages_without_usable_text(spark, tmp_path):
+    class Pdf:
+        def render(self, pdf, folder):
+            return ["page-1.png", "page-2.png"]
+
+        def native_text(self, pdf, page, folder):
+            return {1: ". ", 2: "enough text"}[page]
+
+    class Ocr:
+        def recognise(self, image, folder):
+            return True, "seen", ""
+
+    rows = adapters.ocr_cascade_input(Pdf(), Ocr(), "x.pdf", str(tmp_path))
+    assert [r["ocr_ok"] for r in rows] == [True, False]
+    values = ["", ". ", "ab", "abcd", "....", "..a.", "..ab", "é..x", None, " a b c d ", "\u00e9\u00e9"]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", T.usable_native(F.col("v")).alias("u")).orderBy("i").collect()
+    assert [r["u"] for r in got] == [adapters.usable(v) for v in values]
+
+
+def test_model_over_http():
+    class Http:
+        def __init__(self, status, reply):
+            self.status, self.reply, self.sent = status, reply, None
+
+        def post_json(self, url, body, timeout_s):
+            self.sent = (url, json.loads(body), timeout_s)
+            return self.status, self.reply
+
+    good = Http(200, b'{"done": true, "message": {"content": "{}"}}')
+    assert adapters.HttpModel("http://h:1/", "m", 5, good).generate("s", "u", {}) == "{}"
+    assert good.sent[0] == "http://h:1/api/chat" and good.sent[1]["model"] == "m" and good.sent[2] == 5
+    for status, reply in ((500, b"{}"), (200, b"no json"), (200, b'{"done": false, "message": {"content": "x"}}'), (200, b"[]")):
+        with pytest.raises(EngineError) as e:
+            adapters.HttpModel("http://h", "m", 5, Http(status, reply)).generate("s", "u", {})
+        assert e.value.kind == "external_failure"
+
+
+def test_local_http_is_bounded():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            n = int(self.headers["Content-Length"])
+            body = self.rfile.read(n)
+            self.send_response(302 if self.path == "/moved" else 200)
+            if self.path == "/moved":
+                self.send_header("Location", "/other")
+            self.end_headers()
+            self.wfile.write(body if self.path != "/large" else b"x" * ((16 << 20) + 1))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at, client = f"http://127.0.0.1:{server.server_port}", adapters.LocalHttp()
+    assert client.post_json(f"{at}/echo", b'{"a":1}', 5) == (200, b'{"a":1}')
+    assert client.post_json(f"{at}/moved", b"", 5)[0] == 302
+    for path in (f"{at}/large", "http://127.0.0.1:1/"):
+        with pytest.raises(EngineError):
+            client.post_json(path, b"", 5)
+    server.shutdown()
+
+
+def test_passages_are_found_where_they_first_stand(spark):
+    texts = spark.createDataFrame([(1, "xé abc abc"), (2, None), (3, "bcab"), (4, "ab")], "page_id long, text string")
+    items = spark.createDataFrame([(10, "abc"), (11, "bc"), (12, "abc"), (13, ""), (14, None), (15, "é")], "item_id long, text string")
+    want = {(1, 10, 4, 7), (1, 12, 4, 7), (1, 11, 5, 7), (1, 15, 1, 3), (3, 11, 0, 2)}
+    for size in (1 << 20, 3):  # one block, and several
+        assert {(r.page_id, r.item_id, r.start_char, r.end_char) for r in passages.found(texts, items, size).collect()} == want
+    assert passages.found(texts, items.limit(0)).count() == 0

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarryspark.plans import registry
+from quarryspark.plans import registry, workflow  # noqa: F401 - adds its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -32,13 +32,13 @@ def test_query_equals_sql(spark, sf_dir, db, name):
 
 
 def test_every_event_and_title_is_looked_at(spark, sf_dir, db):
-    for name, table, key in (("json_strict_keys_all", "events", "event_id"), ("title_nocase_lookup_all", "part", "p_partkey")):
+    for name, table, key in (("json_strict_keys", "events", "event_id"), ("title_nocase_lookup", "part", "p_partkey")):
         got = sorted(r[key] for r in registry.QUERIES[name](spark, sf_dir).collect())
         assert got == [r[0] for r in db.execute(f"SELECT {key} FROM {table} ORDER BY 1").fetchall()]
 
 
 def test_cascade_hashes_whole_texts(spark, sf_dir, db):
-    got = {r["doc_id"]: (r["text_status"], r["text_sha256"]) for r in registry.QUERIES["extraction_cascade_whole"](spark, sf_dir).collect()}
+    got = {r["doc_id"]: (r["text_status"], r["text_sha256"]) for r in registry.QUERIES["extraction_cascade"](spark, sf_dir).collect()}
     texts = db.execute("SELECT doc_id, sha256(text) FROM documents").fetchall()
     assert len(got) == len(texts)
     for k, sha in texts:

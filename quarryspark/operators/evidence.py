@@ -50,10 +50,10 @@ def select_evidence(sources: DataFrame, versions: DataFrame, pages: DataFrame, s
     if only:
         active = active.where(F.col("source_id").isin(only))
     latest = latest_versions(versions).select("source_id", "source_version_id")
-    dim = active.select("source_id", "display_name", "source_kind").join(latest, "source_id")
+    dim = active.select("source_id", "display_name", "source_kind", match_text(F.col("display_name")).alias("sort_name")).join(latest, "source_id")
     found = pages.where(ready(F.col("text_status"), F.col("text"))).join(dim, "source_version_id")
-    # both texts are normalised once a row; the generator keeps the planner from copying the expression into every phrase
-    once = found.select("*", match_text(F.col("display_name")).alias("sort_name"), F.explode(F.array(match_text(F.col("text")))).alias("matched"))
+    # a text is normalised once; the generator keeps the planner from copying the expression into every phrase
+    once = found.select("*", F.explode(F.array(match_text(F.col("text")))).alias("matched"))
     scored = once.withColumn("score", relevance(F.col("sort_name"), F.col("matched"), spec)).where("score > 0")
     out = scored.select("score", "sort_name", "source_id", "display_name", "source_kind", "source_version_id", "page_number", "page_id", "text", "text_status")
     return out.orderBy(F.desc("score"), "sort_name", "source_id", "page_number", "page_id") if ordered else out

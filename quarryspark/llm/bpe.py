@@ -41,12 +41,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from quarryspark.llm.common import larger, released, short_batches, trim_memory
+
 #: Fixed value of the lower-casing BPE files: contractions that are words of their own.
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
-#: Pairs of tokens that a worker remembers, and slots (a power of 2) of the table in which steps look them up.
-PAIRS, SLOTS = 300_000, 1 << 20
+#: Pairs of tokens that a stream remembers, and slots (a power of 2) of the table in which steps look them up; half of them are used.
+PAIRS, SLOTS = 50_000, 1 << 20
 #: Bytes of text looked at together; characters from which a run is read as a stream; symbols between two looks for stable tokens.
-PIECE, LONG, STEP = 1 << 24, 1 << 16, 512
+PIECE, LONG, STEP = 1 << 19, 1 << 16, 512
 
 
 def byte_alphabet() -> list[str]:
@@ -84,8 +86,9 @@ class Merges:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank: dict[tuple[str, str], int] = {p: i for i, p in enumerate(pairs)}
+        own = {t: t for t in self.vocab}  # one string for each token, wherever it stands
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.rank: dict[tuple[str, str], int] = {(own.get(a, a), own.get(b, b)): i for i, (a, b) in enumerate(pairs)}
         self.longest = max(len(self.symbols(t)) for t in self.vocab)
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.text_of: dict[int, str] = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -119,15 +122,18 @@ class Merges:
             out[at : at + 2] = [out[at] + out[at + 1]]
         return out
 
-    def compatible(self, left: str, right: str) -> bool:
+    def own_encoding(self, left: str, right: str) -> bool:
         """Whether the two tokens, side by side, are their own encoding. left '': right alone."""
+        parts = [left, right] if left else [right]
+        return self.merged([s for p in parts for s in self.symbols(p)]) == parts
+
+    def compatible(self, left: str, right: str) -> bool:
+        """``own_encoding``, remembered."""
         known = self.pairs.get((left, right))
         if known is None:
-            parts = [left, right] if left else [right]
-            known = self.merged([s for p in parts for s in self.symbols(p)]) == parts
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = known
+            known = self.pairs[left, right] = self.own_encoding(left, right)
         return known
 
     def sufficient_lookahead(self) -> int | None:
@@ -231,18 +237,13 @@ class WordTable:
                 kinds[body is not token][self._hash(spelled[k])] = k
         if not merges.end:
             kinds = (kinds[0], kinds[0])
-        self.found = []
-        for kind in kinds:
-            keys = np.array(sorted(kind), np.uint64)
-            seen = np.zeros(1 << 22, bool)
-            seen[self._slot(keys, 22)] = True
-            self.found.append((keys, np.array([kind[k] for k in keys.tolist()], np.int64), seen))
+        self.found = [self._hashed(kind) for kind in kinds]
         self.length = np.zeros(self.size, np.int64)
         for k, b in spelled.items():
             self.length[k] = len(b)
         self.starts = np.concatenate([[0], np.cumsum(self.length)])
         self.bytes = np.frombuffer(b"".join(spelled.get(k, b"") for k in range(self.size)), np.uint8)
-        self.pair_key, self.pair_fits = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        self.pair_key, self.pair_fits, self.pairs = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool), 0
 
     def _hash(self, b: bytes) -> int:
         h, power = 0, 1
@@ -250,6 +251,18 @@ class WordTable:
             h, power = (h + int(self.value[c]) * power) % (1 << 64), power * self.base % (1 << 64)
         return h
 
+    def _hashed(self, kind: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(a filter by 22 bits; whether a slot by 17 bits is taken, its key, its id); a key that finds its slot taken goes to the next free one."""
+        room = (1 << 17) + len(kind)
+        seen, taken, keys, ids = np.zeros(1 << 22, bool), np.zeros(room + 1, bool), np.zeros(room + 1, np.uint64), np.zeros(room + 1, np.int64)
+        for h, k in kind.items():
+            slot = int(self._slot(np.array([h], np.uint64), 22)[0])
+            at = slot >> 5
+            while taken[at]:
+                at += 1
+            seen[slot], taken[at], keys[at], ids[at] = True, True, h, k
+        return seen, taken, keys, ids
+
     @staticmethod
     def _slot(h: np.ndarray, bits: int) -> np.ndarray:
         return ((h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
@@ -272,30 +285,54 @@ class WordTable:
             h = (sums[at + n] - sums[at]) * self.inverses[at]
             slot, final = self._slot(h, 22), left[at] == n
             for kind, here in ((0, ~final), (1, final)):
-                keys, ids, seen = self.found[kind]
+                seen, taken, keys, ids = self.found[kind]
                 here = np.flatnonzero(here & seen[slot])
-                if len(here) and len(keys):
-                    k = np.minimum(np.searchsorted(keys, h[here]), len(keys) - 1)
-                    here, k = here[keys[k] == h[here]], k[keys[k] == h[here]]
-                    out[kind].append((at[here], np.full(len(here), n), ids[k]))
+                k = slot[here] >> 5
+                while len(here):
+                    full = taken[k]
+                    here, k = here[full], k[full]
+                    hit = keys[k] == h[here]
+                    out[kind].append((at[here[hit]], np.full(int(hit.sum()), n), ids[k[hit]]))
+                    here, k = here[~hit], k[~hit] + 1
         cat = lambda x: [np.concatenate(c) for c in zip(*x)] if x else [np.zeros(0, np.int64)] * 3
         return cat(out[0]), cat(out[1])
 
     def _fits(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether the pairs are their own encoding; left ``size``: the token begins the word."""
         key = left * (self.size + 1) + token
-        slot = self._slot(key.view(np.uint64), SLOTS.bit_length() - 1)
-        fits, known = self.pair_fits[slot], self.pair_key[slot] == key
-        if not known.all():
-            fresh, back = np.unique(key[~known], return_inverse=True)
+        fits, place, rest = np.zeros(len(key), bool), self._slot(key.view(np.uint64), SLOTS.bit_length() - 1), np.arange(len(key))
+        unknown = []
+        while len(rest):
+            there = self.pair_key[place[rest]]
+            hit = there == key[rest]
+            fits[rest[hit]] = self.pair_fits[place[rest[hit]]]
+            unknown.append(rest[there == -1])
+            rest = rest[~hit & (there != -1)]
+            place[rest] = (place[rest] + 1) % SLOTS
+        unknown = np.concatenate(unknown) if unknown else rest
+        if len(unknown):
+            fresh, back = np.unique(key[unknown], return_inverse=True)
             a, b = np.divmod(fresh, self.size + 1)
             names = self.tokens
-            found = np.fromiter((self.m.compatible(names[x] if x < self.size else "", names[y]) for x, y in zip(a.tolist(), b.tolist())), bool, len(fresh))
-            fits[~known] = found[back]
-            slot = self._slot(fresh.view(np.uint64), SLOTS.bit_length() - 1)
-            self.pair_key[slot], self.pair_fits[slot] = fresh, found
+            found = np.fromiter((self.m.own_encoding(names[x] if x < self.size else "", names[y]) for x, y in zip(a.tolist(), b.tolist())), bool, len(fresh))
+            fits[unknown] = found[back]
+            self._remember(fresh, found)
         return fits
 
+    def _remember(self, keys: np.ndarray, fits: np.ndarray) -> None:
+        if self.pairs + len(keys) > SLOTS // 2:
+            self.pair_key[:], self.pairs = -1, 0
+        if len(keys) > SLOTS // 2:
+            return
+        self.pairs += len(keys)
+        place = self._slot(keys.view(np.uint64), SLOTS.bit_length() - 1)
+        while len(keys):
+            free = self.pair_key[place] == -1
+            self.pair_key[place[free]] = keys[free]  # of several for one slot, one gets it
+            own = self.pair_key[place] == keys
+            self.pair_fits[place[own]] = fits[own]
+            keys, fits, place = keys[~own], fits[~own], (place[~own] + 1) % SLOTS
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of tokens of each word, their ids one after the other); data, offsets: the words' bytes. No word is empty."""
         starts, ends = offsets[:-1], offsets[1:]
@@ -614,18 +651,16 @@ def digest_texts(df, tokenizer_path: str):
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text. The tokenizer file travels with the task."""
     import pyarrow as pa
 
-    from quarryspark.llm.common import short_batches
-
     short_batches(df.sparkSession)
     spec = shipped(df.sparkSession, tokenizer_path)
 
     def run(batches):
         digest = Digester(spec.value.codec())
-        for batch in batches:
+        for batch in larger(batches):
             n, ids, texts = digest(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(df.doc_id.cast("long").alias("doc_id"), df.text.cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(df.doc_id.cast("long").alias("doc_id"), df.text.cast("string").alias("text")).mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 class Shipped:
@@ -640,6 +675,7 @@ class Shipped:
     def codec(self) -> Codec:
         if self.made is None:
             self.made = Codec(Merges(json.loads(self.text)), self.classes)
+            trim_memory()
         return self.made
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import short_batches
+from quarryspark.llm.common import larger, released, short_batches
 
 SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
@@ -157,7 +157,7 @@ def pack(df: DataFrame, tokenizer_path: str, row_len: int = 2048, pad_id: int =
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
         pieces, held = [], 0
-        for batch in batches:
+        for batch in larger(batches):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), texts_ids(codec, batch.column("text"))):
                 for k in range(max(1, -(-len(ids) // row_len))):
                     pieces.append((doc, k, ids[k * row_len : (k + 1) * row_len]))
@@ -167,7 +167,7 @@ def pack(df: DataFrame, tokenizer_path: str, row_len: int = 2048, pad_id: int =
                     pieces, held = [], 0
         yield from flush(pieces)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), SCHEMA)
 
 
 def write(packed: DataFrame, path: str, row_len: int, ids: int, pad_id: int = 0) -> None:

@@ -42,7 +42,7 @@ from quarryspark.llm.common import spill
 #: Vectors in a block, queries in a block.
 BLOCK, QUERIES = 8_192, 2_048
 #: Places beside a query that are verified on each line at first, on each side; rounds that lead up to the radius they tell.
-SEEDS, STEPS = 4, 3
+SEEDS, STEPS = 2, 2
 
 
 class ProjectedBlock:
@@ -82,20 +82,24 @@ class ProjectedBlock:
         high, count = low.copy(), np.zeros((len(queries), n), np.int64)
         known, score = np.zeros((len(queries), n), bool), np.full((len(queries), n), -np.inf)
         known[some[own >= 0], own[own >= 0]] = True  # and never looked at
+        left_out, best = n - (own >= 0), [np.zeros(0)] * len(queries)
         kth, bound, radius = (np.full(len(queries), v) for v in (np.inf, np.inf, -1.0))
 
         def verify(q, found):
             found = found[~known[q, found]]
             known[q, found] = True
-            score[q, found] = self.x[found] @ queries[q]
+            got = score[q, found] = self.x[found] @ queries[q]
             self.verified += len(found)
-            if known[q].sum() - (own[q] >= 0) >= k:  # distance of the k-th best so far; without k of them the windows open wide
-                kth[q] = math.sqrt(max(0.0, size[q] - 2 * float(np.partition(score[q], n - k)[n - k])))
+            left_out[q] -= len(found)
+            best[q] = np.concatenate([best[q], got])
+            if len(best[q]) >= k:  # distance of the k-th best so far; without k of them the windows open wide
+                best[q] = np.partition(best[q], len(best[q]) - k)[len(best[q]) - k :]
+                kth[q] = math.sqrt(max(0.0, size[q] - 2 * float(best[q][0])))
 
         for q in some:
             verify(q, np.unique(self._places(np.maximum(low[q] - SEEDS, 0), np.minimum(low[q] + SEEDS, n))))
         bound[:], step = kth, -STEPS
-        while len(some := some[(radius[some] < kth[some]) & ~known[some].all(1)]):
+        while len(some := some[(radius[some] < kth[some]) & (left_out[some] > 0)]):
             radius[some] = bound[some] * ratio ** min(step, 0)
             half = (self.width * radius[some])[:, None]
             left, right = np.minimum(self._left_of(at[some] - half, "left"), low[some]), np.maximum(self._left_of(at[some] + half, "right"), high[some])
@@ -117,7 +121,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(v, fine) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, projections: int = 96, width: float = 0.9, ratio: float = 1.05, slack: float = 1.5, block: int = BLOCK, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, projections: int = 64, width: float = 0.9, ratio: float = 1.05, slack: float = 1.5, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score for the queries among (vec_id, embedding)."""
     found = df.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = spill(found.where(usable(F.col("v")) & F.col("vec_id").isNotNull()), "vectors")  # the ordinals are fixed from here

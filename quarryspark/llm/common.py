@@ -19,8 +19,8 @@ SPACE = " \t\n\x0b\f\r"
 #: Rows in one Arrow batch; texts can be long, so batches are kept short.
 ARROW_ROWS = 500
 
-#: Files of a scratch table, at most, for each core of the cluster.
-FILES = 4
+#: Bytes of a file of whole texts, rows of a file of short rows, about; small tables have a file a core, or one.
+FILE_BYTES, FILE_ROWS = 128 << 20, 2_000_000
 #: Rows of a side that is broadcast, at most; joins with more rows shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -36,7 +36,7 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def larger(batches, size: int = 2 << 20):
+def larger(batches, size: int = 1 << 20):
     """Arrow batches put together until they hold ``size`` bytes."""
     import pyarrow as pa
 
@@ -51,6 +51,27 @@ def larger(batches, size: int = 2 << 20):
         yield pa.concat_batches(held)
 
 
+def released(run):
+    """A function of batches that gives memory back to the system when its task is over: workers outlive tasks."""
+
+    def tidy(batches):
+        yield from run(batches)
+        trim_memory()
+
+    return tidy
+
+
+def trim_memory() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -60,15 +81,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def compact(df: DataFrame) -> DataFrame:
+    """``df`` in partitions of about FILE_BYTES, by the planner's estimate: a table of many small splits isn't written as many small files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), 1 << 20))
+
+
+def spill(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows: short rows that it has at most, for the number of its files.
+    """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/quarryspark-{uuid.uuid4().hex}"
-    df.coalesce(FILES * spark.sparkContext.defaultParallelism).write.parquet(f"{folder}/{name}")
+    folder = f"{shared_dir(spark)}/quarryspark-{uuid.uuid4().hex}-{name}"
+    (compact(df) if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(folder)
     if not _made:
         atexit.register(_remove_all)
     _made[folder] = spark
-    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(folder)
     out.spilled = folder
     return out
 
@@ -104,12 +134,13 @@ def text_sha(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
-def keep_one(df: DataFrame, named: DataFrame, sha: Column) -> DataFrame:
+def keep_one(df: DataFrame, named: DataFrame, sha: Column, total: int) -> DataFrame:
     """The rows of ``df`` whose (doc_id, sha) is ``keep`` in named (doc_id, sha, keep), one of each that repeats.
 
-    Only rows that go, or repeat, are named to ``df``; its texts stay where they are as long as those are few.
+    Only rows that go, or repeat, are named to ``df``; its texts stay where they are as long as those are few. total: rows
+    of named, at most.
     """
-    rows = spill(named.groupBy("doc_id", "sha").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT keep").select(F.col("doc_id").alias("_gone_id"), F.col("sha").alias("_gone_sha"), "keep"), "gone")
+    rows = spill(named.groupBy("doc_id", "sha").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT keep").select(F.col("doc_id").alias("_gone_id"), F.col("sha").alias("_gone_sha"), "keep"), "gone", total)
     own_id = df["doc_id"].cast("long")
     same = lambda side: own_id.eqNullSafe(side["_gone_id"]) & (sha == side["_gone_sha"])
     gone = sized(rows)

@@ -39,15 +39,14 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return linked.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: for every node that is not the smallest of its component. edges: (a, b) longs, any direction, repeats allowed; those with a null are no edges."""
-    now = spill(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+def components(edges: DataFrame, most: int) -> DataFrame:
+    """node, root: for every node that is not the smallest of its component. edges: (a, b) longs, any direction, repeats allowed; those with a null are no edges; most: edges at most."""
+    now = spill(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", most)
     mark = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = seen
-        before, stars = now, spill(_large_star(now, seen[0]), "stars")
-        now = spill(_small_star(stars, 2 * seen[0]), "edges")
-        discard(before, stars)
+        before, now = now, spill(_small_star(_large_star(now, seen[0]), 2 * seen[0]), "edges", 2 * seen[0])
+        discard(before)

@@ -54,28 +54,28 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame,
     finest = (max(0, total // capacity).bit_length() + FINER) if total > capacity else 0
     cells = entries.groupBy(top_bits(F.col("h"), finest).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     grown = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("bits"))
-    levels = spill(grown.groupBy("bits", _right(F.col("cell"), F.lit(finest) - F.col("bits")).alias("bucket")).agg(F.sum("n").alias("n")), "levels")
+    levels = grown.groupBy("bits", _right(F.col("cell"), F.lit(finest) - F.col("bits")).alias("bucket")).agg(F.sum("n").alias("n"))
     over = levels.where(F.col("n") > capacity).select((F.col("bits") + 1).alias("bits"), F.col("bucket").alias("up"))
     fits = levels.where((F.col("n") <= capacity) | (F.col("bits") == finest))
     # a bucket is as wide as it can be: the one that it was split from was overfull
     split = fits.where("bits > 0").withColumn("up", _right(F.col("bucket"), F.lit(1))).join(over, ["bits", "up"], "left_semi").select("bits", "bucket")
-    buckets = spill(fits.where("bits = 0").select("bits", "bucket").unionByName(split), "buckets")
+    buckets = fits.where("bits = 0").select("bits", "bucket").unionByName(split)
     depth = buckets.agg(F.max("bits")).first()[0] or 0
     spare = F.lit(depth) - F.col("bits")
     first = F.call_function("shiftleft", F.col("bucket"), spare)
     slots = buckets.select(first.alias("bucket"), "bits", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("long"), spare) - 1)).alias("slot"))
-    return spill(slots, "directory"), depth
+    return spill(slots, "directory", 1 << depth), depth
 
 
-def build_index(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """bucket, bits, h, link, chain, digest, keep_id, n: entries by owner task. keys: h, digest, doc_id."""
-    entries = spill(keys.groupBy("h", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "entries")
+def build_index(keys: DataFrame, total: int, capacity: int = CAPACITY) -> DataFrame:
+    """bucket, bits, h, link, chain, digest, keep_id, n: entries by owner task. keys: h, digest, doc_id; total: rows of it."""
+    entries = spill(keys.groupBy("h", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "entries", total)
     slots, depth = directory(entries, capacity)
     placed = entries.withColumn("slot", top_bits(F.col("h"), depth)).join(sized(slots), "slot")
     owned = placed.repartitionByRange("bucket", "h")
     chain = Window.partitionBy("bucket", "h")
     owned = owned.withColumns({"link": F.row_number().over(chain.orderBy("digest")), "chain": F.count(F.lit(1)).over(chain)})
-    index = spill(owned.sortWithinPartitions("bucket", "h", "link").select("bucket", "bits", "h", "link", "chain", "digest", "keep_id", "n"), "index")
+    index = spill(owned.sortWithinPartitions("bucket", "h", "link").select("bucket", "bits", "h", "link", "chain", "digest", "keep_id", "n"), "index", total)
     discard(entries, slots)
     return index
 
@@ -90,22 +90,23 @@ def exact_groups(df: DataFrame, capacity: int = CAPACITY, key: Column | None = N
     sha = F.sha2("t", 256)
     weak = digest is not None
     keys = spill(rows.select("doc_id", h.alias("h"), (digest if weak else sha).alias("digest"), *([sha.alias("sha")] if weak else [])), "keys")
-    index = build_index(keys, capacity)
+    total = keys.count()
+    index = build_index(keys, total, capacity)
 
     # chains of more than one row have their bytes compared, under whatever digest
     contested = index.where("n > 1 OR chain > 1")
     texts = rows.withColumn("h", h).join(sized(contested.select("h").distinct()), "h", "left_semi")
     by_bytes = texts.groupBy("h", "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    groups = spill(by_bytes.select("h", (digest if weak else sha).alias("digest"), "keep_id", "n"), "groups")
+    groups = spill(by_bytes.select("h", (digest if weak else sha).alias("digest"), "keep_id", "n"), "groups", total)
     told = groups.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     clash = told.where("texts > 1").select("h", "digest")
     alone = told.where("texts = 1 AND n > 1").select("h", "digest", "keep_id", "n")
-    out = keys.join(sized(spill(alone, "keepers")), ["h", "digest"], "left")
+    out = keys.join(sized(alone), ["h", "digest"], "left")
     out = out.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("sha" if weak else "digest").alias("text_sha256"), "h", "digest")
     if clash.isEmpty():
         out = out.drop("h", "digest")
     else:
-        shared = spill(clash, "clash")
+        shared = spill(clash, "clash", total)
         again = rows.withColumns({"h": h, "digest": digest if weak else sha}).join(sized(shared), ["h", "digest"], "left_semi")
         owners = again.groupBy("h", "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         resolved = again.join(owners, ["h", "t"]).select("doc_id", "keep_id", "group_size", sha.alias("text_sha256"))
@@ -116,7 +117,7 @@ def exact_groups(df: DataFrame, capacity: int = CAPACITY, key: Column | None = N
 def drop_copies(df: DataFrame) -> DataFrame:
     """The rows of ``df`` that stay: one of each group of equal texts. By id and text, as ids can be null or repeat."""
     named = exact_groups(df).select("doc_id", F.col("text_sha256").alias("sha"), F.col("kept").alias("keep"))
-    return keep_one(df, named, F.sha2(normalised(df["text"]), 256))
+    return keep_one(df, named, F.sha2(normalised(df["text"]), 256), df.count())
 
 
 ORACLE = r"""

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import short_batches
+from quarryspark.llm.common import released, short_batches
 
 #: Letters of an n-gram, its vector's length (a multiple of 64).
 GRAM, DIM = 3, 1024
@@ -106,7 +106,7 @@ def prototypes(df: DataFrame, space) -> dict[str, np.ndarray]:
                     sums.setdefault(lang, np.zeros(DIM))[:] += v / size
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
-    sums = df.select("text", "lang").mapInArrow(run, "lang string, v array<double>")
+    sums = df.select("text", "lang").mapInArrow(released(run), "lang string, v array<double>")
     parts = sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     # languages x DIM numbers, whatever the input's size
     rows = parts.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).collect()
@@ -149,4 +149,4 @@ def identify(df: DataFrame, learn: Column) -> DataFrame:
             pred, score = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.select("doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double")

@@ -8,8 +8,9 @@ probability, raked over own tokens; the draw is a hash of doc_id and text, so a
 task may be lost.
 
 Targets. By default a margin's target shares are its observed shares to the power
-``temper`` (1 leaves them, 0 makes them equal); ``targets`` gives shares outright, in which case
-values that it does not name get none. ``rate`` is the share of tokens to keep, or less where a
+``temper`` (1 leaves them, 0 makes them equal), but at most ``BOOST`` times them before they are made to add
+up again, so that a value of a few tokens does not decide how much of the others may stay; ``targets`` gives
+shares outright, in which case values that it does not name get none. ``rate`` is the share of tokens to keep, or less where a
 sample without repeats could not meet the targets: a value with share s of the tokens and target t
 allows s / t at most, and ``HEADROOM`` of the least of these is taken. ``missed`` says how far from
 its targets a mixture is.
@@ -39,11 +40,13 @@ MARGINS = ("source", "lang", "topic")
 #: Powers of observed shares that make the default targets; rounds; share of tokens to keep, at most; share of what targets allow.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 ROUNDS, RATE, HEADROOM, SEED = 24, 0.8, 0.95, "mix"
+#: Times its observed share that a value is aimed at, at most.
+BOOST = 1.4
 #: Topic -> its signs; a topic needs a sign for every ``DENSE`` characters.
 TOPICS = {"data": "0123456789|", "markup": "#$%&*<>{}", "talk": "?!\""}
 DENSE = 40
 #: Cells of a task; rounds of a job.
-CELLS, JOB = 1_000_000, 6
+CELLS, JOB = 1_000_000, 12
 
 
 def n_tokens(text: Column) -> Column:
@@ -71,7 +74,9 @@ def _aimed(cells: DataFrame, total: float, targets: dict[str, dict[str, float]],
             given = targets[m]
             share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(m)), F.lit(0.0)) if given else F.lit(0.0)
         else:
-            share = F.pow(F.col("own") / total, F.lit(temper[m]))
+            power = F.pow(F.col("own") / total, F.lit(temper[m]))
+            sum_of = own.agg(F.sum(power)).first()[0] or 1.0
+            share = F.least(power / sum_of, BOOST * F.col("own") / total)
         own = own.withColumn("share", share.cast("double"))
         whole, least = own.agg(F.sum("share"), F.min(F.when(F.col("share") > 0, F.col("own") / total / F.col("share")))).first()
         whole = whole or 1.0
@@ -83,19 +88,20 @@ def _aimed(cells: DataFrame, total: float, targets: dict[str, dict[str, float]],
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int = ROUNDS, headroom: float = HEADROOM) -> DataFrame:
     """source, lang, topic, n -> the same, the target shares, raked weight ``w`` and probability ``p``."""
-    cells = spill(cells.select(*MARGINS, F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("n")), "cells")
+    cells = spill(cells.groupBy(*MARGINS).agg(F.sum("n").alias("n")).select(*MARGINS, F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("n")), "cells", CELLS)
     count, total = cells.agg(F.count(F.lit(1)), F.sum("n")).first()
     aimed, room = _aimed(cells, total or 1.0, targets or {}, temper)
     rate = min(rate, headroom * room) if total else rate
-    now = spill(aimed.withColumn("w", F.col("n") * rate), "aimed")
+    now = aimed.withColumn("w", F.col("n") * rate)
     for first in range(0, rounds if total else 0, JOB):
         before, now = now, now.coalesce(1) if count <= CELLS else now.repartition(-(-count // CELLS), *MARGINS)
         for _ in range(first, min(first + JOB, rounds)):
             for m in MARGINS:
                 sums = F.sum("w").over(Window.partitionBy(m))
                 now = now.withColumn("w", F.least("n", F.when(sums > 0, F.col("w") * (F.col(f"t_{m}") * (rate * total) / sums)).otherwise(F.col("w"))))
-        now = spill(now, "raked")
-        discard(before)
+        now = spill(now, "raked", count)
+        if first:
+            discard(before)
     aim = F.least(*(F.col(f"t_{m}") for m in MARGINS))
     return now.withColumn("p", F.when(F.col("n") > 0, F.col("w") / F.col("n")).when(aim > 0, rate).otherwise(0.0))
 
@@ -154,7 +160,7 @@ def oracle(temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int =
             name = f"r{r}_{m}"
             steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (least(n, CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN w * (t_{m} * (rate * (SELECT n FROM total)) / sum(w) OVER (PARTITION BY {m})) ELSE w END) AS w) FROM {last})")
             last = name
-    goals = ", ".join(f"share_{m} AS (SELECT {m}, sum(n) AS own, pow(sum(n) / (SELECT n FROM total), {temper[m]}) AS share FROM cells GROUP BY {m}), whole_{m} AS (SELECT sum(share) AS whole, min(own / (SELECT n FROM total) / share) FILTER (share > 0) AS least FROM share_{m})" for m in MARGINS)
+    goals = ", ".join(f"power_{m} AS (SELECT {m}, sum(n) AS own, pow(sum(n) / (SELECT n FROM total), {temper[m]}) AS power FROM cells GROUP BY {m}), share_{m} AS (SELECT {m}, own, least(power / (SELECT sum(power) FROM power_{m}), {BOOST} * own / (SELECT n FROM total)) AS share FROM power_{m}), whole_{m} AS (SELECT sum(share) AS whole, min(own / (SELECT n FROM total) / share) FILTER (share > 0) AS least FROM share_{m})" for m in MARGINS)
     room = ", ".join(f"(SELECT coalesce(least, 1.0::DOUBLE) * whole FROM whole_{m})" for m in MARGINS)
     aims = " ".join(f"JOIN share_{m} ON cells.{m} IS NOT DISTINCT FROM share_{m}.{m} CROSS JOIN whole_{m}" for m in MARGINS)
     same = " AND ".join(f"d.{m} IS NOT DISTINCT FROM c.{m}" for m in MARGINS)

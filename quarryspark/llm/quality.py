@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import discard, short_batches, sized, spill
+from quarryspark.llm.common import discard, released, short_batches, sized, spill
 from quarryspark.llm.gbt import Boosted, Isotonic
 from quarryspark.llm.toxicity import labelled_sample
 
@@ -104,7 +104,7 @@ def feature_rows(df: DataFrame) -> DataFrame:
             a, b = _views(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _arrays(a), _arrays(b)], ["doc_id", "a", "b"])
 
-    made = _columns(df).mapInArrow(run, "doc_id long, a array<float>, b array<float>")
+    made = _columns(df).mapInArrow(released(run), "doc_id long, a array<float>, b array<float>")
     return spill(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "a", "b"), "features")
 
 
@@ -162,7 +162,7 @@ def _scored(rows: DataFrame, model: CoTrained) -> DataFrame:
             x = _matrix(batch.column("a"), TEXT_FEATURES), _matrix(batch.column("b"), META_FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "a", "b")), *(pa.array(v.raw(m)) for v, m in zip(views.value, x))], ["row", "a", "b", "s0", "s1"])
 
-    return rows.select("row", "a", "b").mapInArrow(run, "row long, a array<float>, b array<float>, s0 double, s1 double")
+    return rows.select("row", "a", "b").mapInArrow(released(run), "row long, a array<float>, b array<float>, s0 double, s1 double")
 
 
 def exchange(model: CoTrained, pool: DataFrame, total: int, seed: int) -> int:
@@ -188,7 +188,7 @@ def train(features: DataFrame, labels: DataFrame, learn: Column) -> CoTrained:
     views = [np.array(rows[c].tolist(), float).reshape(len(rows), k) for c, k in (("a", TEXT_FEATURES), ("b", META_FEATURES))]
     model = CoTrained(views, rows["y"].to_numpy(float))
     known = labels.select(F.col("doc_id").cast("long").alias("label_id")).where("label_id IS NOT NULL").distinct()
-    pool = features.join(sized(spill(known, "known")), F.col("doc_id") == F.col("label_id"), "left_anti")
+    pool = features.join(sized(known), F.col("doc_id") == F.col("label_id"), "left_anti")
     if model.two_sided and (total := pool.count()):
         for r in range(ROUNDS):
             if not exchange(model, pool, total, r):
@@ -208,7 +208,7 @@ def score(df: DataFrame, labels: DataFrame, learn: Column, least: float = 0.5) -
             p = model.value([_matrix(batch.column("a"), TEXT_FEATURES), _matrix(batch.column("b"), META_FEATURES)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array(p >= least)], ["doc_id", "score", "keep"])
 
-    return features.mapInArrow(run, "doc_id long, score double, keep boolean")
+    return features.mapInArrow(released(run), "doc_id long, score double, keep boolean")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, learn: Column, least: float = 0.5) -> DataFrame:
@@ -226,4 +226,4 @@ def keep_good(df: DataFrame, labels: DataFrame, learn: Column, least: float = 0.
             yield batch.select(names).filter(pa.array(p >= least))
 
     missing = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c not in names]
-    return df.withColumns({c: F.lit(None).cast("string") for c in missing}).mapInArrow(run, df.schema) if missing else df.mapInArrow(run, df.schema)
+    return df.withColumns({c: F.lit(None).cast("string") for c in missing}).mapInArrow(released(run), df.schema) if missing else df.mapInArrow(released(run), df.schema)

@@ -1,19 +1,21 @@
 """SimHash near-dedup: fingerprints, a vantage-point tree over them, and connected components.
 
-Tree. Every level of the tree has a vantage point (a fixed random word) and a block of the
-fingerprint's bits; a node's children are the Hamming distances to the vantage point within
-that block. The triangle bound says that two fingerprints' distances to a vantage point differ
-by at most their own distance; as the blocks of different levels are disjoint, what one level
-uses up of the radius is no longer there for the next, so a query with radius r only enters
-children whose distances differ from its own by r in total. This prunes exactly and far
-better than whole-word vantage points, around which random fingerprints all lie at 32 +- 4.
+Tree. A level of the tree has a vantage point; a node's children are the Hamming distances to it. The triangle
+bound says that two fingerprints' distances to a vantage point differ by at most their own distance, so a
+query only enters children whose distances differ from its own by the radius at most, and prunes exactly. At
+the top levels the distances are taken within disjoint blocks of the bits, around a fixed word: what
+one level uses up of the radius is no longer there for the next, so a query with radius r enters
+children whose distances differ from its own by r in total. This prunes far better than whole-word vantage points,
+around which random fingerprints all lie at 32 +- 4.
 
 Shards are the nodes at the tree's top levels. A fingerprint is a member of one shard and
 visits those others that its radius overlaps (one of each pair of shards, so that no pair is
-looked at twice). The tasks of a shard carry on with the levels below and compare what is left.
-They return spanning links to the smallest member, not pairs, so their output is linear in what
-they read, and no group of copies or near copies is expanded: equal fingerprints are one row
-from the start.
+looked at twice). A shard whose members and visitors make more than ``PAIRS`` pairs is split on: its vantage point is
+a fingerprint of its own, the distances are those of the whole word, and again members visit the rings
+that their radius overlaps, until every shard is small enough for a task or ``DEEPEST`` levels are reached.
+The tasks compare what is left, in blocks. They return spanning links to the smallest member, not pairs, so their
+output is linear in what they read, and no group of copies or near copies is expanded: equal fingerprints
+are one row from the start.
 
 Wide radii (near copies by similarity). Where r is a large part of the distance between random
 fingerprints, no exact triangle bound prunes. ``similar_groups`` then shards 512-bit
@@ -38,7 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import discard, hex64, keep_one, short_batches, spill, text_sha
+from quarryspark.llm.common import hex64, keep_one, released, short_batches, sized, spill, text_sha
 from quarryspark.llm.components import components
 
 #: Vantage points of the tree's levels (the digits of an arbitrary fixed word).
@@ -46,6 +48,8 @@ VANTAGE = 0x9E3779B97F4A7C15
 #: Bits of a block of the tree's top levels; levels that make up a shard's key. The same at every size, so that the
 #: shards that a fingerprint visits (65 of them with radius 3) don't grow with the table.
 BLOCK, LEVELS = 16, 4
+#: Pairs of a member and a visitor in a shard, at most, before it is split by a fingerprint of its own; such levels, at most.
+PAIRS, DEEPEST = 1 << 26, 6
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -102,7 +106,7 @@ def fingerprints(df: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,),
                     col.append(majority(x if not i else x ^ (x >> np.uint64(32))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(np.array(c, np.uint64).astype(np.int64)) for c in cols)], [*kept, *names])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([text_sha(F.col("text")).alias("sha")] if sha else [])).mapInArrow(run, "doc_id long, " + "sha binary, " * sha + ", ".join(f"{n} long" for n in names))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([text_sha(F.col("text")).alias("sha")] if sha else [])).mapInArrow(released(run), "doc_id long, " + "sha binary, " * sha + ", ".join(f"{n} long" for n in names))
 
 
 def ring(fp: Column, level: int) -> Column:
@@ -152,22 +156,12 @@ def linked(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int, labels: L
         labels.link(x[near], y[near])
 
 
-def compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, level: int, labels: Labels, cells: int = 1 << 22, narrow: tuple[int, int] | None = None) -> None:
+def compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, labels: Labels, cells: int = 1 << 22, narrow: tuple[int, int] | None = None) -> None:
     """Link rows a with rows b where their fingerprints (n x words) are within the radius. a is b: each pair once.
 
     narrow: (words, radius) of a first comparison that pairs must pass before all of their words are looked at.
     """
     same = a is b
-    if len(a) * len(b) > 16 * cells and level < 8 and fps.shape[1] == 1:
-        # further down the tree: halves of the top blocks, 8 bits a level
-        d = np.bitwise_count((fps[:, 0] ^ np.uint64(VANTAGE)) & np.uint64(0xFF << (8 * level)))
-        for x in np.unique(d[a]):
-            own = a[d[a] == x]
-            for y in np.unique(d[b]):
-                # the block's halves are not disjoint from the shard key's block, so the bound is taken anew here
-                if abs(int(x) - int(y)) <= radius and (not same or y >= x):
-                    compare(fps, own, own if same and x == y else b[d[b] == y], radius, level + 1, labels, cells)
-        return
     step = max(1, cells // max(1, len(b)))
     for at in range(0, len(a), step):
         own, other = a[at : at + step], b[at:] if same else b
@@ -200,9 +194,9 @@ def shard_links(df: DataFrame, radius: int, words: int, narrow: tuple[int, int]
         rep, member, fps = rep[order], member[order], fps[order]
         labels = Labels(len(rep))
         own, visits = np.flatnonzero(member), np.flatnonzero(~member)
-        compare(fps, own, own, radius, 0, labels, narrow=narrow)
+        compare(fps, own, own, radius, labels, narrow=narrow)
         if len(visits) and len(own):
-            compare(fps, own, visits, radius, 0, labels, narrow=narrow)
+            compare(fps, own, visits, radius, labels, narrow=narrow)
         moved = np.flatnonzero(labels.of != np.arange(len(rep)))
         return (rep[moved], rep[labels.of[moved]]) if len(moved) else None
 
@@ -232,11 +226,11 @@ def shard_links(df: DataFrame, radius: int, words: int, narrow: tuple[int, int]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return df.mapInArrow(run, "a long, b long")
+    return df.mapInArrow(released(run), "a long, b long")
 
 
-def tree_links(nodes: DataFrame, radius: int = 3, levels: int = LEVELS) -> DataFrame:
-    """All links within the radius among (rep, fp0), as spanning links. Exact for any radius and number of levels."""
+def tree_links(nodes: DataFrame, radius: int = 3, levels: int = LEVELS, pairs: int = PAIRS) -> DataFrame:
+    """All links within the radius among (rep, fp0), as spanning links. Exact for any radius and numbers of levels and pairs."""
     base = 2 * BLOCK + 2 * radius + 2
     code = lambda parts: sum(p * base ** (levels - 1 - i) for i, p in enumerate(parts))
     steps = [code(o) for o in offsets(levels, radius)]
@@ -244,7 +238,28 @@ def tree_links(nodes: DataFrame, radius: int = 3, levels: int = LEVELS) -> DataF
     shards = keyed.select("own").distinct()  # at most (BLOCK + 1) ** levels of them
     visits = keyed.select("rep", "fp0", "own", F.explode(F.lit(steps).cast("array<long>")).alias("step")).select((F.col("own") + F.col("step")).alias("shard"), (F.col("step") == 0).alias("member"), "rep", "fp0")
     visits = visits.join(shards.select(F.col("own").alias("shard")), "shard", "left_semi")
-    return shard_links(visits.repartition("shard").sortWithinPartitions("shard"), radius, 1)
+    links = lambda rows: shard_links(rows.repartition("shard").sortWithinPartitions("shard"), radius, 1)
+    out = None
+    for _ in range(DEEPEST):
+        own = F.when(F.col("member"), F.col("rep"))
+        sizes = visits.groupBy("shard").agg(F.count(own).alias("members"), F.count(F.lit(1)).alias("all"), F.min_by("fp0", own).alias("vantage"))
+        over = spill(sizes.where(F.col("members") * F.col("all") > pairs).select("shard", "vantage"), "over", (BLOCK + 1) ** levels)
+        if over.isEmpty():
+            break
+        large = sized(over)
+        part = links(visits.join(large, "shard", "left_anti"))
+        out = part if out is None else out.unionByName(part)
+        visits = spill(_rings(visits.join(large, "shard"), radius), "visits")
+    return links(visits) if out is None else out.unionByName(links(visits))
+
+
+def _rings(visits: DataFrame, radius: int) -> DataFrame:
+    """The members and visitors of shards by their distance to the shard's vantage point: again shard, member, rep, fp0."""
+    away = F.bit_count(F.col("fp0").bitwiseXOR(F.col("vantage"))).cast("int")
+    low = F.when(F.col("member"), 0).otherwise(-radius)
+    steps = visits.select("shard", "member", "rep", "fp0", away.alias("away"), F.explode(F.sequence(low, F.lit(radius))).alias("step"))
+    rings = steps.select(F.xxhash64("shard", F.col("away") + F.col("step")).alias("shard"), (F.col("member") & (F.col("step") == 0)).alias("member"), "rep", "fp0")
+    return rings.join(rings.where("member").select("shard").distinct(), "shard", "left_semi")
 
 
 def named_components(fps: DataFrame, names: list[str], links) -> DataFrame:
@@ -254,11 +269,11 @@ def named_components(fps: DataFrame, names: list[str], links) -> DataFrame:
     ordinal, so rows without a doc_id link others like any row, but come after all that have one.
     """
     own = fps.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *(["sha"] if "sha" in fps.columns else []))).alias("first"))
-    nodes = spill(own.select(F.monotonically_increasing_id().alias("rep"), *names, "first"), "nodes")
-    roots = spill(components(links(nodes.drop("first"))), "roots")
+    total = fps.count()
+    nodes = spill(own.select(F.monotonically_increasing_id().alias("rep"), *names, "first"), "nodes", total)
+    roots = components(links(nodes.drop("first")), total)
     rooted = nodes.join(roots, nodes.rep == roots.node, "left").select(*names, "first", F.coalesce("root", "rep").alias("root"))
-    named = spill(rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first"), "named")
-    discard(nodes, roots)
+    named = rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first")
     return fps.join(named, names, "left")
 
 
@@ -289,8 +304,8 @@ def forest_trees(p: float, width: int, depth: int, recall: float) -> int:
     return trees
 
 
-def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 2.0) -> DataFrame:
-    """doc_id, sha, component_id, first: rows whose shingle sets' similarity, as 512-bit fingerprints tell it, reaches ``similarity``.
+def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sha, component_id, first; fingerprints): rows whose shingle sets' similarity, as 512-bit fingerprints tell it, reaches ``similarity``.
 
     A pair is taken up to ``slack`` standard deviations beyond the expected number of differing bits, so that few
     pairs at the threshold itself are missed. The first 128 bits rule most pairs out before all bits are compared,
@@ -313,7 +328,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
         visits = nodes.select(F.explode(F.array(*keys)).alias("shard"), F.lit(True).alias("member"), "rep", *names)
         return shard_links(visits.repartition("shard").sortWithinPartitions("shard"), most(wide, slack), len(names), (width // 64, most(width, slack + 1)))
 
-    return named_components(fps, names, links).select("doc_id", "sha", F.col("first.doc_id").alias("component_id"), "first")
+    return named_components(fps, names, links).select("doc_id", "sha", F.col("first.doc_id").alias("component_id"), "first"), fps
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -321,6 +336,6 @@ def drop_near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     Of rows of the group that share that doc_id, or have none, that with the smallest hash of its text.
     """
-    groups = similar_groups(df, words, similarity)
+    groups, fps = similar_groups(df, words, similarity)
     keep = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
-    return keep_one(df, groups.select("doc_id", "sha", keep.alias("keep")), text_sha(df["text"]))
+    return keep_one(df, groups.select("doc_id", "sha", keep.alias("keep")), text_sha(df["text"]), fps.count())

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import short_batches, spill
+from quarryspark.llm.common import released, short_batches, spill
 from quarryspark.llm.gbt import Boosted, Isotonic
 
 #: Labelled rows to fit on, about, at most; lexicon entries, at most.
@@ -40,7 +40,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: st
     """The columns of docs and y for about ``most`` labelled doc_ids, chosen by a hash; one row of each, the smallest."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("label_id").isNotNull())
     known = known.where(learn).groupBy("label_id").agg(F.max("y").alias("y"))
-    known = spill(known, "labels")
+    known = spill(known, "labels", labels.count())
     share = min(1.0, most / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
     # at most about ``most`` pairs of numbers: a proven bound
@@ -104,7 +104,7 @@ def feature_rows(df: DataFrame, weights: dict[str, float]) -> DataFrame:
             x = [[float(v) for v in features(t, weights)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    return df.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>")
+    return df.select("doc_id", "y", "text").mapInArrow(released(run), "doc_id long, y int, x array<double>")
 
 
 def fit(sample: DataFrame) -> tuple[dict[str, float], Boosted, Isotonic]:
@@ -135,4 +135,4 @@ def score(df: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
             p = calibrate(trees.raw(x))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.mapInArrow(released(run), "doc_id long, score double, predicted int")

@@ -4,9 +4,11 @@ import collections
 import hashlib
 import itertools
 import random
+import unicodedata
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,6 +97,18 @@ def test_packing_is_lossless(spark, odd, empty, library):
     assert pack.pack(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_packing_of_empty_texts_ties_and_long_rows(spark, library, tmp_path):
+    assert max(map(len, pack.best_fit_decreasing([0] * 25 + [3, 3], 8))) <= 8
+    rows = [(None, "two words"), (None, "two words"), (7, ""), (8, "long " * 80_000)]
+    out = pack.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), queries.tokenizer_path(), row_len=70_000)
+    pack.write(out, str(tmp_path / "packed"), 70_000, 49_408)
+    ids, lengths, positions = next(iter(pack.matrices(spark, str(tmp_path / "packed"))))
+    assert ids.shape == positions.shape == (2, 70_000) and positions.dtype == np.uint32
+    assert positions[0].tolist() == list(range(70_000)) and lengths[0] == [0, 70_000, 70_000]  # the empty text takes the first row
+    two = library.encode("two words", add_special_tokens=False).ids
+    assert lengths[1] == [0, 10_000, 10_002, 10_004] and ids[1, 10_000:10_004].tolist() == two * 2 and positions[1, 9_999:10_003].tolist() == [9_999, 0, 1, 0]
+
+
 # 2 URLs
 
 
@@ -145,11 +159,26 @@ def test_raking_meets_margins(spark):
     cells = [(s, la, t, rng.randint(1, 100)) for s in "abc" for la in ("x", "y") for t in ("p", "q")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, n long")
     goal = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.6, "y": 0.4}, "topic": {"p": 0.5, "q": 0.5}}
-    out = mixing.rake(df, goal).toPandas()
-    out["w"] = out.n * out.factor
+    raked = mixing.rake(df, goal)
+    out = raked.toPandas()
+    assert (out.p <= 1).all() and ((out.w - out.n * out.p).abs() < 1e-9).all()
     for m, shares in goal.items():
         got = out.groupby(m).w.sum() / out.w.sum()
         assert all(abs(got[k] - v) < 1e-3 for k, v in shares.items())
+    assert mixing.missed(raked) < 1e-3
+
+
+def test_mixture_of_the_documents_meets_its_targets(docs):
+    """Also where some cells are wanted more than whole: what the bound takes goes to the others."""
+    raked = mixing.rake(mixing.sample(docs).groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("n")))
+    assert mixing.missed(raked) < 1e-3 and raked.where("p > 0.999").count() > 0
+
+
+def test_draws_and_empty_targets(spark):
+    """Rows without an id are drawn one by one; a source that is not wanted gives nothing, not even texts without tokens."""
+    rows = spark.createDataFrame([(None, f"text number {i}", "a", "x") for i in range(400)] + [(i, "", "b", "x") for i in range(20)] + [(i, "some words", None, "x") for i in range(400, 500)], "doc_id long, text string, source string, lang string")
+    kept = mixing.keep_sampled(rows, targets={"source": {"a": 1.0}}, rate=0.5).collect()
+    assert 100 < len(kept) < 300 and {r.source for r in kept} == {"a"}
 
 
 def test_mixing_odd_tables(odd, empty):
@@ -162,6 +191,10 @@ def test_mixing_odd_tables(odd, empty):
 # 5 BPE
 
 
+def digests(codec, texts):
+    return list(zip(*bpe.Digester(codec)(pa.array(texts, pa.string()))))
+
+
 def test_codec_equals_library(docs, odd, empty, library):
     path = queries.tokenizer_path()
     for df in (docs, odd):
@@ -171,26 +204,82 @@ def test_codec_equals_library(docs, odd, empty, library):
     assert bpe.digest_texts(empty, path).count() == 0
 
 
-@given(st.text(alphabet=st.sampled_from("etaoin srhldcu'sm.-!éßñΣ1<|>\n"), max_size=300))
+@given(st.lists(st.text(alphabet=st.sampled_from("etaoin srhldcu'sm.-!éßñΣ1<|>\n\x1c\u0301"), max_size=300), max_size=5))
 @settings(max_examples=150, deadline=None)
-def test_codec_on_any_text(library, codec, text):
-    assert codec.digest(text) == by_library(library, text)
-    assert list(codec.encode(text)) == library.encode(text, add_special_tokens=False).ids
+def test_codec_on_any_text(library, codec, texts):
+    assert digests(codec, texts) == [by_library(library, t) for t in texts]
+    for text in texts:
+        assert list(codec.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_codec_on_every_code_point(library, codec):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for low in range(0, len(points), 60_000):
+        texts = [f"a{chr(c)}b" for c in points[low : low + 60_000]]
+        assert digests(codec, texts) == [by_library(library, t) for t in texts]
+
+
+def test_long_rows_are_read_in_pieces(library, codec):
+    texts = ["ab " * 60_000, "x" * 70_000, "é" * 66_000 + " end<|endoftext|>" + "q" * 70_000 + "!", "", None, "last one"]
+    for limit in (1 << 24, 1 << 18):
+        seen = [(r, len(t)) for rows, part in bpe.pieces(pa.array(texts), limit) for r, t in zip(rows, part.to_pylist())]
+        assert [sum(n for r, n in seen if r == k) for k in range(6)] == [len(t or "") for t in texts]
+    assert digests(codec, texts) == [by_library(library, t) for t in texts]
+    assert [x.tolist() for x in pack.texts_ids(codec, pa.array(texts))] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_transducer_is_bounded(library, codec):
-    word = "".join(random.Random(5).choice("etaoinshr") for _ in range(20_000))
-    assert list(codec.encode_word(word)) == library.encode(word, add_special_tokens=False).ids
-    t = bpe.WordTransducer(codec.m)
-    t.feed(word)
-    assert t.widest <= codec.m.sufficient_lookahead()
+    rng = random.Random(5)
+    for letters in ("etaoinshr", "ab", "thein"):
+        word = "".join(rng.choice(letters) for _ in range(20_000))
+        want = library.encode(word, add_special_tokens=False).ids
+        t = bpe.WordTransducer(codec.m)
+        early = [codec.m.vocab[x] for x in t.feed(word[:-1])]
+        assert early == want[: len(early)] and len("".join(codec.m.text_of[k] for k in early)) > 18_000
+        assert early + [codec.m.vocab[x] for x in t.finish(word[-1])] == want == list(codec.stream_word(word))
+        assert t.widest <= codec.m.lookahead + 2 * codec.m.longest + bpe.STEP
+
+
+@given(st.data())
+@settings(max_examples=200, deadline=None)
+def test_lookahead_is_sufficient(data):
+    """Random merge lists: a token that ends further back than the lookahead is that of any longer text."""
+    tokens, merges = ["a", "b", "c"], []
+    for _ in range(data.draw(st.integers(1, 12))):
+        pair = (data.draw(st.sampled_from(tokens)), data.draw(st.sampled_from(tokens)))
+        if "".join(pair) not in tokens:
+            tokens.append("".join(pair))
+            merges.append(list(pair))
+    m = bpe.Merges({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges}})
+    text, more = (data.draw(st.text("abc", min_size=1, max_size=30)) for _ in "xy")
+    ends = lambda s: set(itertools.accumulate(map(len, m.merged(list(s)))))
+    stable = len(text) - m.lookahead
+    assert {e for e in ends(text) if e <= stable} == {e for e in ends(text + more) if e <= min(stable, max((e for e in ends(text) if e <= stable), default=0))}
+    t = bpe.WordTransducer(m)
+    assert t.feed(text[:-1]) + t.finish(text[-1]) == m.merged(list(text))
+
+
+def test_hash_collisions_are_noticed(codec, library):
+    """A table whose hashes name wrong tokens still gives right ids, through the words' own transducers."""
+    broken = bpe.Codec(codec.m)
+    for kind in broken.table.found:
+        kind[3][:] = np.roll(kind[3], 1)
+    assert digests(broken, ["some words here", "of the"]) == [by_library(library, t) for t in ("some words here", "of the")]
 
 
 def test_decoder_joins_split_characters(codec):
-    d = codec.decoder()
-    d.joined, d.utf8 = False, __import__("codecs").getincrementaldecoder("utf-8")("replace")
-    ids = list(codec.encode("日本 ok"))
-    assert "".join(map(d.feed, ids)) + d.finish() == "日本 ok "
+    d = codec.decoder(joined=False)
+    assert "".join(map(d.feed, codec.encode("日本 ok"))) + d.finish() == "日本 ok "
+
+
+def test_decoder_of_a_byte_level_file():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library, m = Tokenizer.from_file(path), bpe.Merges.load(path)
+    text = "Ünïcödé 日本語 🙂 \n and\tmore"
+    d = bpe.Decoder(m, {c: b for b, c in enumerate(bpe.byte_alphabet())}, joined=not m.has_decoder)
+    assert "".join(map(d.feed, library.encode(text).ids)) + d.finish() == text
 
 
 # 6 language
@@ -205,6 +294,33 @@ def test_language_held_out(docs, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, F.lit(False)).collect()} == {"und"}
 
 
+def test_letters_and_pieces():
+    space = langid.Space(langid.letter_table())
+    letters = np.array(sorted({int(x) for x in space.table[0x400:0x500]} - {0}))
+    assert len(np.unique(langid.letter_vectors(letters, 5), axis=0)) == len(letters) >= 32
+    plain = "Ünïcödé wörter über älles " * 40
+    assert (space.bundle(plain) == space.bundle(unicodedata.normalize("NFD", plain))).all()
+    assert all(np.allclose(space.bundle(plain, n), space.bundle(plain)) for n in (1, 7, 100))
+    grams = collections.Counter()
+    for w in "".join(chr(space.table[ord(c)]) if space.table[ord(c)] else " " for c in plain).split():
+        padded = f"\0{w}\0"
+        grams.update(padded[i : i + 3] for i in range(len(w)))
+    vector = lambda c: langid.letter_vectors(np.array([ord(c)]), 5)[0].astype(float)
+    want = sum(n * np.roll(vector(g[0]), 2) * np.roll(vector(g[1]), 1) * vector(g[2]) for g, n in grams.items())
+    assert np.allclose(space.bundle(plain), want)
+
+
+def test_language_equals_plain_sums(spark):
+    rows = [(i, t * 5, la) for i, (t, la) in enumerate([("the cat and the dog ", "en"), ("der hund und die katze ", "de"), ("le chat et le chien ", "fr")] * 4)]
+    space = langid.Space(langid.letter_table())
+    unit = {la: [space.bundle(t) / np.linalg.norm(space.bundle(t)) for _, t, x in rows if x == la] for la in ("de", "en", "fr")}
+    plain = langid.Profiles({la: np.sum(v, 0) for la, v in unit.items()})
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()
+    for r in got:
+        lang, score = plain.predict(space.bundle(rows[r.doc_id][1]))
+        assert (r.lang_pred, round(r.score, 6)) == (lang, round(score, 6)) and lang == rows[r.doc_id][2]
+
+
 # 7 exact
 
 
@@ -229,14 +345,31 @@ def test_dropping_goes_by_row_not_by_id_alone(spark):
     # a null id never names a component: two null rows of different texts are no group of their own
     assert order((r.doc_id, r.text) for r in simhash.drop_near_copies(rows).collect()) == order(left)
     mixed = rows.withColumn("lang", F.lit("en"))
-    kept = mixing.keep_sampled(mixed, targets={"source": {"t": 1.0}}, rate=100.0)
+    kept = mixing.keep_sampled(mixed, targets={"source": {"t": 1.0}, "topic": {"prose": 1.0}}, rate=1.0, headroom=1.0)
     assert [(r.doc_id, r.text) for r in kept.collect()] == [(None, "only here")]
 
 
-def test_directory_doubles():
-    depths = exact_dedup.double_directory({0: 90, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}, 3, 10)
-    assert depths == [3, 3, 2, 2, 1, 1, 1, 1]
-    assert exact_dedup.double_directory({0: 5}, 2, 10) == [0, 0, 0, 0]
+def test_directory_doubles(spark):
+    """90 entries that share their first bits, and one each of seven other prefixes of three bits."""
+    rows = [(k,) for k in range(90)] + [((p << 61) - (1 << 64) * (p > 3),) for p in range(1, 8)]
+    slots, depth = exact_dedup.directory(spark.createDataFrame(rows, "h long"), 10)
+    found = {}
+    for r in slots.collect():
+        found.setdefault((r["bits"], r["bucket"]), []).append(r["slot"])
+    assert depth == 8 and {k: len(v) for k, v in found.items()} == {(1, 128): 128, (2, 64): 64, (3, 32): 32, (8, 0): 1}
+    assert all(min(v) == bucket for (_, bucket), v in found.items())
+    slots, depth = exact_dedup.directory(spark.createDataFrame(rows[:5], "h long"), 10)
+    assert depth == 0 and [(r["slot"], r["bucket"], r["bits"]) for r in slots.collect()] == [(0, 0, 0)]
+
+
+def test_index_has_chains_in_order(spark):
+    keys = spark.createDataFrame([(i, i % 5 - 2, f"d{i % 10}") for i in range(40)], "doc_id long, h long, digest string")
+    index = exact_dedup.build_index(keys, 40, 3).collect()
+    assert len(index) == 10 and all(r["chain"] == 2 and r["n"] == 4 for r in index)
+    chains = {}
+    for r in index:
+        chains.setdefault((r["bucket"], r["h"]), []).append((r["link"], r["digest"], r["keep_id"]))
+    assert len(chains) == 5 and all([link for link, *_ in sorted(c)] == [1, 2] and sorted(c) == sorted(c, key=lambda x: x[1]) for c in chains.values())
 
 
 # 8 SimHash
@@ -255,8 +388,11 @@ def test_tree_equals_brute_force(spark, docs, odd, empty):
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     fps = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)), base[:50] ^ np.uint64(0b1111)])
     nodes = spark.createDataFrame([(i, int(f.astype(np.int64))) for i, f in enumerate(fps)], "rep long, fp0 long")
-    roots = {r["node"]: r["root"] for r in components(simhash.tree_links(nodes)).collect()}
+    roots = {r["node"]: r["root"] for r in components(simhash.tree_links(nodes), 10_000).collect()}
     assert [roots.get(i, i) for i in range(len(fps))] == brute(fps, list(range(len(fps))), 3).tolist()
+    # few top levels and small shards, so that fingerprints of the shards themselves become vantage points
+    split = {r["node"]: r["root"] for r in components(simhash.tree_links(nodes, levels=1, pairs=400), 10_000).collect()}
+    assert split == roots
     got = simhash.near_components(docs).toPandas().sort_values("doc_id")
     words = np.array([int(x, 16) for x in got.fingerprint], np.uint64)
     assert got.component_id.tolist() == brute(words, got.doc_id.tolist(), 3).tolist()
@@ -265,20 +401,44 @@ def test_tree_equals_brute_force(spark, docs, odd, empty):
     assert simhash.near_components(empty).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark):
+    """0 - 0b111 - 0b111111, the middle one known by null ids only."""
+    fps = spark.createDataFrame([(5, 0), (None, 0b111), (None, 0b111), (9, 0b111111), (None, -1)], "doc_id long, fp0 long")
+    got = simhash.named_components(fps, ["fp0"], lambda nodes: simhash.tree_links(nodes)).select("fp0", "first.doc_id").collect()
+    assert {(r.fp0, r.doc_id) for r in got} == {(0, 5), (0b111, 5), (0b111111, 5), (-1, None)} and len(got) == 5
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "a  b c"), (None, "x y"), (None, "x y"), (None, ""), (None, None), (3, "a b c"), (7, "w")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in exact_dedup.drop_copies(df).collect())
+    assert kept == sorted([(1, "a b c"), (0, "x y"), (0, ""), (7, "w")]) or kept == sorted([(1, "a  b c"), (0, "x y"), (0, ""), (7, "w")])
+    near = sorted((r.doc_id or 0, r.text or "") for r in simhash.drop_near_copies(df).collect())
+    assert [k for k, _ in near] == [0, 0, 1, 7]
+
+
+def test_hubs_are_salted(spark):
+    """A hub of more links than a task joins, and a path behind it."""
+    hub = spark.range(1, 6_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    path = spark.createDataFrame([(6_000, 6_001), (6_001, 6_002), (7_000, 7_001)], "a long, b long")
+    got = components(hub.unionByName(path), 6_003).collect()
+    assert len(got) == 6_003 and {r.root for r in got if r.node < 7_000} == {0} and {(r.node, r.root) for r in got if r.node >= 7_000} == {(7_001, 7_000)}
+
+
 def test_near_copies_at_similarity(spark, docs, empty):
     text = docs.where("n_chars > 1500").orderBy("doc_id").first()["text"].split()
     copies = [(10**6, " ".join(text)), (10**6 + 1, " ".join([*text[:100], "changed", *text[101:]]))]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df)[0].collect()}
     assert got[10**6] == got[10**6 + 1] < 10**6
-    assert simhash.similar_groups(empty).count() == 0
+    assert simhash.similar_groups(empty)[0].count() == 0
 
 
 def test_wide_fingerprints_keep_lesser_likeness_apart(spark):
     words = [f"w{i}" for i in range(2000)]
     change = lambda every: " ".join(f"x{i}" if i % every == 0 else w for i, w in enumerate(words))
     rows = [(1, " ".join(words)), (2, change(20)), (3, change(100))]  # similarity 0.6 and 0.9 with the first
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
     assert got == {1: 1, 2: 2, 3: 1}
 
 
@@ -289,7 +449,7 @@ def test_repeats_of_a_line_do_not_part_near_copies(spark):
         if not times:
             text, line = ([f"{c}{rng.randrange(10**9)}" for _ in range(n)] for c, n in (("w", 300), ("l", 12)))
         rows.append((i, " ".join(text + line * times)))  # set similarity 0.95 with the text alone
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
 
 
@@ -301,7 +461,7 @@ def test_forest_meets_pairs_at_the_threshold(spark):
         rows.append((2 * i, " ".join(words)))
         rows.append((2 * i + 1, " ".join(f"x{rng.randrange(10**9)}" if j in (20, 60, 100, 140) else w for j, w in enumerate(words))))  # 160 of 200 shingles in common
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, slack=6.0).collect()}  # so wide that only the forest can part them
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, slack=6.0)[0].collect()}  # so wide that only the forest can part them
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(1000)) >= 980
     assert all(got[k] // 2 == k // 2 for k in got)
 
@@ -326,31 +486,62 @@ def test_majority_counts_each_bit():
 
 def test_components_of_long_paths(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r["root"] for r in components(edges).collect()} == {0}
+    assert {r["root"] for r in components(edges, 200).collect()} == {0}
 
 
 # 10 nearest
 
 
+def plain_nearest(rows, k):
+    """(query_id, rank, vec_id, score) by brute force over (vec_id, vector) rows."""
+    out = []
+    for i, (q, y) in enumerate(rows):
+        if q % 20 == 0:
+            found = sorted((-float(np.dot(x, y)), v) for j, (v, x) in enumerate(rows) if j != i)[:k]
+            out += [(q, r + 1, v, -s) for r, (s, v) in enumerate(found)]
+    return out
+
+
 def test_nearest_recall_and_odd_vectors(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     extra = [(10**6, None), (10**6 + 20, []), (10**6 + 40, [0.0] * 64), (10**6 + 60, [float("nan")] * 64), (10**6 + 80, [1.0, None] + [0.0] * 62), (10**6 + 100, [1.0])]
-    got = ann.nearest(df.unionByName(spark.createDataFrame(extra, "vec_id long, embedding array<float>")), F.col("vec_id") % 20 == 0).toPandas()
-    full = df.toPandas()
-    x, ids = np.stack(full.embedding.to_numpy()).astype(float), full.vec_id.to_numpy()
-    hits = 0
-    for q in ids[ids % 20 == 0]:
-        s = x @ x[ids == q][0]
-        best = [ids[i] for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
-        own = got[got.query_id == q].sort_values("rank")
-        assert own["rank"].tolist() == list(range(1, 21))
-        hits += len(set(best) & set(own.vec_id))
-    assert hits >= 0.9 * 20 * (ids % 20 == 0).sum() and set(got.query_id) == set(ids[ids % 20 == 0])
+    both = df.unionByName(spark.createDataFrame(extra, "vec_id long, embedding array<float>")).withColumns({c: F.lit(1) for c in ("row", "v", "q", "block", "part", "rank", "score")})
+    x = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()] + [(10**6 + 100, np.eye(64)[0])]
+    want = plain_nearest(x, 20)
+    for size in (ann.BLOCK, 100):  # one block, and several
+        got = [tuple(r) for r in ann.nearest(both, F.col("vec_id") % 20 == 0, block=size).collect()]
+        assert sorted(r[:2] for r in got) == sorted(r[:2] for r in want)
+        true = {(q, v): s for q, _, v, s in plain_nearest(x, len(x))}
+        assert all(abs(true[q, v] - s) < 1e-9 for q, _, v, s in got)
+        assert len({(q, v) for q, _, v, _ in got} & {(q, v) for q, _, v, _ in want}) >= 0.9 * len(want)
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.nearest(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_takes_rows_as_candidates(spark):
+    """A vec_id on many rows: each is a candidate, and a query where its id is one."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0, 0.0]), *[(7, [0.9, 0.1, 0.0])] * 31, *[(20, [0.0, 0.0, 1.0])] * 2, *((100 + i, rng.normal(0, 0.3, 3).tolist()) for i in range(57))]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted((q, r, v, round(s, 9)) for q, r, v, s in plain_nearest([(i, np.array(v)) for i, v in rows], 20))
+
+
+def test_windows_are_read_and_recall_holds():
+    """Clustered and spread vectors: the arrays are read in part only, and few vectors are verified where neighbours stand out."""
+    rng = np.random.default_rng(8)
+    near = np.concatenate([c + rng.normal(0, 0.02, (25, 32)) for c in rng.normal(0, 0.3, (160, 32))])
+    for x, most in ((near, 0.2), (rng.normal(0, 0.2, (4000, 32)), 0.9)):
+        index = ann.ProjectedBlock(x, np.linalg.norm(x, axis=1).max(), 96, 11, 0.9, 1.5)
+        asked, hits = np.arange(0, 4000, 40), 0
+        for q, (found, score) in zip(asked, index.search(x[asked], asked, 20, 1.05)):
+            best = set(found[np.argsort(-score)[:20]].tolist())
+            true = x @ x[q]
+            true[q] = -np.inf
+            hits += len(best & set(np.argsort(-true)[:20].tolist()))
+        assert hits >= 0.9 * 20 * len(asked) and index.read > 0 and index.verified < most * len(asked) * 4000
+
+
 # queries with SQL, and the pipeline
 
 

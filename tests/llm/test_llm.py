@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarryspark.llm import ann, bpe, exact_dedup, langid, mixing, pack, quality, queries, simhash, toxicity, url_filter
+from quarryspark.llm import ann, bpe, exact_dedup, gbt, langid, mixing, pack, quality, queries, simhash, toxicity, url_filter
 from quarryspark.llm.common import held_out
 from quarryspark.llm.components import components
 
@@ -151,6 +151,120 @@ def test_keep_good_keeps_columns(odd, labels):
     assert out.columns == odd.columns and out.count() == len(ODD)
 
 
+def plain_trees(x, y, trees, depth, rate, bins, least):
+    """Boosting by loops over every feature, cut and node; the raw scores of the rows it was fitted on."""
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    b = [[sum(e < v for e in edges[j]) for j, v in enumerate(row)] for row in x]
+    base = (y.sum() + 1) / (len(y) + 2)
+    f = [float(np.log(base / (1 - base)))] * len(y)
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-v)) for v in f]
+        g, h = [t - q for t, q in zip(y, p)], [q * (1 - q) for q in p]
+        groups = [list(range(len(y)))]
+        for _ in range(depth):
+            parts = []
+            for rows in groups:
+                best, cut = 1e-9, None
+                for j in range(x.shape[1]):
+                    for k in range(bins):
+                        left = [i for i in rows if b[i][j] <= k]
+                        right = [i for i in rows if b[i][j] > k]
+                        gl, hl, gr, hr = (sum(v[i] for i in part) for part in (left, right) for v in (g, h))
+                        if hl < least / 10 or hr < least / 10:
+                            continue
+                        gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - (gl + gr) ** 2 / (hl + hr + 1)
+                        if gain > best + 1e-12:
+                            best, cut = gain, (j, k)
+                inside = (lambda i: True) if cut is None else (lambda i, c=cut: b[i][c[0]] <= c[1])
+                parts += [[i for i in rows if inside(i)], [i for i in rows if not inside(i)]]
+            groups = parts
+        for rows in groups:
+            step = rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+            for i in rows:
+                f[i] += step
+    return np.array(f)
+
+
+def test_boosted_trees_equal_plain_ones():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (80, 3)).round(1)
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(0, 0.5, 80) > 0.7).astype(float)
+    how = {"trees": 4, "depth": 2, "rate": 0.3, "bins": 8, "least": 5.0}
+    assert np.allclose(gbt.Boosted(**how).fit(x, y).raw(x), plain_trees(x, y, **how))
+
+
+def test_isotonic_equals_max_min():
+    rng = np.random.default_rng(7)
+    raw = np.sort(rng.normal(0, 1, 40))
+    y = (rng.random(40) < 1 / (1 + np.exp(-raw))).astype(float)
+    mean = lambda a, b: y[a : b + 1].mean()
+    plain = [max(min(mean(a, b) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    pools = [list(g) for _, g in itertools.groupby(range(40), key=lambda i: round(plain[i], 9))]
+    want = np.zeros(40)
+    for pool in pools:
+        want[pool] = (sum(y[pool]) + 0.5) / (len(pool) + 1)
+    want = np.maximum.accumulate(want)
+    got = gbt.Isotonic().fit(raw, y)(raw)
+    assert np.allclose(got, 0.999 * want + 0.001 / (1 + np.exp(-raw)))
+
+
+def test_toxicity_equals_its_parts_by_hand(spark):
+    """The distributed lexicon and scores, against plain counts and the model applied row by row."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        words = [rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(30)]
+        bad = i % 3 == 0
+        rows.append((i, " ".join(words + ["you", "vile"] * bad), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, F.col("label_id") >= 0, "toxic")
+    found = toxicity.lexicon(sample)
+    n, pos = 600, 200
+    want = {}
+    for word in {w for _, t, _ in rows for w in t.split()}:
+        k, p = sum(word in t.split() for _, t, _ in rows), sum(word in t.split() for _, t, y in rows if y)
+        odds = np.log((p + 0.5) / (pos + 1)) - np.log((k - p + 0.5) / (n - pos + 1)) - 2 / np.sqrt(p) if p >= 3 else -1
+        if odds > 1:
+            want[word] = odds
+    assert set(found) == set(want) == {"you", "vile"} and all(abs(found[w] - want[w]) < 1e-9 for w in want)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels, F.col("label_id") % 5 > 0).collect()}
+    weights, trees, calibrate = toxicity.fit(toxicity.labelled_sample(docs, labels, F.col("label_id") % 5 > 0, "toxic"))
+    plain = calibrate(trees.raw(np.array([toxicity.features(t, weights) for _, t, _ in rows], float)))
+    assert all(abs(got[i] - plain[i]) < 1e-9 and (got[i] > 0.5) == bool(y) for i, _, y in rows)
+
+
+def test_co_training_over_all_rows(spark, docs):
+    """Pseudo-labels come from rows without any label, beyond the quantiles of all scores; scores equal the model's, row by row."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    features = quality.feature_rows(table)
+    plain = {r["doc_id"]: r for r in table.collect()}
+    for r in features.limit(20).collect():
+        d = plain[r["doc_id"]]
+        assert np.allclose(r["a"], quality.text_view(d["text"]), rtol=1e-6) and np.allclose(r["b"], quality.meta_view(d["lang"], d["source"], d["n_chars"]), rtol=1e-6)
+    learn = ~held_out(F.col("label_id"))
+    known = {r["doc_id"] for r in labels.collect()}
+    pool = features.where(~F.col("doc_id").isin(*known))
+    sample = quality.labelled_sample(features, labels, learn, "quality").toPandas()
+    model = quality.CoTrained([np.array(sample[c].tolist(), float) for c in "ab"], sample["y"].to_numpy(float))
+    before, views = [len(t[1]) for t in model.taught], model.views
+    rows = pool.toPandas()
+    quality.exchange(model, pool, len(rows), 0)
+    for view, column, other in ((0, "a", "b"), (1, "b", "a")):
+        raw = views[view].raw(np.array(rows[column].tolist(), float))
+        up, down = quality.SHARE * model.base, quality.SHARE * (1 - model.base)
+        order = np.sort(raw)
+        sure = (raw >= max(order[int((1 - up) * len(raw))] - 1e-3, quality.SURE)) | (raw <= min(order[int(down * len(raw))] + 1e-3, -quality.SURE))
+        x, y, _ = model.taught[1 - view]
+        taught = {tuple(np.round(v, 4)) for v in x[before[1 - view] :]}
+        assert taught <= {tuple(np.round(v, 4)) for v in np.array(rows[other].tolist(), float)[sure]}
+    got = {r["doc_id"]: r["score"] for r in quality.score(table, labels, learn).collect()}
+    final = quality.train(features, labels, learn)
+    want = final([np.array([quality.text_view(d["text"]) for d in plain.values()], np.float32).astype(float), np.array([quality.meta_view(d["lang"], d["source"], d["n_chars"]) for d in plain.values()], np.float32).astype(float)])
+    assert all(abs(got[k] - w) < 1e-6 for k, w in zip(plain, want))
+
+
 # 4 mixing
 
 
@@ -571,3 +685,42 @@ def test_pipeline_stages(spark, sf_dir, library):
             pairs = [(a, b) for (a, x), (b, y) in itertools.combinations(left.items(), 2) if x and y and len(x & y) >= 0.85 * len(x | y)]
             assert not pairs
     assert sorted(r["ids_sha256"] for r in docs.collect()) == sorted(by_library(library, r["text"])[1] for r in before.select("text").collect())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf_dir, odd, empty):
+    import corpus_pipeline as cp
+
+    for df in (odd, empty):
+        docs = df
+        for n, (name, stage) in enumerate(cp.STAGES):
+            before, docs = docs, cp.spill(stage(spark, docs, sf_dir), name)
+            assert docs.count() <= before.count()
+            if n < 4:
+                assert docs.columns == df.columns
+        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_mixture_stage_equals_the_operator(spark, docs):
+    """What stays is what ``sample`` draws, row by row, and what a plain raking would."""
+    drawn = {r["doc_id"] for r in mixing.sample(docs).where("kept").collect()}
+    assert {r["doc_id"] for r in mixing.keep_sampled(docs).collect()} == drawn
+    rows = mixing.sample(docs).toPandas()
+    cells = rows.groupby(list(mixing.MARGINS)).n_tokens.sum().astype(float)
+    n = cells.to_dict()
+    total, aims, rate = sum(n.values()), [], mixing.RATE
+    for i, m in enumerate(mixing.MARGINS):
+        own = cells.groupby(level=i).sum()
+        power = (own / total) ** mixing.TEMPER[m]
+        share = np.minimum(power / power.sum(), mixing.BOOST * own / total)
+        aims.append((share / share.sum()).to_dict())
+        rate = min(rate, mixing.HEADROOM * min(own[v] / total / t for v, t in aims[-1].items()))
+    w = {c: v * rate for c, v in n.items()}
+    for _ in range(mixing.ROUNDS):
+        for i in range(3):
+            sums = collections.Counter()
+            for c, v in w.items():
+                sums[c[i]] += v
+            w = {c: min(n[c], v * aims[i][c[i]] * rate * total / sums[c[i]]) if sums[c[i]] else v for c, v in w.items()}
+    for r in rows.itertuples():
+        c = (r.source, r.lang, r.topic)
+        assert abs(r.probability - (w[c] / n[c] if n[c] else rate)) < 1e-8

@@ -17,6 +17,20 @@ from quarryspark.functions.text import has_line_break, is_id, is_slug, safe_rela
 from quarryspark.operators.citations import MESSAGES, checked
 from quarryspark.operators.schemas import BLOCK_KINDS, OPERATIONS, PROPOSAL, SECTION_KEYS, EngineError
 
+#: Messages of the contract that callers match on.
+ONE = "must equal 1"
+EMPTY = "must not be empty"
+SLUG_SHAPE = "must be a lowercase kebab-case slug"
+ARTICLE_ID = "must be an art_ ULID"
+PAGE_ID = "must be a pg_ ULID"
+VERSION_ID = "must be a ver_ ULID"
+UNIQUE = "must contain unique values"
+SECTION = "must contain at least one section"
+CITATION_NEEDED = "must contain at least one citation"
+AFTER_START = "must be greater than start_char"
+FROM_1 = "must be at least 1"
+RELATIVE = "must be project-relative"
+
 _CITATION = {"page_id": str, "start_char": int, "end_char": int, "quote": str}
 #: Object shapes: key -> kind; "?" marks an optional key; a list holds its items' kind; a tuple the allowed strings.
 SHAPES = {
@@ -116,24 +130,24 @@ def semantic_issues(proposals: DataFrame) -> DataFrame:
     a = F.col("p.article")
     top = _issues(
         proposals,
-        (F.col("p.schema_version") != 1, F.lit("/schema_version"), "must equal 1"),
-        (a["title"] == "", F.lit("/article/title"), "must not be empty"),
-        (~is_slug(a["slug"]), F.lit("/article/slug"), "must be a lowercase kebab-case slug"),
-        (a["article_id"].isNotNull() & ~is_id(a["article_id"], "art_"), F.lit("/article/article_id"), "must be an art_ ULID"),
-        (F.size(F.array_distinct(a["aliases"])) != F.size(a["aliases"]), F.lit("/article/aliases"), "must contain unique values"),
-        (F.size("p.sections") == 0, F.lit("/sections"), "must contain at least one section"),
+        (F.col("p.schema_version") != 1, F.lit("/schema_version"), ONE),
+        (a["title"] == "", F.lit("/article/title"), EMPTY),
+        (~is_slug(a["slug"]), F.lit("/article/slug"), SLUG_SHAPE),
+        (a["article_id"].isNotNull() & ~is_id(a["article_id"], "art_"), F.lit("/article/article_id"), ARTICLE_ID),
+        (F.size(F.array_distinct(a["aliases"])) != F.size(a["aliases"]), F.lit("/article/aliases"), UNIQUE),
+        (F.size("p.sections") == 0, F.lit("/sections"), SECTION),
     )
     s = proposals.select("proposal_id", F.posexplode("p.sections").alias("i", "s"))
     b = s.select("proposal_id", "i", F.posexplode("s.blocks").alias("j", "b")).withColumn("at", _at("/sections/", F.col("i"), "/blocks/", F.col("j")))
-    blocks = _issues(b, (F.col("b.text") == "", _at(F.col("at"), "/text"), "must not be empty"), (F.size("b.citations") == 0, _at(F.col("at"), "/citations"), "must contain at least one citation"))
+    blocks = _issues(b, (F.col("b.text") == "", _at(F.col("at"), "/text"), EMPTY), (F.size("b.citations") == 0, _at(F.col("at"), "/citations"), CITATION_NEEDED))
     r = proposals.select("proposal_id", F.posexplode("p.related_concepts").alias("i", "r")).withColumn("at", _at("/related_concepts/", F.col("i")))
-    related = _issues(r, (F.size("r.citations") == 0, _at(F.col("at"), "/citations"), "must contain at least one citation"))
+    related = _issues(r, (F.size("r.citations") == 0, _at(F.col("at"), "/citations"), CITATION_NEEDED))
     c = located_citations(proposals)
     cites = _issues(
         c,
-        (~is_id(F.col("page_id"), "pg_"), _at(F.col("at"), "/page_id"), "must be a pg_ ULID"),
-        (F.col("start_char") >= F.col("end_char"), _at(F.col("at"), "/end_char"), "must be greater than start_char"),
-        (F.col("quote") == "", _at(F.col("at"), "/quote"), "must not be empty"),
+        (~is_id(F.col("page_id"), "pg_"), _at(F.col("at"), "/page_id"), PAGE_ID),
+        (F.col("start_char") >= F.col("end_char"), _at(F.col("at"), "/end_char"), AFTER_START),
+        (F.col("quote") == "", _at(F.col("at"), "/quote"), EMPTY),
     )
     return top.unionByName(blocks).unionByName(related).unionByName(cites)
 
@@ -176,14 +190,14 @@ def response_issues(proposals: DataFrame, pages: DataFrame, target: Column | Non
 def page_issues(pages: DataFrame) -> DataFrame:
     """page_id, path, message of (page_id, source_version_id, page_number, image_path, language), where columns are there."""
     rules = [
-        (~is_id(F.col("page_id"), "pg_"), "/page_id", "must be a pg_ ULID"),
-        (~is_id(F.col("source_version_id"), "ver_"), "/source_version_id", "must be a ver_ ULID"),
-        (F.col("page_number") < 1, "/page_number", "must be at least 1"),
+        (~is_id(F.col("page_id"), "pg_"), "/page_id", PAGE_ID),
+        (~is_id(F.col("source_version_id"), "ver_"), "/source_version_id", VERSION_ID),
+        (F.col("page_number") < 1, "/page_number", FROM_1),
     ]
     if "image_path" in pages.columns:
-        rules.append((F.col("image_path").isNotNull() & ~safe_relative(F.col("image_path")), "/image_path", "must be project-relative"))
+        rules.append((F.col("image_path").isNotNull() & ~safe_relative(F.col("image_path")), "/image_path", RELATIVE))
     if "language" in pages.columns:
-        rules.append((F.coalesce("language", F.lit("")) == "", "/language", "must not be empty"))
+        rules.append((F.coalesce("language", F.lit("")) == "", "/language", EMPTY))
     found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))) for bad, path, message in rules)))
     return pages.select(*([c for c in ("index", "request_id") if c in pages.columns]), "page_id", F.explode(found).alias("i")).select("*", "i.path", "i.message").drop("i")
 
@@ -197,7 +211,7 @@ def request_issues(requests: DataFrame, pages: DataFrame) -> DataFrame:
         (F.coalesce("pages", F.lit(0)) == 0, "/pages", "must hold at least one page"),
         ((F.col("operation") == "create_article") & has, "/article_id", "must be left out for a new article"),
         ((F.col("operation") == "update_article") & ~has, "/article_id", "is needed for an update"),
-        (has & ~is_id(F.col("article_id"), "art_"), "/article_id", "must be an art_ ULID"),
+        (has & ~is_id(F.col("article_id"), "art_"), "/article_id", ARTICLE_ID),
     )
     found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))) for bad, path, message in rules)))
     top = r.select("request_id", F.explode(found).alias("i")).select("request_id", "i.*")
@@ -215,5 +229,5 @@ def unrenderable(proposals: DataFrame, start: str, end: str, reserved: str) -> D
     marked = F.greatest(*(F.col("payload_json").contains(m).cast("int") for m in (start, end, reserved))) == 1
     bad_heading = F.exists("p.sections", lambda s: (s["heading"] == "") | has_line_break(s["heading"]))
     bad_related = F.exists("p.related_concepts", lambda r: (r["title"] == "") | has_line_break(r["title"]) | r["title"].contains("[[") | r["title"].contains("]]"))
-    found = F.when(marked, "proposal text contains a reserved managed marker").when(bad_heading, "section headings must be one non-empty line").when(bad_related, "related titles must be plain non-empty text")
+    found = F.when(marked, "the text holds a marker of generated regions").when(bad_heading, "a section heading must be a single line with text").when(bad_related, "a related title must be plain text")
     return proposals.select("proposal_id", found.alias("message")).where("message IS NOT NULL")

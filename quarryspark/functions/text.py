@@ -68,6 +68,11 @@ def safe_relative(path: Column) -> Column:
     return F.coalesce((path != "") & ~path.startswith("/") & ~F.exists(F.split(path, "/"), lambda p: p == ".."), F.lit(False))
 
 
+def is_file_name(title: Column) -> Column:
+    """Fit to name a file: not empty, no dots only, no separator, line break or NUL."""
+    return F.coalesce((title != "") & ~title.isin(".", "..") & ~title.rlike(r"[/\\\n\r\x00]"), F.lit(False))
+
+
 def has_line_break(text: Column) -> Column:
     return text.rlike(r"[\n\r]")
 

@@ -34,6 +34,12 @@ def upsert_pages(old: DataFrame, new: DataFrame, new_id: Column) -> DataFrame:
     return joined.select(F.coalesce("old_id", "new_id").alias("page_id"), *keys, *(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest))
 
 
+def pages_of(pages: DataFrame, version, number: int | None = None) -> DataFrame:
+    """A version's pages in their order, or the one page of that number."""
+    own = pages.where(F.col("source_version_id") == version)
+    return (own if number is None else own.where(F.col("page_number") == number)).orderBy("page_number")
+
+
 def cited_pages(pages: DataFrame, citations: DataFrame) -> DataFrame:
     return pages.join(citations.select("page_id").distinct(), "page_id", "left_semi")
 

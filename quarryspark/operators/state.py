@@ -178,6 +178,11 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows.select(*table.columns))
 
 
+def replace_rows(table: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """The rows take the place of those with their keys."""
+    return append(table.join(rows.select(key).distinct(), key, "left_anti").select(*table.columns), rows)
+
+
 def overlay(table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
     """UPDATE by key: columns of ``changes`` other than the key replace the table's, null included."""
     names = [c for c in changes.columns if c != key]

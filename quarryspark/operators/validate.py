@@ -187,6 +187,19 @@ def response_issues(proposals: DataFrame, pages: DataFrame, target: Column | Non
     return out
 
 
+def formatted(issues: DataFrame, key: str = "proposal_id") -> DataFrame:
+    """key and ``issues``: all of a key's issues as ``path: message``, in order, between semicolons."""
+    line = F.concat("path", F.lit(": "), "message")
+    return issues.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("issues"))
+
+
+def stored_issue(df: DataFrame) -> DataFrame:
+    """Adds ``issue`` to (payload_json, operation): why a stored payload can't be used, null if it can."""
+    checked_rows = strict_structure(df, "payload_json")
+    other = F.get_json_object("payload_json", "$.operation") != F.col("operation")
+    return checked_rows.withColumn("issue", F.when(F.col("structure_message").isNotNull(), F.concat(F.lit("damaged: "), F.col("structure_path"), F.lit(": "), F.col("structure_message"))).when(other, "names another operation"))
+
+
 def page_issues(pages: DataFrame) -> DataFrame:
     """page_id, path, message of (page_id, source_version_id, page_number, image_path, language), where columns are there."""
     rules = [

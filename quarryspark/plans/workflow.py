@@ -223,3 +223,74 @@ SELECT term, count(DISTINCT doc_id) AS articles, count(*) AS occurrences FROM t
 def postings_statistics(spark, sf_dir):
     d = views(spark, sf_dir).index.withColumns({"title": F.lit(""), "aliases": F.lit("")})
     return search.build_index(d)[0].groupBy("term").agg(F.count(F.lit(1)).alias("articles"), F.sum("tf_body").alias("occurrences"))
+
+
+@query(with_views("SELECT page_id, page_number, text_status FROM v_pages WHERE source_version_id = 7", "v_pages"))
+def pages_of_version(spark, sf_dir):
+    return extract.pages_of(views(spark, sf_dir).pages, 7).select("page_id", "page_number", "text_status")
+
+
+@query("SELECT doc_id AS page_id, doc_id % 10 + 1 AS page_number FROM documents WHERE doc_id // 10 = 3 AND doc_id % 10 = 4")
+def page_by_number(spark, sf_dir):
+    k = F.col("doc_id")
+    pages = views(spark, sf_dir).read("documents").select(k.alias("page_id"), F.floor(k / 10).alias("source_version_id"), (k % 10 + 1).alias("page_number"))
+    return extract.pages_of(pages, 3, 5).select("page_id", "page_number")
+
+
+@query(with_views("SELECT proposal_id, article_id, status FROM v_proposals WHERE proposal_id = 11", "v_proposals"))
+def proposal_by_id(spark, sf_dir):
+    return lifecycle.one(views(spark, sf_dir).proposals, 11).select("proposal_id", "article_id", "status")
+
+
+@query("SELECT p_partkey AS article_id, p_name AS title FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_partkey % 2 = 0)")
+def articles_by_title(spark, sf_dir):
+    part = views(spark, sf_dir).read("part")
+    articles = part.select(F.col("p_partkey").alias("article_id"), F.col("p_name").alias("title"))
+    return lifecycle.titled(articles, part.where("p_partkey % 2 = 0").select(F.upper("p_name").alias("wanted")))
+
+
+@query("SELECT p_partkey AS article_id, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_brand ELSE p_name END AS title FROM part UNION ALL SELECT -1 - p_partkey, 'made' FROM part WHERE p_partkey % 5 = 0")
+def article_rows_replaced(spark, sf_dir):
+    part, k = views(spark, sf_dir).read("part"), F.col("p_partkey")
+    old = part.select(k.alias("article_id"), F.col("p_name").alias("title"))
+    new = part.where(k % 3 == 0).select(k.alias("article_id"), F.concat(F.lit("new "), "p_brand").alias("title"))
+    return state.replace_rows(old, "article_id", new.unionByName(part.where(k % 5 == 0).select((-1 - k).alias("article_id"), F.lit("made").alias("title"))))
+
+
+@query("SELECT page_id, page_id % 5 = 0 AS fits FROM pages")
+def file_names(spark, sf_dir):
+    k = F.col("page_id") % 5
+    title = F.when(k == 0, "A title: ü.").when(k == 1, "a/b").when(k == 2, "..").when(k == 3, "a\nb").otherwise("")
+    return views(spark, sf_dir).read("pages").select("page_id", T.is_file_name(title).alias("fits"))
+
+
+@query("SELECT conv_id AS proposal_id, string_agg('/' || role || '/' || turn || ': of ' || length(text), '; ' ORDER BY '/' || role || '/' || turn || ': of ' || length(text)) AS issues FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+def issue_lines(spark, sf_dir):
+    t = views(spark, sf_dir).read("conversations").where("text IS NOT NULL")  # an issue has a message
+    issues = t.select(F.col("conv_id").alias("proposal_id"), F.concat(F.lit("/"), "role", F.lit("/"), F.col("turn").cast("string")).alias("path"), F.concat(F.lit("of "), F.length("text").cast("string")).alias("message"))
+    return validate.formatted(issues)
+
+
+_STORED = '{"schema_version":1,"operation":"create_article","article":{"title":"T","slug":"t"},"sections":[],"related_concepts":[]'
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'damaged: : must be valid JSON' WHEN 2 THEN 'names another operation' WHEN 3 THEN 'damaged: /' || event_type || ': is not allowed' END AS issue FROM events""")
+def stored_payloads(spark, sf_dir):
+    k = F.col("event_id") % 4
+    text = F.when(k == 1, _STORED).when(k == 3, F.concat(F.lit(_STORED + ',"'), "event_type", F.lit('":1}'))).otherwise(_STORED + "}")
+    rows = views(spark, sf_dir).read("events").select("event_id", text.alias("payload_json"), F.when(k == 2, "update_article").otherwise("create_article").alias("operation"))
+    return validate.stored_issue(rows).select("event_id", "issue")
+
+
+@query("""SELECT conv_id, turn, '{"schema_version":1,"operation":"create_article","article":{"title":' || to_json(text) || ',"slug":"s","aliases":[' || to_json(role) || ']},"sections":[],"related_concepts":[]}' AS payload FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations)""")
+def payload_round_trip(spark, sf_dir):
+    """A stored payload, parsed and written again, is the same text."""
+    value = lambda c: F.expr(f"substring(to_json(struct({c} AS v)), 6, length(to_json(struct({c} AS v))) - 6)")
+    doc = F.concat(F.lit('{"schema_version":1,"operation":"create_article","article":{"title":'), value("text"), F.lit(',"slug":"s","aliases":['), value("role"), F.lit(']},"sections":[],"related_concepts":[]}'))
+    t = views(spark, sf_dir).turns.select("conv_id", "turn", doc.alias("payload_json"))
+    return validate.parsed(t).select("conv_id", "turn", F.to_json("p").alias("payload"))
+
+
+@query("SELECT event_id, true AS well_formed FROM events")
+def time_stamps(spark, sf_dir):
+    return views(spark, sf_dir).read("events").select("event_id", T.utc_now().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("well_formed"))

@@ -25,7 +25,7 @@ from quarryspark.operators import citations, extract, ids, ingest, lifecycle, mi
 from quarryspark.operators import search as full_text
 from quarryspark.operators.evidence import select_evidence
 from quarryspark.operators.schemas import PROPOSAL_STATUS, ConceptSpec, EngineError, schema
-from quarryspark.operators.state import StateStore, append, compare_and_set, overlay
+from quarryspark.operators.state import StateStore, append, compare_and_set, overlay, replace_rows
 from quarryspark.sources import config as configs
 from quarryspark.sources import files
 from quarryspark.sources.adapters import LanguageModel, OcrProvider, PdfAdapter, ocr_cascade_input
@@ -102,7 +102,7 @@ class Project:
         return found.asDict()
 
     def _pages(self, version: str) -> DataFrame:
-        return self.store.table("source_pages").where(F.col("source_version_id") == version).orderBy("page_number")
+        return extract.pages_of(self.store.table("source_pages"), version)
 
     @staticmethod
     def _refuse_cited(tables, pages: DataFrame) -> None:
@@ -211,11 +211,12 @@ class Project:
     # -- review
 
     def review_extraction(self, source_id: str, page: int | None = None) -> DataFrame:
-        pages = self._pages(self._latest(source_id)["source_version_id"])
+        version = self._latest(source_id)["source_version_id"]
+        pages = self._pages(version)
         if pages.isEmpty():
             raise EngineError("invalid_state", "the latest version has not been extracted")
         if page is not None:
-            pages = pages.where(F.col("page_number") == page)
+            pages = extract.pages_of(pages, version, page)
             if pages.isEmpty():
                 raise EngineError("not_found", f"no page {page}")
         return pages
@@ -232,8 +233,7 @@ class Project:
     # -- proposals
 
     def _target(self, spec: ConceptSpec) -> dict:
-        same = T.ascii_lower(F.col("title")) == T.ascii_lower(F.lit(spec.title))
-        row = self.store.table("articles").where(same).first()
+        row = lifecycle.titled(self.store.table("articles"), self.spark.createDataFrame([(spec.title,)], "wanted string")).first()
         if row:
             return {"operation": "update_article", "title": row["title"], "slug": row["slug"], "article_id": row["article_id"]}
         slug = "-".join("".join(c if c.isascii() and c.isalnum() else " " for c in spec.title.lower()).split())
@@ -295,8 +295,8 @@ class Project:
         request = self.spark.createDataFrame([("", target["operation"], target["article_id"])], "request_id string, operation string, article_id string")
         kinds = {"page_id": "string", "source_version_id": "string", "page_number": "int", "text_status": "string"}
         pages = self.spark.createDataFrame([("", i, *(e[c] for c in kinds)) for i, e in enumerate(evidence)], "request_id string, index int, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
-        if found := sorted((r["path"], r["message"]) for r in validate.request_issues(request, pages).collect()):
-            raise EngineError("invalid_state", "; ".join(f"{p}: {m}" for p, m in found))
+        if found := validate.formatted(validate.request_issues(request, pages), "request_id").first():
+            raise EngineError("invalid_state", found["issues"])
 
     def _model_run(self, run: dict, **rest) -> None:
         with self.store.transaction() as tables:
@@ -325,7 +325,7 @@ class Project:
         return lifecycle.listed(self.store.table("proposals"), status)
 
     def _proposal(self, proposal_id: str) -> dict:
-        row = self.store.table("proposals").where(F.col("proposal_id") == proposal_id).first()
+        row = lifecycle.one(self.store.table("proposals"), proposal_id).first()
         if row is None:
             raise EngineError("not_found", f"no proposal {proposal_id}")
         return row.asDict()
@@ -364,7 +364,7 @@ class Project:
 
     def _move(self, proposal_id: str, expected: str, **values) -> None:
         with self.store.transaction() as tables:
-            row = tables["proposals"].where(F.col("proposal_id") == proposal_id).first()
+            row = lifecycle.one(tables["proposals"], proposal_id).first()
             if row is None:
                 raise EngineError("not_found", f"no proposal {proposal_id}")
             if row["status"] != expected:
@@ -384,7 +384,7 @@ class Project:
         if bad := validate.unrenderable(p, start, end, reserved).first():
             raise EngineError("invalid_state", bad["message"])
         title = payload["article"]["title"]
-        if not title or title in (".", "..") or any(c in title for c in "/\\\n\r\0"):
+        if not self.spark.range(1).select(T.is_file_name(F.lit(title))).first()[0]:
             raise EngineError("invalid_argument", "the title is no file name")
         evidence = self._evidence(proposal_id)
         if not citations.set_difference(citations.flatten(p), evidence).isEmpty():
@@ -420,13 +420,13 @@ class Project:
             with self.store.transaction() as tables:
                 own = F.col("article_id") == article_id
                 values = {"article_id": article_id, "title": title, "slug": payload["article"]["slug"], "vault_path": relative, "content_sha256": sha, "created_at": created, "updated_at": now}
-                tables["articles"] = append(tables["articles"].where(~own), self._rows("articles", values))
+                tables["articles"] = replace_rows(tables["articles"], "article_id", self._rows("articles", values))
                 tables["article_citations"] = citations.article_rows(evidence, tables["article_citations"], article_id)
                 tables["proposals"] = overlay(tables["proposals"], "proposal_id", self.spark.createDataFrame([(proposal_id, article_id, "applied", now)], "proposal_id string, article_id string, status string, applied_at string"))
                 tables["apply_runs"] = append(tables["apply_runs"], self._rows("apply_runs", {"apply_run_id": run_id, "proposal_id": proposal_id, "article_id": article_id, "previous_content_sha256": hashlib.sha256(before).hexdigest() if before is not None else None, "new_content_sha256": sha, "backup_path": backup, "applied_at": now}))
                 indexed = {"article_id": article_id, "title": title, "aliases": "\n".join(payload["article"].get("aliases") or []), "body": rendered}
                 entry = self._rows("article_index", indexed)
-                tables["article_index"] = append(tables["article_index"].where(~own), entry)
+                tables["article_index"] = replace_rows(tables["article_index"], "article_id", entry)
                 postings, lengths = full_text.build_index(entry)  # of this article only; those of the others stay
                 tables["article_postings"] = append(tables["article_postings"].where(~own), postings)
                 tables["article_lengths"] = append(tables["article_lengths"].where(~own), lengths)

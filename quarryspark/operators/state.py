@@ -1,6 +1,7 @@
 """Snapshot store: tables are Parquet, a commit is a new version directory and one pointer rename.
 
-Every mutation is a pure function from tables to tables. ``transaction`` holds an exclusive
+A table is a list of parts; rows that are only appended become a further part, and after ``most_parts`` of them the
+table is written as one. Every mutation is a pure function from tables to tables. ``transaction`` holds an exclusive
 lock (a lease: one that its writer did not give back is taken over when it has run out), checks keys, references and value sets of the tables that changed, writes only those, and
 flips the pointer last; a failure leaves the old version current and removes the new one.
 """
@@ -55,8 +56,8 @@ def constraint_violations(tables: Tables, only: set[str] | None = None) -> DataF
 
 
 class StateStore:
-    def __init__(self, spark: SparkSession, root: str, lease_s: float = 3600.0):
-        self.spark, self.root, self.lease_s = spark, root, lease_s
+    def __init__(self, spark: SparkSession, root: str, lease_s: float = 3600.0, most_parts: int = 32):
+        self.spark, self.root, self.lease_s, self.most_parts = spark, root, lease_s, most_parts
 
     @property
     def _pointer(self) -> str:
@@ -92,10 +93,12 @@ class StateStore:
     def table(self, name: str) -> DataFrame:
         manifest = self.manifest()
         kind = self._schema(manifest, name)
-        path = manifest["tables"].get(name)
-        if path is None:
+        return self._read(manifest["tables"].get(name, []), kind)
+
+    def _read(self, paths: list[str], kind: StructType) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(os.path.join(self.root, path))  # a column added since then is null
+        return self.spark.read.schema(kind).parquet(*(os.path.join(self.root, p) for p in paths))  # a column added since then is null
 
     @staticmethod
     def _schema(manifest: dict, name: str) -> StructType:
@@ -156,9 +159,13 @@ class StateStore:
             changed = {n for n in now if now[n] is not before[n]}
             paths = dict(manifest["tables"])
             for n in changed:
-                paths[n] = f"v={version}/{n}"
-                now[n].select(*self._schema(manifest, n).names).write.parquet(os.path.join(self.root, paths[n]))
-            written = {n: self.spark.read.schema(self._schema(manifest, n)).parquet(os.path.join(self.root, paths[n])) if n in changed else before[n] for n in now}
+                base, rows = getattr(now[n], "appended", (None, None))
+                kept = paths.get(n, [])
+                if base is not before[n] or len(kept) >= self.most_parts:  # no mere append, or enough small parts
+                    kept, rows = [], now[n]
+                paths[n] = [*kept, f"v={version}/{n}"]
+                rows.select(*self._schema(manifest, n).names).write.parquet(os.path.join(self.root, paths[n][-1]))
+            written = {n: self._read(paths.get(n, []), self._schema(manifest, n)) if n in changed else before[n] for n in now}
             broken = constraint_violations(written, changed).limit(20).collect() if changed else []
             if broken:
                 raise EngineError("state_error", "; ".join(f"{r['table']}: {r['rule']}" for r in broken))
@@ -175,7 +182,10 @@ class StateStore:
 
 
 def append(table: DataFrame, rows: DataFrame) -> DataFrame:
-    return table.unionByName(rows.select(*table.columns))
+    """The table with further rows. A transaction writes only the rows, beside what is there."""
+    out = table.unionByName(rows.select(*table.columns))
+    out.appended = (table, rows)
+    return out
 
 
 def replace_rows(table: DataFrame, key: str, rows: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Optional: files that arrive are ingested as a stream, exactly once per content hash."""
+"""Optional: files that arrive are ingested as a stream.
+
+Of files with equal bytes that arrive within a day of each other one comes through, as the state keeps hashes for that long;
+``ingest`` finds later copies in the store.
+"""
 
 from __future__ import annotations
 

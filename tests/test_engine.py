@@ -248,6 +248,22 @@ def test_migrations_are_applied_once_and_in_order(spark, tmp_path):
         migrations.apply_all(store, str(folder), "t")
 
 
+def test_appended_rows_are_a_part_of_their_own(spark, tmp_path):
+    store = state.StateStore(spark, str(tmp_path / "s"), most_parts=2)
+    store.initialize()
+    row = lambda k: spark.createDataFrame([(k, "t")], "version int, applied_at string")
+    sizes = []
+    for k in range(4):
+        with store.transaction() as tables:
+            tables["schema_migrations"] = state.append(tables["schema_migrations"], row(k))
+        sizes.append(len(store.manifest()["tables"]["schema_migrations"]))
+    assert sizes == [1, 2, 1, 2] and store.table("schema_migrations").count() == 4
+    with store.transaction() as tables:  # not a pure append: written as one
+        tables["schema_migrations"] = state.append(tables["schema_migrations"].where("version > 1"), row(9))
+    assert len(store.manifest()["tables"]["schema_migrations"]) == 1
+    assert sorted(r["version"] for r in store.table("schema_migrations").collect()) == [2, 3, 9]
+
+
 def test_a_lost_writer_gives_way(spark, tmp_path):
     store = state.StateStore(spark, str(tmp_path / "s"), lease_s=0.2)
     store.initialize()

@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from quarryspark.llm.common import larger, released, short_batches, trim_memory
+from quarryspark.llm.common import released, short_batches, trim_memory
 
 #: Fixed value of the lower-casing BPE files: contractions that are words of their own.
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
@@ -656,7 +656,7 @@ def digest_texts(df, tokenizer_path: str):
 
     def run(batches):
         digest = Digester(spec.value.codec())
-        for batch in larger(batches):
+        for batch in batches:
             n, ids, texts = digest(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

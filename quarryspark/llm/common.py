@@ -16,11 +16,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 #: White space of every contract here: space and \x09-\x0D.
 SPACE = " \t\n\x0b\f\r"
-#: Rows in one Arrow batch; texts can be long, so batches are kept short.
-ARROW_ROWS = 500
+#: Bytes and rows of one Arrow batch, about, at most: a row can be a book, or two numbers.
+ARROW_BYTES, ARROW_ROWS = 1 << 20, 20_000
 
-#: Bytes of a file of whole texts, rows of a file of short rows, about; small tables have a file a core, or one.
-FILE_BYTES, FILE_ROWS = 128 << 20, 2_000_000
+#: Bytes of a file of whole texts, at least (as many as a split of the session, if that is more); rows of a file of short rows, about.
+FILE_BYTES, FILE_ROWS = 16 << 20, 2_000_000
 #: Rows of a side that is broadcast, at most; joins with more rows shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -32,25 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Arrow batches hold few rows, as one row can be a book."""
+    """Arrow batches are bounded by their bytes. The same for all operators, as the setting is read when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def larger(batches, size: int = 1 << 20):
-    """Arrow batches put together until they hold ``size`` bytes."""
-    import pyarrow as pa
-
-    held, total = [], 0
-    for batch in batches:
-        held.append(batch)
-        total += batch.nbytes
-        if total >= size:
-            yield pa.concat_batches(held)
-            held, total = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def released(run):
     """A function of batches that gives memory back to the system when its task is over: workers outlive tasks."""
 
@@ -82,9 +68,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """``df`` in partitions of about FILE_BYTES, by the planner's estimate: a table of many small splits isn't written as many small files."""
+    """``df`` in partitions of about a split's bytes, by the planner's estimate, but one a core at least.
+
+    So a table of many small splits isn't written as many small files, nor as files of more than a task reads at once.
+    """
+    spark = df.sparkSession
+    split = max(FILE_BYTES, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), 1 << 20))
+    return df.coalesce(min(max(spark.sparkContext.defaultParallelism, -(-size // split)), 1 << 20))
 
 
 def spill(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -100,6 +91,7 @@ def spill(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     _made[folder] = spark
     out = spark.read.schema(df.schema).parquet(folder)
     out.spilled = folder
+    trim_memory()
     return out
 
 

@@ -48,5 +48,6 @@ def components(edges: DataFrame, most: int) -> DataFrame:
         if seen == mark or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = seen
-        before, now = now, spill(_small_star(_large_star(now, seen[0]), 2 * seen[0]), "edges", 2 * seen[0])
-        discard(before)
+        before, stars = now, spill(_large_star(now, seen[0]), "stars", 2 * seen[0])
+        now = spill(_small_star(stars, 2 * seen[0]), "edges", 2 * seen[0])
+        discard(before, stars)

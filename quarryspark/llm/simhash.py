@@ -225,7 +225,7 @@ def shard_links(df: DataFrame, radius: int, words: int, narrow: tuple[int, int]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    short_batches(df.sparkSession)
     return df.mapInArrow(released(run), "a long, b long")
 
 
@@ -273,7 +273,7 @@ def named_components(fps: DataFrame, names: list[str], links) -> DataFrame:
     nodes = spill(own.select(F.monotonically_increasing_id().alias("rep"), *names, "first"), "nodes", total)
     roots = components(links(nodes.drop("first")), total)
     rooted = nodes.join(roots, nodes.rep == roots.node, "left").select(*names, "first", F.coalesce("root", "rep").alias("root"))
-    named = rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first")
+    named = spill(rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first"), "named", total)
     return fps.join(named, names, "left")
 
 
@@ -318,14 +318,16 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
 
     def links(nodes: DataFrame) -> DataFrame:
         depth = max(12, math.ceil(math.log2(max(2, nodes.count()) / 64)))
+        trees = forest_trees(p, wide, depth, recall)
         rng = np.random.default_rng(7)
-        keys = []
-        for t in range(forest_trees(p, wide, depth, recall)):
-            key = F.lit(t).cast("long")
-            for b in sorted(rng.choice(wide, depth, replace=False).tolist()):
-                key = F.shiftleft(key, 1).bitwiseOR(F.call_function("getbit", F.col(f"fp{b // 64}"), F.lit(b % 64)).cast("long"))
-            keys.append(key)
-        visits = nodes.select(F.explode(F.array(*keys)).alias("shard"), F.lit(True).alias("member"), "rep", *names)
+        masks = np.zeros((trees, wide), np.uint8)  # the bits that a tree descends by
+        for row in masks:
+            row[rng.choice(wide, depth, replace=False)] = 1
+        masks = np.packbits(masks, axis=1, bitorder="little").view("<i8")
+        visits = nodes.select(F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "rep", *names)
+        # a shard is a tree and the values of its bits; the hash of both stands for it, and meets at worst more pairs
+        own = (F.col(n).bitwiseAND(F.element_at(F.lit(masks[:, i].tolist()).cast("array<long>"), F.col("tree"))) for i, n in enumerate(names))
+        visits = visits.select(F.xxhash64("tree", *own).alias("shard"), F.lit(True).alias("member"), "rep", *names)
         return shard_links(visits.repartition("shard").sortWithinPartitions("shard"), most(wide, slack), len(names), (width // 64, most(width, slack + 1)))
 
     return named_components(fps, names, links).select("doc_id", "sha", F.col("first.doc_id").alias("component_id"), "first"), fps

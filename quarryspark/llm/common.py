@@ -78,14 +78,17 @@ def compact(df: DataFrame) -> DataFrame:
     return df.coalesce(min(max(spark.sparkContext.defaultParallelism, -(-size // split)), 1 << 20))
 
 
-def spill(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def spill(df: DataFrame, name: str, rows: int | None = None, dealt: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    rows: short rows that it has at most, for the number of its files.
+    rows: short rows that it, and what it is made of, have at most, for the number of its files. dealt: it is a sum of many
+    more rows, and its partitions stay as the planner deals them.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/quarryspark-{uuid.uuid4().hex}-{name}"
-    (compact(df) if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(folder)
+    if not dealt:
+        df = compact(df) if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    df.write.parquet(folder)
     if not _made:
         atexit.register(_remove_all)
     _made[folder] = spark

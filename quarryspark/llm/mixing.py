@@ -88,7 +88,7 @@ def _aimed(cells: DataFrame, total: float, targets: dict[str, dict[str, float]],
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rate: float = RATE, rounds: int = ROUNDS, headroom: float = HEADROOM) -> DataFrame:
     """source, lang, topic, n -> the same, the target shares, raked weight ``w`` and probability ``p``."""
-    cells = spill(cells.groupBy(*MARGINS).agg(F.sum("n").alias("n")).select(*MARGINS, F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("n")), "cells", CELLS)
+    cells = spill(cells.groupBy(*MARGINS).agg(F.sum("n").alias("n")).select(*MARGINS, F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("n")), "cells", dealt=True)
     count, total = cells.agg(F.count(F.lit(1)), F.sum("n")).first()
     aimed, room = _aimed(cells, total or 1.0, targets or {}, temper)
     rate = min(rate, headroom * room) if total else rate

@@ -243,7 +243,7 @@ def tree_links(nodes: DataFrame, radius: int = 3, levels: int = LEVELS, pairs: i
     for _ in range(DEEPEST):
         own = F.when(F.col("member"), F.col("rep"))
         sizes = visits.groupBy("shard").agg(F.count(own).alias("members"), F.count(F.lit(1)).alias("all"), F.min_by("fp0", own).alias("vantage"))
-        over = spill(sizes.where(F.col("members") * F.col("all") > pairs).select("shard", "vantage"), "over", (BLOCK + 1) ** levels)
+        over = spill(sizes.where(F.col("members") * F.col("all") > pairs).select("shard", "vantage"), "over", dealt=True)
         if over.isEmpty():
             break
         large = sized(over)

@@ -41,14 +41,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from quarryspark.llm.common import released, short_batches, trim_memory
+from quarryspark.llm.common import larger, released, short_batches, trim_memory
 
 #: Fixed value of the lower-casing BPE files: contractions that are words of their own.
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 #: Pairs of tokens that a stream remembers, and slots (a power of 2) of the table in which steps look them up; half of them are used.
 PAIRS, SLOTS = 50_000, 1 << 20
 #: Bytes of text looked at together; characters from which a run is read as a stream; symbols between two looks for stable tokens.
-PIECE, LONG, STEP = 1 << 19, 1 << 16, 512
+PIECE, LONG, STEP = 1 << 22, 1 << 16, 512
 
 
 def byte_alphabet() -> list[str]:
@@ -590,10 +590,10 @@ class Runs:
 class Digester:
     """(number of tokens, sha256 of the ids, sha256 of the decoded text) of each text of a column."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, piece: int = PIECE):
         import pyarrow as pa
 
-        self.codec = codec
+        self.codec, self.piece = codec, piece
         self.join = " " if not codec.m.has_decoder else ""
         names = [codec.m.text_of.get(k, "") for k in range(codec.table.size)]
         self.names, self.numbers = pa.array(names, pa.string()), pa.array([str(k) for k in range(len(names))], pa.string())
@@ -616,7 +616,7 @@ class Digester:
 
         n = np.zeros(len(column), np.int64)
         ids, out = ([hashlib.sha256() for _ in range(len(column))] for _ in "ab")
-        for rows, texts in pieces(column):
+        for rows, texts in pieces(column, self.piece):
             if long_run(texts):
                 self._stream(texts[0].as_py(), rows[0], n, ids[rows[0]], out[rows[0]])
                 continue
@@ -647,16 +647,19 @@ class Digester:
         out.update(d.finish().encode())
 
 
-def digest_texts(df, tokenizer_path: str):
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text. The tokenizer file travels with the task."""
+def digest_texts(df, tokenizer_path: str, piece: int = PIECE):
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text. The tokenizer file travels with the task.
+
+    piece: bytes of text that a worker looks at together; more of them share more words and take more memory.
+    """
     import pyarrow as pa
 
     short_batches(df.sparkSession)
     spec = shipped(df.sparkSession, tokenizer_path)
 
     def run(batches):
-        digest = Digester(spec.value.codec())
-        for batch in batches:
+        digest = Digester(spec.value.codec(), piece)
+        for batch in larger(batches, piece):
             n, ids, texts = digest(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

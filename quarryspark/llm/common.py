@@ -23,6 +23,8 @@ ARROW_BYTES, ARROW_ROWS = 1 << 20, 20_000
 FILE_BYTES, FILE_ROWS = 16 << 20, 2_000_000
 #: Rows of a side that is broadcast, at most; joins with more rows shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of one key that a task joins, about, where the side is not broadcast.
+HOT_ROWS = 100_000
 
 _made: dict[str, SparkSession] = {}
 
@@ -37,6 +39,21 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def larger(batches, size: int):
+    """Arrow batches put together until they hold ``size`` bytes."""
+    import pyarrow as pa
+
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held) if len(held) > 1 else batch
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def released(run):
     """A function of batches that gives memory back to the system when its task is over: workers outlive tasks."""
 
@@ -124,6 +141,25 @@ def sized(side: DataFrame, rows: int | None = None) -> DataFrame:
     return side.hint("broadcast" if (side.count() if rows is None else rows) <= BROADCAST_ROWS else "merge")
 
 
+def meet(rows: DataFrame, side: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined with a side that has each key once, and ``n``, the rows of that key.
+
+    A small side is broadcast. Of a large one, keys of over HOT_ROWS rows are salted: copies of the side's row for as many
+    salts as the rows need, so that no task gets all rows of a hot key.
+    """
+    count = side.count()
+    if count <= BROADCAST_ROWS:
+        return rows.join(side.hint("broadcast"), on, how)
+    salts = F.greatest(F.ceil(F.col("n") / HOT_ROWS).cast("int"), F.lit(1))
+    hot = side.where(F.col("n") > HOT_ROWS).select(*on, salts.alias("_salts"))
+    own = F.pmod(F.xxhash64("_row"), F.coalesce("_salts", F.lit(1))).cast("int")
+    # rows are numbered where they are read, before any shuffle, so that a task that runs again gives them the same salts
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    salted = numbered.join(sized(hot), on, "left").withColumn("_salt", own).drop("_salts", "_row")
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def text_sha(text: Column) -> Column:
     """32 bytes that stand for a text, so that rows with null or repeated ids can be told apart."""
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))

@@ -15,8 +15,8 @@
    rows find their keeper by the bytes instead.
 
 The index (bucket, h, link, chain, digest, keep_id, n) is written to the shared folder, in bucket order.
-A bucket's capacity is the same at every size. Hot groups are one row of a side in every join; the
-other side, rows of a few numbers, is what adaptive execution splits.
+A bucket's capacity is the same at every size. Hot groups are one row of a side in every join of short rows, which
+is broadcast if counted to be small, and salted for them if not.
 
 Edge cases: a null text counts as empty; the texts need no limit on length; of equal texts
 the smallest doc_id stays (rows that repeat that doc_id all stay in ``exact_groups``; ``drop_copies``
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import discard, keep_one, sized, spill
+from quarryspark.llm.common import discard, keep_one, meet, sized, spill
 
 #: Entries of a bucket, at most, unless they share all bits that are looked at; bits of cells beyond an even spread.
 CAPACITY, FINER = 16_384, 4
@@ -101,7 +101,7 @@ def exact_groups(df: DataFrame, capacity: int = CAPACITY, key: Column | None = N
     told = groups.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     clash = told.where("texts > 1").select("h", "digest")
     alone = told.where("texts = 1 AND n > 1").select("h", "digest", "keep_id", "n")
-    out = keys.join(sized(alone), ["h", "digest"], "left")
+    out = meet(keys, alone, ["h", "digest"])
     out = out.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("sha" if weak else "digest").alias("text_sha256"), "h", "digest")
     if clash.isEmpty():
         out = out.drop("h", "digest")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import released, short_batches
+from quarryspark.llm.common import larger, released, short_batches
 
 SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
@@ -95,12 +95,12 @@ def id_type(ids: int) -> np.dtype:
     return np.dtype("<u2" if ids <= 1 << 16 else "<u4")
 
 
-def texts_ids(codec, column) -> Iterator[np.ndarray]:
+def texts_ids(codec, column, piece: int) -> Iterator[np.ndarray]:
     """The ids of each text of a column, in its order."""
     from quarryspark.llm.bpe import Runs, long_run, pieces, ragged
 
     dtype, row, parts = id_type(codec.table.size), 0, []
-    for rows, texts in pieces(column):
+    for rows, texts in pieces(column, piece):
         if long_run(texts):
             ids, cuts = np.fromiter(codec.stream_run(texts[0].as_py()), dtype), None
             cuts = [0, len(ids)]
@@ -118,8 +118,8 @@ def texts_ids(codec, column) -> Iterator[np.ndarray]:
         yield np.concatenate(parts)
 
 
-def pack(df: DataFrame, tokenizer_path: str, row_len: int = 2048, pad_id: int = 0, shard_tokens: int = 4_000_000) -> DataFrame:
-    """Encode the texts of (doc_id, text) and pack their ids."""
+def pack(df: DataFrame, tokenizer_path: str, row_len: int = 2048, pad_id: int = 0, shard_tokens: int = 4_000_000, piece: int = 1 << 22) -> DataFrame:
+    """Encode the texts of (doc_id, text), ``piece`` bytes at a time, and pack their ids."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -157,8 +157,8 @@ def pack(df: DataFrame, tokenizer_path: str, row_len: int = 2048, pad_id: int =
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
         pieces, held = [], 0
-        for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), texts_ids(codec, batch.column("text"))):
+        for batch in larger(batches, piece):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), texts_ids(codec, batch.column("text"), piece)):
                 for k in range(max(1, -(-len(ids) // row_len))):
                     pieces.append((doc, k, ids[k * row_len : (k + 1) * row_len]))
                 held += len(ids) + 1

@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import hex64, keep_one, released, short_batches, sized, spill, text_sha
+from quarryspark.llm.common import hex64, keep_one, meet, released, short_batches, sized, spill, text_sha
 from quarryspark.llm.components import components
 
 #: Vantage points of the tree's levels (the digits of an arbitrary fixed word).
@@ -268,13 +268,13 @@ def named_components(fps: DataFrame, names: list[str], links) -> DataFrame:
     first: (none, doc_id and sha, if fps has it); none: that there is no doc_id. A node is a distinct fingerprint with an
     ordinal, so rows without a doc_id link others like any row, but come after all that have one.
     """
-    own = fps.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *(["sha"] if "sha" in fps.columns else []))).alias("first"))
+    own = fps.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *(["sha"] if "sha" in fps.columns else []))).alias("first"), F.count(F.lit(1)).alias("n"))
     total = fps.count()
-    nodes = spill(own.select(F.monotonically_increasing_id().alias("rep"), *names, "first"), "nodes", total)
-    roots = components(links(nodes.drop("first")), total)
-    rooted = nodes.join(roots, nodes.rep == roots.node, "left").select(*names, "first", F.coalesce("root", "rep").alias("root"))
-    named = spill(rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first"), "named", total)
-    return fps.join(named, names, "left")
+    nodes = spill(own.select(F.monotonically_increasing_id().alias("rep"), *names, "first", "n"), "nodes")
+    roots = components(links(nodes.drop("first", "n")), total)
+    rooted = nodes.join(roots, nodes.rep == roots.node, "left").select(*names, "first", "n", F.coalesce("root", "rep").alias("root"))
+    named = spill(rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first", "n"), "named", total)
+    return meet(fps, named, names)
 
 
 def near_components(df: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:

@@ -21,8 +21,7 @@ Edge cases: a null url, or one without ``://``, has an empty host and path and f
 has no levels and takes the reputation of all pages; user info and ports stay parts of the given host; urls of any
 length are read whole; repeated rows each get their verdict; without any labels the prior is 1/2 with strength 1; an
 empty table gives an empty result; other columns are ignored. Hot hosts are one row per task
-before any shuffle, and the join of pages with hosts is by short keys: the hosts are broadcast if they are counted to be
-few, else adaptive execution splits hot ones.
+before any shuffle, and in the join of pages with hosts these are broadcast if they are counted to be few, else hot ones are salted.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import sized, spill
+from quarryspark.llm.common import meet, spill
 
 #: (verdict, host, path prefix) of the registered query.
 RULES = (
@@ -100,7 +99,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float = FLO
     seen = seen.withColumns(dict(zip(("domain", "suffix"), levels(F.col("host")))))
     counted = spill(seen.join(outcomes.select(F.col("page_id").alias("labelled"), "good"), F.col("page_id") == F.col("labelled")).where("host != ''").groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("k")), "hosts")
     found = reputation(counted)
-    hosts = seen.select("host", "domain", "suffix").distinct()
+    hosts = seen.groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).alias("n"))
     for level in ("host", "domain", "suffix"):
         own = found.where(F.col("level") == level).select(F.col("key").alias(level), F.struct("a", "b").alias(f"{level}_ab"))
         hosts = hosts.join(own, level, "left")
@@ -108,9 +107,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float = FLO
     ab = F.coalesce("host_ab", "domain_ab", "suffix_ab", base.cast("struct<a:double,b:double>"))
     a, b = ab["a"], ab["b"]
     bound = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    hosts = spill(hosts.select("host", bound.alias("reputation")), "bounds")
+    hosts = spill(hosts.select("host", "n", bound.alias("reputation")), "bounds")
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    return seen.join(sized(hosts), "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, F.when(F.col("reputation") >= floor, "allow").otherwise("block")).alias("verdict"), F.round("reputation", 6).alias("reputation"))
+    return meet(seen, hosts, ["host"]).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, F.when(F.col("reputation") >= floor, "allow").otherwise("block")).alias("verdict"), F.round("reputation", 6).alias("reputation"))
 
 
 _SHRINK = """

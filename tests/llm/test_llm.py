@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarryspark.llm import ann, bpe, exact_dedup, gbt, langid, mixing, pack, quality, queries, simhash, toxicity, url_filter
+from quarryspark.llm import ann, bpe, common, exact_dedup, gbt, langid, mixing, pack, quality, queries, simhash, toxicity, url_filter
 from quarryspark.llm.common import held_out
 from quarryspark.llm.components import components
 
@@ -339,7 +339,7 @@ def test_long_rows_are_read_in_pieces(library, codec):
         seen = [(r, len(t)) for rows, part in bpe.pieces(pa.array(texts), limit) for r, t in zip(rows, part.to_pylist())]
         assert [sum(n for r, n in seen if r == k) for k in range(6)] == [len(t or "") for t in texts]
     assert digests(codec, texts) == [by_library(library, t) for t in texts]
-    assert [x.tolist() for x in pack.texts_ids(codec, pa.array(texts))] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in pack.texts_ids(codec, pa.array(texts), 1 << 22)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_transducer_is_bounded(library, codec):
@@ -539,6 +539,18 @@ def test_hubs_are_salted(spark):
     assert len(got) == 6_003 and {r.root for r in got if r.node < 7_000} == {0} and {(r.node, r.root) for r in got if r.node >= 7_000} == {(7_001, 7_000)}
 
 
+def test_hot_keys_are_salted(spark, odd, monkeypatch):
+    """Sides that are too large to broadcast: the same rows, through salted joins."""
+    rows = spark.range(1_000).select((F.col("id") % 7 * (F.col("id") % 3 > 0).cast("int")).alias("k"), "id")
+    side = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k != 6")
+    plain = sorted(map(tuple, common.meet(rows, side, ["k"]).collect()), key=str)
+    whole = lambda: [sorted(map(tuple, f.collect()), key=str) for f in (exact_dedup.exact_groups(odd), simhash.near_components(odd), exact_dedup.drop_copies(odd).select("doc_id"), mixing.sample(odd))]
+    before = whole()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(map(tuple, common.meet(rows, side, ["k"]).collect()), key=str) == plain and whole() == before
+
+
 def test_near_copies_at_similarity(spark, docs, empty):
     text = docs.where("n_chars > 1500").orderBy("doc_id").first()["text"].split()
     copies = [(10**6, " ".join(text)), (10**6 + 1, " ".join([*text[:100], "changed", *text[101:]]))]

@@ -657,6 +657,7 @@ def test_windows_are_read_and_recall_holds():
     """Clustered and spread vectors: the arrays are read in part only, and few vectors are verified where neighbours stand out."""
     rng = np.random.default_rng(8)
     near = np.concatenate([c + rng.normal(0, 0.02, (25, 32)) for c in rng.normal(0, 0.3, (160, 32))])
+    near /= np.linalg.norm(near, axis=1, keepdims=True)  # short queries have no near points: their products are far below M^2
     for x, most in ((near, 0.2), (rng.normal(0, 0.2, (4000, 32)), 0.9)):
         index = ann.ProjectedBlock(x, np.linalg.norm(x, axis=1).max(), 96, 11, 0.9, 1.5)
         asked, hits = np.arange(0, 4000, 40), 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspark.llm import ann, bpe, exact_dedup, langid, mixing, pack, quality, simhash, toxicity, url_filter, whiten
+from quarryspark.llm import ann, bpe, exact_dedup, langid, mixing, pack, quality, simhash, toxicity, url_filter, whiten, window_pack
 from quarryspark.llm.common import held_out, table
 
 
@@ -63,6 +63,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"), components=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_url_reputation, op3_toxicity, op4_mix_sources, op5_bpe_codec, op6_language_id, op7_exact_dedup, op8_simhash, op9_quality, op10_nearest, op11_whitening)}
+def op12_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = window_pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, row_len=4096)
+    return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_url_reputation, op3_toxicity, op4_mix_sources, op5_bpe_codec, op6_language_id, op7_exact_dedup, op8_simhash, op9_quality, op10_nearest, op11_whitening, op12_pack_windows)}
 
 ORACLE_SQL = {"op2_url_reputation": url_filter.oracle(), "op4_mix_sources": mixing.oracle(), "op7_exact_dedup": exact_dedup.ORACLE}

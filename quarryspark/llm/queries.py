@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspark.llm import ann, bpe, exact_dedup, langid, mixing, pack, quality, simhash, toxicity, url_filter, whiten, window_pack
+from quarryspark.llm import ann, bpe, exact_dedup, langid, mixing, pack, periodic, quality, simhash, toxicity, url_filter, whiten, window_pack
 from quarryspark.llm.common import held_out, table
 
 
@@ -68,6 +71,27 @@ def op12_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_url_reputation, op3_toxicity, op4_mix_sources, op5_bpe_codec, op6_language_id, op7_exact_dedup, op8_simhash, op9_quality, op10_nearest, op11_whitening, op12_pack_windows)}
+def echoed(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For one document in ten, by its id: the words from a place that the id names are those from there, again and again."""
+    own, turn = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if doc_id is None or turn or not n:
+        return None
+    first, place = own % n, np.arange(n)
+    period = 1 + (n - first) // (3 + own % 8)
+    return np.where(place < first, place, first + (place - first) % period)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), least=24, power=3, rewrite=echoed)
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period)), "")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_url_reputation, op3_toxicity, op4_mix_sources, op5_bpe_codec, op6_language_id, op7_exact_dedup, op8_simhash, op9_quality, op10_nearest, op11_whitening, op12_pack_windows, op13_periodic_runs)}
 
 ORACLE_SQL = {"op2_url_reputation": url_filter.oracle(), "op4_mix_sources": mixing.oracle(), "op7_exact_dedup": exact_dedup.ORACLE}

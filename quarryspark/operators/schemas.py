@@ -20,8 +20,8 @@ TABLES: dict[str, str] = {
     "article_citations": "article_id string, section_key string, block_index int, page_id string",
     "apply_runs": "apply_run_id string, proposal_id string, article_id string, previous_content_sha256 string, new_content_sha256 string, backup_path string, applied_at string",
     "article_index": "article_id string, title string, aliases string, body string",
-    "article_postings": "term string, article_id string, tf_title long, tf_aliases long, tf_body long",
-    "article_lengths": "article_id string, dl long",
+    "article_postings": "term string, block long, article_id string, dl long, f double, places array<long>",
+    "article_lengths": "article_id string, block long, dl long",
 }
 
 #: The enumerations of the state tables and of proposals.

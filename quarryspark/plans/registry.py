@@ -17,6 +17,7 @@ from quarryspark.operators.evidence import missing_of, ready, select_evidence
 from quarryspark.operators.schemas import ConceptSpec, schema
 
 QUERIES: dict = {}
+_INDEXES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 #: A concept whose phrases occur in the tables at hand.
 CONCEPT = ConceptSpec("of the", ("and the",), ("in the", "to the"))
@@ -37,7 +38,7 @@ class views:
     """The derived tables of one directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     @property
@@ -76,6 +77,14 @@ class views:
     def index(self) -> DataFrame:
         return self.read("documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("title"), F.col("lang").alias("aliases"), F.col("text").alias("body"))
 
+    @property
+    def stored_index(self) -> search.Index:
+        """The full-text index of ``index``: written once in a session and directory, then searched by every query."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _INDEXES:
+            _INDEXES[key] = search.stored(search.build_index(self.index))
+        return _INDEXES[key]
+
 
 CTE = {
     "v_sources": "SELECT DISTINCT source AS source_id, source AS display_name, 'text' AS source_kind, CASE WHEN source IN ('src6', 'src13') THEN '2024-02-01T00:00:00Z' END AS archived_at FROM documents",
@@ -505,7 +514,8 @@ SELECT s.doc_id AS article_id, d.source AS title, round(r, 6) AS relevance FROM
 
 def _search(name: str, text: str, terms: list[str], limit: int) -> None:
     def run(spark, sf_dir):
-        out = search.search(views(spark, sf_dir).index, text, limit)
+        v = views(spark, sf_dir)
+        out = search.search(v.index, text, limit, index=v.stored_index)
         return out.select("article_id", "title", F.round("relevance", 6).alias("relevance"))
 
     run.__name__ = name

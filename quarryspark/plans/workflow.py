@@ -222,7 +222,8 @@ def search_result_paths(spark, sf_dir):
 SELECT term, count(DISTINCT doc_id) AS articles, count(*) AS occurrences FROM t GROUP BY 1""".replace("\\\\", "\\"))
 def postings_statistics(spark, sf_dir):
     d = views(spark, sf_dir).index.withColumns({"title": F.lit(""), "aliases": F.lit("")})
-    return search.build_index(d)[0].groupBy("term").agg(F.count(F.lit(1)).alias("articles"), F.sum("tf_body").alias("occurrences"))
+    postings = search.build_index(d).postings.where(F.col("term") != search.SENTENCE)
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("articles"), F.sum(F.size("places")).alias("occurrences"))
 
 
 @query(with_views("SELECT page_id, page_number, text_status FROM v_pages WHERE source_version_id = 7", "v_pages"))

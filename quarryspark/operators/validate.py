@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,21 +86,49 @@ def parse_strict(text: str, kind: str) -> dict:
     return value
 
 
-def strict_structure(df: DataFrame, column: str, kind: str = "proposal") -> DataFrame:
-    """Adds ``structure_path`` and ``structure_message`` (null when sound), a batch at a time."""
-    shape = SHAPES[kind]
-
-    @F.pandas_udf("path string, message string")
-    def first_issue(texts: pd.Series) -> pd.DataFrame:
-        def one(t):
-            try:
-                return structure_issue(json.loads(t), shape) or (None, None)
-            except (ValueError, TypeError):
-                return "", "must be valid JSON"
+def _first_issue(value: Column, shape, path: Column) -> Column:
+    """structure_issue() of a VARIANT as an expression: a struct (path, message), null when sound."""
 
-        return pd.DataFrame([one(t) for t in texts], columns=["path", "message"])
+    def told(bad: Column, at: Column, message: str) -> Column:
+        return F.when(bad, F.struct(at.alias("path"), F.lit(message).alias("message")))
 
-    return df.withColumn("_s", first_issue(F.col(column))).withColumns({"structure_path": F.col("_s.path"), "structure_message": F.col("_s.message")}).drop("_s")
+    is_kind = lambda pattern: F.coalesce(F.schema_of_variant(value).rlike(pattern), F.lit(False))
+    if isinstance(shape, dict):
+        keys = F.map_keys(value.try_cast("map<string,variant>"))
+        names = {k.rstrip("?"): k for k in shape}
+        listed = lambda ks: F.array(*(F.lit(k) for k in ks)).cast("array<string>")
+        missing = F.get(F.array_except(listed(n for n, k in names.items() if n == k), keys), F.lit(0))
+        unknown = F.get(F.array_sort(F.array_except(keys, listed(names))), F.lit(0))
+        below = lambda k: F.concat(path, F.lit("/"), k)
+        inner = (F.when(F.array_contains(keys, n), _first_issue(F.try_variant_get(value, f"$.{n}", "variant"), shape[k], below(F.lit(n)))) for n, k in names.items())
+        return F.coalesce(told(keys.isNull(), path, "must be an object"), told(missing.isNotNull(), below(missing), "is required"), told(unknown.isNotNull(), below(unknown), "is not allowed"), *inner)
+    if isinstance(shape, list):
+        items = value.try_cast("array<variant>")
+        found = F.filter(F.transform(items, lambda v, i: _first_issue(v, shape[0], F.concat(path, F.lit("/"), i.cast("string")))), lambda x: x.isNotNull())
+        return F.coalesce(told(items.isNull(), path, "must be an array"), F.get(found, F.lit(0)))
+    text = F.when(is_kind("^STRING$"), value.try_cast("string"))
+    if isinstance(shape, tuple):
+        return told(~F.coalesce(text.isin(*shape), F.lit(False)), path, "is not a known value")
+    if shape is int:
+        whole = F.when(is_kind(r"^(BIGINT|DECIMAL\(\d+,0\))$"), value.try_cast("decimal(38,0)"))
+        return told(~F.coalesce(whole >= 0, F.lit(False)), path, "must be a non-negative integer")
+    return told(text.isNull(), path, "must be a string")
+
+
+def strict_structure(df: DataFrame, column: str, kind: str | dict = "proposal") -> DataFrame:
+    """Adds ``structure_path`` and ``structure_message`` (null when sound) by VARIANT expressions. kind: of SHAPES, or a shape.
+
+    Of keys that an object repeats the last one counts.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # the parser stops behind the first value: one that is the first of two, the other being the text's hash, is all of it
+    own = F.concat(F.lit('"'), F.md5(F.col(column)), F.lit('"'))
+    two = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(","), own, F.lit("]"))).try_cast("array<variant>")
+    # the generator keeps the planner from parsing the text anew for every rule
+    once = df.withColumn("_two", F.explode(F.array(two))).withColumn("_v", F.when((F.size("_two") == 2) & (F.get("_two", F.lit(1)).try_cast("string") == F.md5(F.col(column))), F.get("_two", F.lit(0))))
+    broken = F.struct(F.lit("").alias("path"), F.lit("must be valid JSON").alias("message"))
+    told = once.withColumn("_s", F.when(F.col("_v").isNull(), broken).otherwise(_first_issue(F.col("_v"), SHAPES[kind] if isinstance(kind, str) else kind, F.lit(""))))
+    return told.withColumns({"structure_path": F.col("_s.path"), "structure_message": F.col("_s.message")}).drop("_s", "_v", "_two")
 
 
 def unexpected_keys(text: Column, allowed: list[str]) -> Column:

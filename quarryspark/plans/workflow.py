@@ -75,6 +75,30 @@ def strict_documents(spark, sf_dir):
     return validate.strict_structure(e.select("event_id", doc.alias("doc")), "doc", "citation").select("event_id", "structure_path", "structure_message")
 
 
+@query("""SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN '/type' WHEN user_id < 50 THEN '/user' WHEN event_id % 50 = 0 THEN '/props/page' END AS structure_path,
+ CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'is not a known value' WHEN user_id < 50 THEN 'must be a non-negative integer' WHEN event_id % 50 = 0 THEN 'is not allowed' END AS structure_message FROM events""")
+def strict_events(spark, sf_dir):
+    """Every event as a document around its own properties, against a shape with an enumeration and a nested object."""
+    e = views(spark, sf_dir).read("events")
+    props = F.when(F.col("event_id") % 50 == 0, F.regexp_replace("props", r"\}$", ', "page": 1}')).otherwise(F.col("props"))
+    doc = F.concat(F.lit('{"props": '), props, F.lit(', "user": '), (F.col("user_id") - 50).cast("string"), F.lit(', "type": "'), "event_type", F.lit('"}'))
+    shape = {"type": ("view", "click", "purchase"), "user": int, "props": {"k": int}}
+    return validate.strict_structure(e.select("event_id", doc.alias("doc")), "doc", shape).select("event_id", "structure_path", "structure_message")
+
+
+@query("""WITH s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CASE WHEN text IS NULL THEN 'heading' WHEN role <> 'user' THEN 'key' END AS bad FROM conversations),
+f AS (SELECT conv_id, min(i) AS i, arg_min(bad, i) AS bad FROM s WHERE bad IS NOT NULL GROUP BY 1)
+SELECT c.conv_id, '/sections/' || i || '/' || bad AS structure_path, CASE bad WHEN 'key' THEN 'is not a known value' WHEN 'heading' THEN 'is required' END AS structure_message FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id = c.conv_id""")
+def strict_payloads(spark, sf_dir):
+    """Every conversation as a stored proposal whose sections are its turns: null texts are left out, other roles are no section's key."""
+    t = views(spark, sf_dir).read("conversations")
+    section = F.struct(F.when(F.col("role") == "user", "example").otherwise(F.col("role")).alias("key"), F.col("text").alias("heading"), F.array().cast("array<string>").alias("blocks"))
+    turns = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", section.alias("s")))).alias("s"))
+    article = F.struct(F.lit("T").alias("title"), F.lit("t").alias("slug"))
+    payload = F.struct(F.lit(1).alias("schema_version"), F.lit("create_article").alias("operation"), article.alias("article"), F.transform("s", lambda x: x["s"]).alias("sections"), F.array().cast("array<string>").alias("related_concepts"))
+    return validate.strict_structure(turns.select("conv_id", F.to_json(payload).alias("payload_json")), "payload_json").select("conv_id", "structure_path", "structure_message")
+
+
 def _ulid(prefix: str, good, n) -> F.Column:
     return F.concat(F.lit(prefix), F.when(good, GOOD).otherwise(BAD), F.lpad(n.cast("string"), 7, "0"))
 

@@ -1,10 +1,12 @@
 """Keyword search: literal queries, positional postings in blocks, weighted BM25 top k and snippets.
 
-An index is three tables, to be written once and searched often.
+An index is two tables, to be written once and searched often, and a view.
 
-- postings: a row for a term and an article, with the article's block and length, the weighted frequency and the places.
-- bounds: of a term's articles in a block the number, the largest frequency and the least length.
+- postings: a row for a term and an article, with the article's block and length, the weighted frequency and the places. Each
+  file holds the articles of a task, by term, so that a search reads the parts of its terms.
 - lengths: each article's block and length.
+- bounds: of a term's articles in a block the number, the largest frequency and the least length; read from the postings of
+  a search's terms, without ids and places.
 
 An article's block follows from its own length and id (lengths within a factor of 2^(1/4), ``splits`` blocks of each), so a
 new article adds rows to its block alone, and the articles of a block have like scores. Best results are found in two
@@ -32,7 +34,7 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 MAX_QUERY_BYTES, MAX_LIMIT, SNIPPET_TOKENS = 4096, 100, 24
 TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
 #: A place is a column's number times this, plus the token's number in the column.
-COLUMN = 1 << 40
+COLUMN = 1 << 29
 #: Postings of this term are the starts of the body's sentences; no token has this name.
 SENTENCE = "."
 #: Blocks for articles of about the same length. More of them keep blocks small in a large index.
@@ -90,23 +92,22 @@ def _sentences(body: Column) -> Column:
 def _weighted(places: Column) -> Column:
     """Weighted frequency of a term with these places."""
     weights = F.array(*(F.lit(w) for w in WEIGHTS.values()))
-    return F.aggregate(places, F.lit(0.0), lambda a, p: a + F.get(weights, F.shiftright(p, 40).cast("int")))
+    return F.aggregate(places, F.lit(0.0), lambda a, p: a + F.get(weights, F.shiftright(p, 29)))
 
 
 class Index(NamedTuple):
     postings: DataFrame  # term, block, article_id, dl, f, places
-    bounds: DataFrame  # term, block, n, f_max, dl_min; a term's block may have several rows
     lengths: DataFrame  # article_id, block, dl
 
-
-def bounds_of(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("f_max"), F.min("dl").alias("dl_min"))
+    @property
+    def bounds(self) -> DataFrame:
+        return self.postings.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("f_max"), F.min("dl").alias("dl_min"))
 
 
 def stored(index: Index) -> Index:
-    """The index, written; a term's postings lie together."""
-    postings = kept(index.postings.repartition("term").sortWithinPartitions("term", "block"), "postings")
-    return Index(postings, kept(bounds_of(postings), "bounds"), kept(index.lengths, "lengths"))
+    """The index, written. Nothing is shuffled."""
+    postings = kept(index.postings.sortWithinPartitions("term", "block"), "postings")
+    return Index(postings, kept(index.lengths, "lengths"))
 
 
 def _article_postings(sized: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def _article_postings(sized: DataFrame) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     kind = sized.schema["article_id"].dataType.simpleString()
-    out = f"term string, block long, article_id {kind}, dl long, f double, places array<long>"
+    out = f"term string, block long, article_id {kind}, dl long, f double, places array<int>"
     schema, column, names = to_arrow_schema(_parse_datatype_string(out)), COLUMN, (*WEIGHTS, "sentences")
     weights, sentence = np.array([*WEIGHTS.values(), 0.0]), SENTENCE
     sized.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
@@ -133,6 +134,8 @@ def _article_postings(sized: DataFrame) -> DataFrame:
                 flat = found.flatten()
                 rows.append(row)
                 own = np.arange(len(row)) - (starts - starts[0])[row]
+                if len(own) and own.max() >= column:
+                    raise OverflowError("a text has too many tokens")
                 places.append(own + nth * column if name != "sentences" else flat.to_numpy(zero_copy_only=False).astype(np.int64) + (nth - 1) * column)
                 terms.append(flat if name != "sentences" else pa.array([sentence] * len(flat), pa.string()))
             row, place = np.concatenate(rows), np.concatenate(places)
@@ -144,10 +147,10 @@ def _article_postings(sized: DataFrame) -> DataFrame:
             order = np.argsort(row * len(coded.dictionary) + code, kind="stable")
             row, code, place = row[order], code[order], place[order]
             first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
-            gain = weights[place >> 40]
+            gain = weights[place >> 29]
             gain[coded.dictionary.take(pa.array(code)).to_numpy(zero_copy_only=False) == sentence] = 0.0
             of = pa.array(row[first])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(row)]]), pa.int32()), pa.array(place))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(row)]]), pa.int32()), pa.array(place.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), batch.column("block").take(of), batch.column("article_id").take(of), batch.column("dl").take(of), pa.array(np.add.reduceat(gain, first)), lists], schema=schema)
 
     return sized.mapInArrow(run, out)
@@ -163,7 +166,7 @@ def build_index(articles: DataFrame, splits: int = SPLITS, only: list[str] | Non
     postings = _article_postings(sized)
     if only is not None:
         postings = postings.where(F.col("term").isin(SENTENCE, *only))
-    return Index(postings, bounds_of(postings), sized.select("article_id", "block", "dl"))
+    return Index(postings, sized.select("article_id", "block", "dl"))
 
 
 def phrases_of(queries: DataFrame) -> DataFrame:
@@ -189,25 +192,23 @@ def phrase_postings(index: Index, phrases: DataFrame) -> DataFrame:
     Only blocks that hold all tokens of a phrase are read.
     """
     parts = phrases.select("key", F.size("tokens").alias("width"), F.posexplode("tokens").alias("nth", "term"))
-    held = index.bounds.join(parts, "term").groupBy("key", "block", "width").agg(F.count_distinct("nth").alias("c")).where("c = width")
+    held = index.postings.join(parts, "term").groupBy("key", "block", "width").agg(F.count_distinct("nth").alias("c")).where("c = width")
     rows = index.postings.join(parts.join(held.select("key", "block"), "key"), ["term", "block"])
     shifted = rows.select("key", "block", "width", "article_id", "dl", F.transform("places", lambda p: p - F.col("nth")).alias("places"))
     whole = shifted.groupBy("key", "block", "width", "article_id", "dl").agg(F.collect_list("places").alias("lists")).where(F.size("lists") == F.col("width"))
     found = whole.withColumn("places", F.sort_array(F.aggregate("lists", F.get("lists", F.lit(0)), F.array_intersect))).where(F.size("places") > 0)
     weights = F.array(*(F.lit(w) for w in WEIGHTS.values()))
-    f = F.aggregate("places", F.lit(0.0), lambda a, p: a + F.get(weights, F.shiftright(p, 40).cast("int")))
+    f = F.aggregate("places", F.lit(0.0), lambda a, p: a + F.get(weights, F.shiftright(p, 29)))
     return found.select(F.col("key").alias("term"), "block", "article_id", "dl", f.alias("f"), "places")
 
 
 def entries_of(index: Index, asked: DataFrame) -> Index:
-    """Postings and bounds of all keys of phrases_of()."""
-    keys = asked.select(F.col("key").alias("term")).distinct()
-    postings, bounds = (t.join(keys, "term", "left_semi") for t in index[:2])
+    """The index of all keys of phrases_of()."""
+    postings = index.postings.join(asked.select(F.col("key").alias("term")).distinct(), "term", "left_semi")
     phrases = asked.where(F.size("tokens") > 1).select("key", "tokens").distinct()
     if not phrases.isEmpty():
-        more = kept(phrase_postings(index, phrases), "phrases")
-        postings, bounds = postings.unionByName(more), bounds.unionByName(bounds_of(more))
-    return Index(postings, bounds, index.lengths)
+        postings = postings.unionByName(kept(phrase_postings(index, phrases), "phrases"))
+    return Index(postings, index.lengths)
 
 
 def _gain(f: Column, dl: Column) -> Column:
@@ -223,7 +224,7 @@ class Ranking:
         stats = F.broadcast(index.lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl")))  # one row
         times = asked.groupBy("query_id", F.col("key").alias("term")).agg(F.count(F.lit(1)).alias("times"))
         self.needed = asked.groupBy("query_id").agg(F.count_distinct("key").alias("needed"))
-        cells = self.entries.bounds.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("f_max").alias("f_max"), F.min("dl_min").alias("dl_min"))
+        cells = self.entries.bounds
         n_t = cells.groupBy("term").agg(F.sum("n").alias("n_t"))
         idf = F.log((F.col("N") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
         # written, as every later step reads them: a row for a query's term, and one for a query's block
@@ -287,7 +288,7 @@ def search(articles: DataFrame, query: str, limit: int = 20, index: Index | None
     names = sorted({t for r in own for t in r["tokens"]})
     index = index or stored(build_index(articles, only=names))
     own_terms = F.col("term").isin(SENTENCE, *names)  # pushed down to the scans
-    index = Index(index.postings.where(own_terms), index.bounds.where(own_terms), index.lengths)
+    index = index._replace(postings=index.postings.where(own_terms))
     top = Ranking(index, asked, limit).top(articles)
     if snippets:
         shown = cut(articles, index, asked, top.select("query_id", "article_id"))
@@ -302,7 +303,7 @@ def cut(articles: DataFrame, index: Index, asked: DataFrame, matches: DataFrame,
     then one with more hits; a sentence counts 100 more, the body's start 120; the first of equal ones wins.
     """
     nth = len(WEIGHTS) - 1
-    in_body = lambda rows: rows.where(F.shiftright("place", 40) == nth).withColumn("first", (F.col("place") - nth * COLUMN).cast("int"))
+    in_body = lambda rows: rows.where(F.shiftright("place", 29) == nth).withColumn("first", (F.col("place") - nth * COLUMN).cast("int"))
     listed = entries_of(index, asked).postings.select("term", "article_id", F.explode("places").alias("place"))
     width = asked.select("query_id", F.col("key").alias("term"), "phrase_no", F.size("tokens").alias("width"))
     hits = in_body(listed.join(width, "term").join(matches, ["query_id", "article_id"], "left_semi")).select("query_id", "article_id", "first", "phrase_no", (F.col("first") + F.col("width") - 1).alias("last"))

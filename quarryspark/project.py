@@ -481,7 +481,7 @@ class Project:
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """article_id, title, vault_path, snippet and relevance of the articles that hold all terms, by the stored postings."""
         t = self.store.tables()
-        found = full_text.search(t["article_index"], query, limit, index=full_text.Index(t["article_postings"], full_text.bounds_of(t["article_postings"]), t["article_lengths"]), snippets=True)
+        found = full_text.search(t["article_index"], query, limit, index=full_text.Index(t["article_postings"], t["article_lengths"]), snippets=True)
         placed = full_text.with_paths(found, t["articles"])
         if not placed.where("NOT safe").isEmpty():  # limit rows at most
             raise EngineError("state_error", "an article's path leaves the vault")

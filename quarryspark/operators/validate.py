@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryspark.functions.text import has_line_break, is_id, is_slug, safe_relative
-from quarryspark.operators.citations import MESSAGES, checked
+from quarryspark.functions.text import is_id, is_slug, safe_relative
+from quarryspark.operators.citations import BELOW, checked
 from quarryspark.operators.schemas import BLOCK_KINDS, OPERATIONS, PROPOSAL, SECTION_KEYS, EngineError
 
 #: Messages of the contract that callers match on.
@@ -29,6 +29,9 @@ AFTER_START = "must be greater than start_char"
 FROM_1 = "must be at least 1"
 RELATIVE = "must be project-relative"
 
+#: Statuses of text that may be evidence.
+READY = ("native", "reviewed")
+
 _CITATION = {"page_id": str, "start_char": int, "end_char": int, "quote": str}
 #: Object shapes: key -> kind; "?" marks an optional key; a list holds its items' kind; a tuple the allowed strings.
 SHAPES = {
@@ -189,28 +192,20 @@ def located_citations(proposals: DataFrame) -> DataFrame:
 def citation_issues(proposals: DataFrame, pages: DataFrame) -> DataFrame:
     """At most one issue per citation against the pages given to the model."""
     c = checked(located_citations(proposals), pages).where("issue IS NOT NULL")
-    path, message = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, (below, text) in MESSAGES.items():
-        path = F.when(F.col("issue") == kind, _at(F.col("at"), below)).otherwise(path)
-        message = F.when(F.col("issue") == kind, text).otherwise(message)
-    return c.select("proposal_id", path.alias("path"), message.alias("message"))
+    below = F.create_map(*(F.lit(x) for kv in BELOW.items() for x in kv))[F.col("issue")]
+    return c.select("proposal_id", _at(F.col("at"), below).alias("path"), _at(F.col("issue"), " ", F.col("page_id"), " ", F.col("start_char"), "..", F.col("end_char")).alias("message"))
 
 
 def response_issues(proposals: DataFrame, pages: DataFrame, target: Column | None = None) -> DataFrame:
-    """Semantic issues, citation issues and, with a target struct (operation, title, slug, article_id), mismatches."""
+    """Semantic issues, citation issues and, with a target struct (operation, title, slug, article_id), what differs from it."""
     out = semantic_issues(proposals).unionByName(citation_issues(proposals, pages))
-    if target is not None:
-        a = F.col("p.article")
-        out = out.unionByName(
-            _issues(
-                proposals,
-                (F.col("p.operation") != target["operation"], F.lit("/operation"), "must match the requested operation"),
-                (a["title"] != target["title"], F.lit("/article/title"), "must match the requested title"),
-                (a["slug"] != target["slug"], F.lit("/article/slug"), "must match the requested slug"),
-                (~a["article_id"].eqNullSafe(target["article_id"]), F.lit("/article/article_id"), "must match the requested article"),
-            )
-        )
-    return out
+    if target is None:
+        return out
+    places = {"operation": "", "title": "/article", "slug": "/article", "article_id": "/article"}
+    own = lambda name, up: F.col("p." + ".".join([*up.split("/")[1:], name]))
+    told = lambda name, up: F.struct(F.lit(f"{up}/{name}").alias("path"), _at("asked for ", F.coalesce(target[name], F.lit("none"))).alias("message"))
+    found = F.array_compact(F.array(*(F.when(~own(name, up).eqNullSafe(target[name]), told(name, up)) for name, up in places.items())))
+    return out.unionByName(proposals.select("proposal_id", F.explode(found).alias("i")).select("proposal_id", "i.*"))
 
 
 def formatted(issues: DataFrame, key: str = "proposal_id") -> DataFrame:
@@ -242,31 +237,40 @@ def page_issues(pages: DataFrame) -> DataFrame:
 
 
 def request_issues(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """request_id, path, message of requests (request_id, operation, article_id) and the pages (request_id, index, ...) sent with them."""
-    known = pages.groupBy("request_id").agg(F.count(F.lit(1)).alias("pages"))
-    r = requests.join(known, "request_id", "left")
-    has = F.col("article_id").isNotNull()
-    rules = (
-        (F.coalesce("pages", F.lit(0)) == 0, "/pages", "must hold at least one page"),
-        ((F.col("operation") == "create_article") & has, "/article_id", "must be left out for a new article"),
-        ((F.col("operation") == "update_article") & ~has, "/article_id", "is needed for an update"),
-        (has & ~is_id(F.col("article_id"), "art_"), "/article_id", ARTICLE_ID),
+    """request_id, path, message of requests (request_id, operation, article_id) and the pages (request_id, index, ...) sent with them.
+
+    A message is what was found: how many pages, which article for which operation, a status, where a page came first.
+    """
+    one = lambda path, *message: F.struct(path.alias("path"), _at(*message).alias("message"))
+    r = requests.join(pages.groupBy("request_id").agg(F.count(F.lit(1)).alias("pages")), "request_id", "left")
+    article = F.col("article_id")
+    # an update names its article, and only an update does
+    unfit = article.isNull() == (F.col("operation") == "update_article")
+    tops = F.array(
+        F.when(F.col("pages").isNull(), one(F.lit("/pages"), "pages 0")),
+        F.when(unfit, one(F.lit("/article_id"), F.col("operation"), " of ", F.coalesce(article, F.lit("no article")))),
+        F.when(article.isNotNull() & ~is_id(article, "art_"), one(F.lit("/article_id"), ARTICLE_ID)),
     )
-    found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))) for bad, path, message in rules)))
-    top = r.select("request_id", F.explode(found).alias("i")).select("request_id", "i.*")
+    first = F.min("index").over(Window.partitionBy("request_id", "page_id"))
+    sent = pages.select("request_id", "index", "text_status", first.alias("first"))
     at = lambda below: F.concat(F.lit("/pages/"), F.col("index").cast("string"), below)
+    each = F.array(
+        F.when(~F.col("text_status").isin(*READY), one(at(F.lit("/text_status")), "text_status ", F.col("text_status"))),
+        F.when(F.col("index") > F.col("first"), one(at(F.lit("/page_id")), "page of index ", F.col("first"))),
+    )
+    rows = lambda df, found: df.select("request_id", F.explode(F.array_compact(found)).alias("i")).select("request_id", "i.*")
     own = page_issues(pages).select("request_id", at(F.col("path")).alias("path"), "message")
-    status = F.when(F.col("text_status") == "ocr_unreviewed", "OCR text must be reviewed first").when(F.col("text_status") == "failed", "a failed page is no evidence")
-    unready = pages.select("request_id", at(F.lit("/text_status")).alias("path"), status.alias("message")).where("message IS NOT NULL")
-    first = pages.groupBy("request_id", "page_id").agg(F.min("index").alias("first"))
-    again = pages.join(first, ["request_id", "page_id"]).where("index > first").select("request_id", at(F.lit("/page_id")).alias("path"), F.lit("must be unique among the pages").alias("message"))
-    return top.unionByName(own).unionByName(unready).unionByName(again)
+    return rows(r, tops).unionByName(own).unionByName(rows(sent, each))
 
 
 def unrenderable(proposals: DataFrame, start: str, end: str, reserved: str) -> DataFrame:
-    """proposal_id, message: text that may not be written to an article. Needs payload_json and p."""
-    marked = F.greatest(*(F.col("payload_json").contains(m).cast("int") for m in (start, end, reserved))) == 1
-    bad_heading = F.exists("p.sections", lambda s: (s["heading"] == "") | has_line_break(s["heading"]))
-    bad_related = F.exists("p.related_concepts", lambda r: (r["title"] == "") | has_line_break(r["title"]) | r["title"].contains("[[") | r["title"].contains("]]"))
-    found = F.when(marked, "the text holds a marker of generated regions").when(bad_heading, "a section heading must be a single line with text").when(bad_related, "a related title must be plain text")
-    return proposals.select("proposal_id", found.alias("message")).where("message IS NOT NULL")
+    """proposal_id, message: what may not be written to an article, and where. Needs payload_json and p.
+
+    That is a marker anywhere, and names that are empty, break the line or, of related concepts, would end their link.
+    """
+    names = {"sections": ("heading", r"^$|[\n\r]"), "related_concepts": ("title", r"^$|[\n\r]|\[\[|\]\]")}
+    found = [F.when(F.col("payload_json").contains(m), F.lit(f"marker {m}")) for m in (reserved, start, end)]
+    for group, (name, unfit) in names.items():
+        spots = F.filter(F.transform(f"p.{group}", lambda x, i: F.when(x[name].rlike(unfit), i)), lambda i: i.isNotNull())  # noqa: B023
+        found.append(F.when(F.size(spots) > 0, _at(f"{name} /{group}/", F.get(spots, F.lit(0)), f"/{name}")))
+    return proposals.select("proposal_id", F.coalesce(*found).alias("message")).where("message IS NOT NULL")

@@ -556,9 +556,9 @@ _NUMBERED = """(SELECT conv_id AS proposal_id, turn, text, dense_rank() OVER (PA
 
 
 @query(f"""SELECT proposal_id, loc || CASE WHEN page = 3 THEN '/page_id' WHEN page = 0 OR text = '' THEN '' ELSE '/quote' END AS path,
-  CASE WHEN page = 3 THEN '{C.MESSAGES['page_id'][1]}' WHEN page = 0 OR text = '' THEN '{C.MESSAGES['offsets'][1]}' ELSE '{C.MESSAGES['quote'][1]}' END AS message
-FROM (SELECT proposal_id, '/sections/' || i || '/blocks/' || j || '/citations/' || k AS loc, CASE k WHEN 0 THEN proposal_id % 3 ELSE turn % 4 END AS page, text FROM {_NUMBERED}, (VALUES (0), (1)) t(k)
-  UNION ALL SELECT proposal_id, '/related_concepts/0/citations/' || k, CASE k WHEN 0 THEN proposal_id % 3 ELSE turn % 4 END, text FROM {_NUMBERED}, (VALUES (0), (1)) t(k) WHERE i = 0 AND j = 0)""")
+  CASE WHEN page = 3 THEN 'page_id' WHEN page = 0 OR text = '' THEN 'offsets' ELSE 'quote' END || ' page_' || page || ' 0..' || CASE k WHEN 0 THEN octet_length(encode(text)) ELSE 1 END AS message
+FROM (SELECT proposal_id, '/sections/' || i || '/blocks/' || j || '/citations/' || k AS loc, CASE k WHEN 0 THEN proposal_id % 3 ELSE turn % 4 END AS page, text, k FROM {_NUMBERED}, (VALUES (0), (1)) t(k)
+  UNION ALL SELECT proposal_id, '/related_concepts/0/citations/' || k, CASE k WHEN 0 THEN proposal_id % 3 ELSE turn % 4 END, text, k FROM {_NUMBERED}, (VALUES (0), (1)) t(k) WHERE i = 0 AND j = 0)""")
 def proposal_issues(spark, sf_dir):
     """Citations against pages 0 (empty), 1 and 2 (blank, and long enough for any offsets); page 3 is not there."""
     n = _nested(views(spark, sf_dir))

@@ -295,6 +295,7 @@ class Project:
         request = self.spark.createDataFrame([("", target["operation"], target["article_id"])], "request_id string, operation string, article_id string")
         kinds = {"page_id": "string", "source_version_id": "string", "page_number": "int", "text_status": "string"}
         pages = self.spark.createDataFrame([("", i, *(e[c] for c in kinds)) for i, e in enumerate(evidence)], "request_id string, index int, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
+        pages = pages.join(self.store.table("source_pages").select("page_id", "image_path"), "page_id", "left").withColumn("language", F.lit(self.config["providers"]["ocr"]["language"]))
         if found := validate.formatted(validate.request_issues(request, pages), "request_id").first():
             raise EngineError("invalid_state", found["issues"])
 
@@ -331,13 +332,10 @@ class Project:
         return row.asDict()
 
     def _checked_payload(self, row: dict) -> dict:
-        try:
-            payload = validate.parse_strict(row["payload_json"], "proposal")
-        except EngineError as e:
-            raise EngineError("state_error", f"the stored proposal is damaged: {e}") from None
-        if payload["operation"] != row["operation"]:
-            raise EngineError("state_error", "the stored proposal names another operation")
-        return payload
+        stored = self.spark.createDataFrame([(row["payload_json"], row["operation"])], "payload_json string, operation string")
+        if issue := validate.stored_issue(stored).first()["issue"]:
+            raise EngineError("state_error", f"the stored proposal: {issue}")
+        return json.loads(row["payload_json"])
 
     def _evidence(self, proposal_id: str) -> DataFrame:
         """The proposal's stored citations with page, version and source; refused when one no longer holds."""

@@ -7,7 +7,7 @@ import re
 
 from quarryspark.functions.text import ULID
 from quarryspark.operators.schemas import EngineError
-from quarryspark.operators.validate import parse_strict
+from quarryspark.operators.validate import EMPTY, RELATIVE, parse_strict
 from quarryspark.sources.files import write_atomic
 
 #: Keys and defaults of a project's configuration.
@@ -21,14 +21,15 @@ DEFAULT = {
 
 
 def problems(config: dict) -> list[str]:
-    out = ["/schema_version: must equal 1"] * (config["schema_version"] != 1) + ["/project_id: must be a prj_ ULID"] * (not re.fullmatch(f"prj_{ULID}", config["project_id"]))
-    for k, p in {**config["paths"], "source_directory": config["vault"]["source_directory"]}.items():
-        if not p or p.startswith("/") or ".." in p.split("/"):
-            out.append(f"/paths/{k}: must be a safe relative path")
+    """JSON pointer and issue of every value that can't be used, in the order of the file's groups."""
     llm = config["providers"]["llm"]
-    if llm["ollama"]["timeout_seconds"] < 1:
-        out.append("/providers/llm/ollama/timeout_seconds: must be positive")
-    return out + [f"/{n}: must not be empty" for n, v in (("generated_section_id", config["vault"]["generated_section_id"]), ("llm", llm["default"]), ("base_url", llm["ollama"]["base_url"]), ("model", llm["ollama"]["model"]), ("ocr", config["providers"]["ocr"]["default"]), ("language", config["providers"]["ocr"]["language"])) if not v]
+    unsafe = lambda p: not p or p.startswith("/") or ".." in p.split("/")
+    rules = [("/schema_version", config["schema_version"] != 1, "must equal 1"), ("/project_id", not re.fullmatch(f"prj_{ULID}", config["project_id"]), "must be a prj_ ULID")]
+    rules += [(f"/paths/{k}", unsafe(p), RELATIVE) for k, p in config["paths"].items()]
+    rules += [("/vault/source_directory", unsafe(config["vault"]["source_directory"]), RELATIVE), ("/vault/generated_section_id", not config["vault"]["generated_section_id"], EMPTY)]
+    rules += [("/providers/llm/default", not llm["default"], EMPTY), *((f"/providers/llm/ollama/{k}", not llm["ollama"][k], EMPTY) for k in ("base_url", "model"))]
+    rules += [("/providers/llm/ollama/timeout_seconds", llm["ollama"]["timeout_seconds"] < 1, "must be positive"), *((f"/providers/ocr/{k}", not config["providers"]["ocr"][k], EMPTY) for k in ("default", "language"))]
+    return [f"{path}: {issue}" for path, bad, issue in rules if bad]
 
 
 def read(path: str) -> dict:

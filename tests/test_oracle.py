@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarryspark.plans import concepts, registry, searching, workflow  # noqa: F401 - add their queries
+from quarryspark.plans import concepts, logs, registry, searching, workflow  # noqa: F401 - add their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

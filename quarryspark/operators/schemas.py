@@ -21,7 +21,6 @@ TABLES: dict[str, str] = {
     "apply_runs": "apply_run_id string, proposal_id string, article_id string, previous_content_sha256 string, new_content_sha256 string, backup_path string, applied_at string",
     "article_index": "article_id string, title string, aliases string, body string",
     "article_postings": "term string, block long, article_id string, dl long, f double, places array<int>",
-    "article_lengths": "article_id string, block long, dl long",
 }
 
 #: The enumerations of the state tables and of proposals.

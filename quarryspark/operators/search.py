@@ -1,10 +1,10 @@
 """Keyword search: literal queries, positional postings in blocks, weighted BM25 top k and snippets.
 
-An index is two tables, to be written once and searched often, and a view.
+An index is a table, to be written once and searched often, and two views.
 
 - postings: a row for a term and an article, with the article's block and length, the weighted frequency and the places. Each
   file holds the articles of a task, by term, so that a search reads the parts of its terms.
-- lengths: each article's block and length.
+- lengths: each article's block and length, kept as postings of a name that no token has.
 - bounds: of a term's articles in a block the number, the largest frequency and the least length; read from the postings of
   a search's terms, without ids and places.
 
@@ -35,7 +35,7 @@ MAX_QUERY_BYTES, MAX_LIMIT, SNIPPET_TOKENS = 4096, 100, 24
 TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
 #: A place is a column's number times this, plus the token's number in the column.
 COLUMN = 1 << 29
-#: Postings of this term are the starts of the body's sentences; no token has this name.
+#: Every article's posting of this term holds its length, and the starts of its body's sentences; no token has this name.
 SENTENCE = "."
 #: Blocks for articles of about the same length. More of them keep blocks small in a large index.
 SPLITS = 16
@@ -97,7 +97,10 @@ def _weighted(places: Column) -> Column:
 
 class Index(NamedTuple):
     postings: DataFrame  # term, block, article_id, dl, f, places
-    lengths: DataFrame  # article_id, block, dl
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.postings.where(F.col("term") == SENTENCE).select("article_id", "block", "dl")
 
     @property
     def bounds(self) -> DataFrame:
@@ -106,8 +109,7 @@ class Index(NamedTuple):
 
 def stored(index: Index) -> Index:
     """The index, written. Nothing is shuffled."""
-    postings = kept(index.postings.sortWithinPartitions("term", "block"), "postings")
-    return Index(postings, kept(index.lengths, "lengths"))
+    return Index(kept(index.postings.sortWithinPartitions("term", "block"), "postings"))
 
 
 def _article_postings(sized: DataFrame) -> DataFrame:
@@ -119,8 +121,8 @@ def _article_postings(sized: DataFrame) -> DataFrame:
 
     kind = sized.schema["article_id"].dataType.simpleString()
     out = f"term string, block long, article_id {kind}, dl long, f double, places array<int>"
-    schema, column, names = to_arrow_schema(_parse_datatype_string(out)), COLUMN, (*WEIGHTS, "sentences")
-    weights, sentence = np.array([*WEIGHTS.values(), 0.0]), SENTENCE
+    schema, column, names = to_arrow_schema(_parse_datatype_string(out)), COLUMN, tuple(WEIGHTS)
+    weights, sentence = np.array([*WEIGHTS.values()]), SENTENCE
     sized.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
 
     def run(batches):
@@ -131,27 +133,27 @@ def _article_postings(sized: DataFrame) -> DataFrame:
                 found = batch.column(name)
                 starts = found.offsets.to_numpy().astype(np.int64)
                 row = np.repeat(np.arange(len(found)), np.diff(starts))
-                flat = found.flatten()
-                rows.append(row)
                 own = np.arange(len(row)) - (starts - starts[0])[row]
                 if len(own) and own.max() >= column:
                     raise OverflowError("a text has too many tokens")
-                places.append(own + nth * column if name != "sentences" else flat.to_numpy(zero_copy_only=False).astype(np.int64) + (nth - 1) * column)
-                terms.append(flat if name != "sentences" else pa.array([sentence] * len(flat), pa.string()))
+                rows.append(row)
+                places.append(own + nth * column)
+                terms.append(found.flatten())
             row, place = np.concatenate(rows), np.concatenate(places)
+            at = batch.column("sentences")
+            lists = pa.ListArray.from_arrays(pa.array(at.offsets.to_numpy() - at.offsets[0].as_py()), pa.array((at.flatten().to_numpy(zero_copy_only=False) + (len(names) - 1) * column).astype(np.int32)))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([sentence] * n, pa.string()), batch.column("block"), batch.column("article_id"), batch.column("dl"), pa.array(np.zeros(n)), lists], schema=schema)
             if not len(row):
                 continue
-            coded = pa.chunked_array(terms, pa.string()).combine_chunks()
-            coded = coded.dictionary_encode()
+            coded = pa.chunked_array(terms, pa.string()).combine_chunks().dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(row * len(coded.dictionary) + code, kind="stable")
             row, code, place = row[order], code[order], place[order]
             first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
-            gain = weights[place >> 29]
-            gain[coded.dictionary.take(pa.array(code)).to_numpy(zero_copy_only=False) == sentence] = 0.0
             of = pa.array(row[first])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(row)]]), pa.int32()), pa.array(place.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), batch.column("block").take(of), batch.column("article_id").take(of), batch.column("dl").take(of), pa.array(np.add.reduceat(gain, first)), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), batch.column("block").take(of), batch.column("article_id").take(of), batch.column("dl").take(of), pa.array(np.add.reduceat(weights[place >> 29], first)), lists], schema=schema)
 
     return sized.mapInArrow(run, out)
 
@@ -166,7 +168,7 @@ def build_index(articles: DataFrame, splits: int = SPLITS, only: list[str] | Non
     postings = _article_postings(sized)
     if only is not None:
         postings = postings.where(F.col("term").isin(SENTENCE, *only))
-    return Index(postings, sized.select("article_id", "block", "dl"))
+    return Index(postings)
 
 
 def phrases_of(queries: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ def entries_of(index: Index, asked: DataFrame) -> Index:
     phrases = asked.where(F.size("tokens") > 1).select("key", "tokens").distinct()
     if not phrases.isEmpty():
         postings = postings.unionByName(kept(phrase_postings(index, phrases), "phrases"))
-    return Index(postings, index.lengths)
+    return Index(postings)
 
 
 def _gain(f: Column, dl: Column) -> Column:
@@ -220,7 +222,7 @@ class Ranking:
     """Best articles for each query of a table, and which blocks are read for them."""
 
     def __init__(self, index: Index, asked: DataFrame, limit: int):
-        self.limit, self.entries = limit, entries_of(index, asked)
+        self.limit, self.entries = limit, entries_of(index, asked)  # without the articles' own postings
         stats = F.broadcast(index.lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl")))  # one row
         times = asked.groupBy("query_id", F.col("key").alias("term")).agg(F.count(F.lit(1)).alias("times"))
         self.needed = asked.groupBy("query_id").agg(F.count_distinct("key").alias("needed"))

@@ -426,10 +426,9 @@ class Project:
                 entry = self._rows("article_index", indexed)
                 tables["article_index"] = replace_rows(tables["article_index"], "article_id", entry)
                 index = full_text.build_index(entry)  # of this article only; those of the others stay
-                known = not tables["article_lengths"].where(own).isEmpty()
-                for name, rows in (("article_postings", index.postings), ("article_lengths", index.lengths)):
-                    # a new article's rows are written beside those that are there
-                    tables[name] = append(tables[name].where(~own) if known else tables[name], rows)
+                listed = tables["article_postings"]
+                # a new article's postings are written beside those that are there
+                tables["article_postings"] = append(listed if listed.where(own).isEmpty() else listed.where(~own), index.postings)
                 if self.store.table("proposals").where((F.col("proposal_id") == proposal_id) & (F.col("status") == "approved")).isEmpty():
                     raise EngineError("invalid_state", "the proposal is no longer approved")
                 files.write_atomic(path, data)
@@ -479,7 +478,7 @@ class Project:
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """article_id, title, vault_path, snippet and relevance of the articles that hold all terms, by the stored postings."""
         t = self.store.tables()
-        found = full_text.search(t["article_index"], query, limit, index=full_text.Index(t["article_postings"], t["article_lengths"]), snippets=True)
+        found = full_text.search(t["article_index"], query, limit, index=full_text.Index(t["article_postings"]), snippets=True)
         placed = full_text.with_paths(found, t["articles"])
         if not placed.where("NOT safe").isEmpty():  # limit rows at most
             raise EngineError("state_error", "an article's path leaves the vault")

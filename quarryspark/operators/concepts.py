@@ -17,6 +17,7 @@ from quarryspark.functions.text import match_text
 from quarryspark.operators.evidence import ready
 from quarryspark.operators.ingest import latest_versions
 from quarryspark.operators.schemas import ConceptSpec
+from quarryspark.operators.scratch import kept
 
 #: Words of a gram, at most.
 GRAM = 3
@@ -50,19 +51,22 @@ def grams_of(phrases: DataFrame) -> DataFrame:
 
 def matches(texts: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     """(key, phrase) of the phrases that occur, as whole words, in (key, matched); both normalised."""
-    pieces = grams_of(phrases)
+    parts = F.split("gram", " ")
+    hashed = F.xxhash64(*(F.get(parts, F.lit(k)) for k in range(GRAM)))  # a null changes no hash
+    # written, so that its size is known where it is joined
+    pieces = kept(grams_of(phrases).select("phrase", "parts", "offset", hashed.alias("gram"), F.size(parts).alias("width")), "dictionary")
     # the widths are at most GRAM numbers
-    widths = [r[0] for r in pieces.select(F.size(F.split("gram", " ")).alias("w")).distinct().collect()]
+    widths = [r[0] for r in pieces.select("width").distinct().collect()]
     words = F.split("matched", " ")
     own = texts.where("matched <> ''").select(key, F.explode(F.array(words)).alias("words"))  # split once
     at = lambda w: F.transform(
         F.when(F.size("words") >= w, F.sequence(F.lit(0), F.size("words") - w)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *(F.get("words", i + k) for k in range(w))).alias("gram")),
+        lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get("words", i + k) for k in range(w))).alias("gram")),
     )
     if not widths:
         return texts.select(key, F.lit("").alias("phrase")).limit(0)
     exploded = own.select(key, F.explode(F.concat(*(at(w) for w in sorted(widths)))).alias("g")).select(key, "g.at", "g.gram")
-    found = exploded.join(pieces, "gram").groupBy(key, "phrase", "parts", (F.col("at") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    found = exploded.join(pieces.drop("width"), "gram").groupBy(key, "phrase", "parts", (F.col("at") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
     return found.where("n = parts").select(key, "phrase").distinct()
 
 

@@ -42,21 +42,26 @@ SPLITS = 16
 
 
 def _fold_table() -> tuple[str, str]:
-    """Accented letters up to U+024F and U+1E00-U+1EFF, and their base letters, derived from decomposition."""
-    src, dst = [], []
-    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+    """Lower-case letters and what they are folded to: Latin ones with marks to their ASCII letter, variants of others by case folding.
+
+    Derived by rule: a letter's decomposition up to U+024F and U+1E00-U+1EFF, and one-letter case folds below U+2000.
+    """
+    fold_to = {}
+    for cp in (*range(0xB5, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
         c = chr(cp).lower()
-        base = unicodedata.normalize("NFD", c)[0]
-        if len(c) == 1 and base != c and base.isalpha() and c not in src:
-            src.append(c)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+        other = c.casefold() if len(c.casefold()) == 1 else c
+        if len(c) == 1:
+            base = unicodedata.normalize("NFD", other)[0]
+            latin = base.isascii() and base.isalpha() and (cp < 0x250 or 0x1E00 <= cp < 0x1F00)
+            if (latin and base != c) or other != c:
+                fold_to[c] = base if latin else other
+    return "".join(fold_to), "".join(fold_to.values())
 
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics."""
     src, dst = _fold_table()
-    return F.regexp_replace(F.replace(F.translate(F.lower(text), src, dst), F.lit("ς"), F.lit("σ")), r"\p{Mn}+", "")
+    return F.regexp_replace(F.translate(F.lower(text), src, dst), r"\p{Mn}+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -64,8 +69,8 @@ def tokens(text: Column) -> Column:
 
 
 def fold_py(text: str) -> str:
-    out = "".join(unicodedata.normalize("NFD", c)[0] if 0xC0 <= ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 else c for c in text.lower())
-    return "".join(c for c in out.replace("ς", "σ") if unicodedata.category(c) != "Mn")
+    out = text.lower().translate(str.maketrans(*_fold_table()))
+    return "".join(c for c in out if unicodedata.category(c) != "Mn")
 
 
 def literal_terms(query: str) -> list[list[str]]:
@@ -191,11 +196,14 @@ def refused(queries: DataFrame) -> DataFrame:
 def phrase_postings(index: Index, phrases: DataFrame) -> DataFrame:
     """Postings of phrases (key, tokens), from those of their tokens: places that follow each other, in the same column.
 
-    Only blocks that hold all tokens of a phrase are read.
+    Of an article that lacks a phrase's rarest token no places are read.
     """
     parts = phrases.select("key", F.size("tokens").alias("width"), F.posexplode("tokens").alias("nth", "term"))
-    held = index.postings.join(parts, "term").groupBy("key", "block", "width").agg(F.count_distinct("nth").alias("c")).where("c = width")
-    rows = index.postings.join(parts.join(held.select("key", "block"), "key"), ["term", "block"])
+    known = index.postings.join(parts.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    rarest = parts.join(known, "term").groupBy("key").agg(F.min(F.struct("n_t", "nth", "term"))["term"].alias("term"))
+    # written, so that its size is known where it is joined
+    holders = kept(index.postings.join(rarest, "term").select("key", "article_id"), "holders")
+    rows = index.postings.join(parts, "term").join(holders, ["key", "article_id"])
     shifted = rows.select("key", "block", "width", "article_id", "dl", F.transform("places", lambda p: p - F.col("nth")).alias("places"))
     whole = shifted.groupBy("key", "block", "width", "article_id", "dl").agg(F.collect_list("places").alias("lists")).where(F.size("lists") == F.col("width"))
     found = whole.withColumn("places", F.sort_array(F.aggregate("lists", F.get("lists", F.lit(0)), F.array_intersect))).where(F.size("places") > 0)

@@ -66,8 +66,10 @@ def matches(texts: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     if not widths:
         return texts.select(key, F.lit("").alias("phrase")).limit(0)
     exploded = own.select(key, F.explode(F.concat(*(at(w) for w in sorted(widths)))).alias("g")).select(key, "g.at", "g.gram")
-    found = exploded.join(pieces.drop("width"), "gram").groupBy(key, "phrase", "parts", (F.col("at") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    return found.where("n = parts").select(key, "phrase").distinct()
+    # of a phrase in one piece any place will do, so a text's repeats of it are one row before they are shuffled
+    start = F.when(F.col("parts") > 1, F.col("at") - F.col("offset"))
+    found = exploded.join(pieces.drop("width"), "gram").groupBy(key, "phrase", "parts", start.alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    return found.where("parts = 1 OR n = parts").select(key, "phrase").distinct()
 
 
 def select_for_all(sources: DataFrame, versions: DataFrame, pages: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -235,10 +235,10 @@ def tree_links(nodes: DataFrame, radius: int = 3, levels: int = LEVELS, pairs: i
     code = lambda parts: sum(p * base ** (levels - 1 - i) for i, p in enumerate(parts))
     steps = [code(o) for o in offsets(levels, radius)]
     keyed = nodes.withColumn("own", code([ring(F.col("fp0"), i) for i in range(levels)]).cast("long"))
-    shards = keyed.select("own").distinct()  # at most (BLOCK + 1) ** levels of them
+    shards = sized(keyed.select(F.col("own").alias("shard")).distinct(), (BLOCK + 1) ** levels)  # no more can be shards
     visits = keyed.select("rep", "fp0", "own", F.explode(F.lit(steps).cast("array<long>")).alias("step")).select((F.col("own") + F.col("step")).alias("shard"), (F.col("step") == 0).alias("member"), "rep", "fp0")
-    visits = visits.join(shards.select(F.col("own").alias("shard")), "shard", "left_semi")
-    links = lambda rows: shard_links(rows.repartition("shard").sortWithinPartitions("shard"), radius, 1)
+    visits = visits.join(shards, "shard", "left_semi")
+    links = lambda rows: shard_links(_together(rows), radius, 1)
     out = None
     for _ in range(DEEPEST):
         own = F.when(F.col("member"), F.col("rep"))
@@ -253,6 +253,15 @@ def tree_links(nodes: DataFrame, radius: int = 3, levels: int = LEVELS, pairs: i
     return links(visits) if out is None else out.unionByName(links(visits))
 
 
+def _together(rows: DataFrame) -> DataFrame:
+    """The rows of a shard in one partition, next to each other.
+
+    Dealt by a hash of the shard, not by the shard itself: after a join on the shard the planner leaves a repartition by
+    it out, and adaptive execution may then read the join's own shuffle task by task, which tears shards apart.
+    """
+    return rows.repartition(F.xxhash64("shard")).sortWithinPartitions("shard")
+
+
 def _rings(visits: DataFrame, radius: int) -> DataFrame:
     """The members and visitors of shards by their distance to the shard's vantage point: again shard, member, rep, fp0."""
     away = F.bit_count(F.col("fp0").bitwiseXOR(F.col("vantage"))).cast("int")
